@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nodeweft.sources.tables import table
 
-from . import mixing, repetition, terms, tokens
+from . import doc_pairs, mixing, repetition, terms, tokens
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,15 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("z", F.round("z", 6))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return doc_pairs.documented_functions(table(spark, folder, "files"), code=False).select("node_id")
+
+
+def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    indexed = table(spark, folder, "nodes", "id").distinct().select(F.col("id").alias("node_id"), F.lit(True).alias("indexed"))
+    return doc_pairs.documented_functions(table(spark, folder, "files")).join(indexed, "node_id", "left").fillna(False, ["indexed"])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.with_token_ids(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids")
 
@@ -46,4 +55,4 @@ def p9_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p6_found, p6_pairs, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
