@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nodeweft.sources.tables import table
 
-from . import doc_pairs, mixing, repetition, terms, tokens
+from . import conversations, doc_pairs, mixing, pair_defects, repetition, terms, tokens
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,22 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("z", F.round("z", 6))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defective(table(spark, folder, "messages"))
+
+
+def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defective(table(spark, folder, "messages"), every=True)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.whole_conversations(table(spark, folder, "messages"), table(spark, folder, "chats"))
+
+
+def p4_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.conversation_turns(table(spark, folder, "messages"), table(spark, folder, "chats"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return doc_pairs.documented_functions(table(spark, folder, "files"), code=False).select("node_id")
 
@@ -55,4 +71,4 @@ def p9_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p6_found, p6_pairs, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_defects, p4_found, p4_turns, p6_found, p6_pairs, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
