@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from nodeweft.sources.tables import table
 
-from . import conversations, doc_pairs, mixing, pair_defects, repetition, terms, tokens
+from . import authored, conversations, doc_pairs, mixing, pair_defects, repetition, terms, tokens
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return authored.foreign_files(table(spark, folder, "files", "file", "content", "indexed_at"))
+
+
+def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return authored.file_labels(table(spark, folder, "files", "file", "content", "indexed_at")).withColumn("p_handwritten", F.round("p_handwritten", 6))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,4 +79,4 @@ def p9_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_defects, p4_found, p4_turns, p6_found, p6_pairs, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_scores, p3_found, p3_defects, p4_found, p4_turns, p6_found, p6_pairs, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
