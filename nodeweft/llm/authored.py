@@ -8,6 +8,9 @@ two sweeps for exact marginals: messages go up from the deepest level to the roo
 aggregation or join of directories per level; files take part once going up (summed per directory, with partial sums in
 each task, so a directory that holds a third of all files moves one row per task) and once going down.
 
+A directory whose own name says what it holds (`generated`, `site-packages`, `lib/name-1.2.3`) doesn't depend on the
+one it lies in, nor tell anything about it.
+
 Evidence is a table of log-likelihoods against `handwritten`. Comments count only where they lead the file, so a banner
 kept in a string, a remark in the code or a team's note doesn't mark it; a name counts as a whole path segment or a known
 form, so `vendor_portal` or `generated_reports` marks nothing.
@@ -36,21 +39,24 @@ HAND, GEN, MIN, VEN, BLOB = range(5)
 
 #: P(label of a child | label of its directory), by rows of the directory's label.
 DIRECTORY_IN_DIRECTORY = (
-    (0.970, 0.010, 0.002, 0.016, 0.002),
+    (0.9980, 0.0005, 0.0005, 0.0005, 0.0005),
     (0.050, 0.930, 0.010, 0.005, 0.005),
     (0.100, 0.020, 0.860, 0.010, 0.010),
     (0.010, 0.005, 0.020, 0.960, 0.005),
     (0.100, 0.020, 0.020, 0.010, 0.850),
 )
 FILE_IN_DIRECTORY = (
-    (0.900, 0.030, 0.020, 0.035, 0.015),
+    (0.760, 0.080, 0.030, 0.100, 0.030),
     (0.060, 0.900, 0.020, 0.005, 0.015),
     (0.100, 0.020, 0.840, 0.020, 0.020),
     (0.020, 0.010, 0.030, 0.930, 0.010),
     (0.100, 0.020, 0.020, 0.010, 0.850),
 )
 #: P(label) of a directory that has none above it.
-ROOT = (0.9896, 0.0020, 0.0002, 0.0080, 0.0002)
+ROOT = (0.9984, 0.0005, 0.0003, 0.0005, 0.0003)
+
+#: From this evidence on, a directory's name settles what it holds.
+APART = 5.0
 
 #: Directories up to this number are broadcast to the files (a path and five numbers each); beyond it they are shuffled.
 BROADCAST_ROWS = 100_000
@@ -176,6 +182,8 @@ def file_evidence(file: str, content: str | None) -> list[float]:
         # The first two forms say it outright; licences, holders, versions and links add up.
         outright = any(p.search(head) for p in _VENDORED[:2]) or _VENDORED[4].search(head) is not None
         e[VEN] += 8.0 if outright or marks > 1 else 4.5
+    else:
+        e[VEN] -= 1.0
     share, packed = opaque_share(content), density(content)
     e[BLOB] += 9.0 if share >= 0.6 else 3.0 if share >= 0.45 else -3.0
     e[MIN] += 9.0 if packed >= 0.6 else 3.0 if packed >= 0.5 else -4.0
@@ -196,8 +204,8 @@ def _evidence(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
 def directory_evidence(path: Column) -> list[Column]:
     """Log-likelihoods of a directory's name, by whole segments of its path."""
     own = F.lower(F.element_at(F.split(path, "/"), -1))
-    vendored = F.when(own.rlike(f"^{_VENDOR_DIR}$"), 8.0).when(own.rlike(f"^{_VERSIONED_DIR}$"), 6.0).when(own.isin("lib", "libs", "library_src"), 1.0).otherwise(0.0)
-    generated = F.when(own.rlike(f"^{_GENERATED_DIR}$") | F.lower(path).rlike(f"^{_COMPILED_DIR}$"), 7.0).otherwise(0.0)
+    vendored = F.when(own.rlike(f"^{_VENDOR_DIR}$"), 11.0).when(own.rlike(f"^{_VERSIONED_DIR}$"), 10.0).when(own.isin("lib", "libs", "library_src"), 1.0).otherwise(0.0)
+    generated = F.when(own.rlike(f"^{_GENERATED_DIR}$") | F.lower(path).rlike(f"^{_COMPILED_DIR}$"), 11.0).otherwise(0.0)
     minified = F.when(own.isin("min", "minified", "dist"), 1.0).otherwise(0.0)
     return [F.lit(0.0), generated, minified, vendored, F.lit(0.0)]
 
@@ -233,6 +241,10 @@ def _centred(columns: list[Column]) -> list[Column]:
     return [c - columns[HAND] for c in columns]
 
 
+def _unless(alone: Column, message: list[Column]) -> list[Column]:
+    return [F.when(alone, 0.0).otherwise(m) for m in message]
+
+
 def _parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
@@ -261,8 +273,10 @@ def file_labels(files: DataFrame) -> DataFrame:
         else:
             level = level.select("*", *_named([F.lit(0.0)] * 5, "s"))
         # a: all that lies below and its own name; t: what it tells its parent.
-        level = level.select("dir", "up", *_named([m + n + s for m, n, s in zip(_columns("m"), _columns("n"), _columns("s"), strict=True)], "a"))
-        levels[depth] = stage(level.select("*", *_named(_centred(_to_parent(_columns("a"), DIRECTORY_IN_DIRECTORY)), "t")), f"up-{depth}")
+        # Nothing passes between a directory named for its contents and the one above.
+        level = level.withColumn("alone", F.greatest(*_columns("n")) >= APART)
+        level = level.select("dir", "up", "alone", *_named([m + n + s for m, n, s in zip(_columns("m"), _columns("n"), _columns("s"), strict=True)], "a"))
+        levels[depth] = stage(level.select("*", *_named(_unless(F.col("alone"), _centred(_to_parent(_columns("a"), DIRECTORY_IN_DIRECTORY))), "t")), f"up-{depth}")
 
     # Downwards. d: what the part of the tree that isn't below a directory tells it.
     beliefs = []
@@ -275,7 +289,7 @@ def file_labels(files: DataFrame) -> DataFrame:
             told = above.select(F.col("dir").alias("up"), *_named([a + d for a, d in zip(_columns("a"), _columns("d"), strict=True)], "b"))
             # The parent's belief without what this child itself told it.
             without = [b - t for b, t in zip(_columns("b"), _columns("t"), strict=True)]
-            down = level.join(told, "up").select("dir", *_columns("a"), *_named(_centred(_to_child(without, DIRECTORY_IN_DIRECTORY)), "d"))
+            down = level.join(told, "up").select("dir", *_columns("a"), *_named(_unless(F.col("alone"), _centred(_to_child(without, DIRECTORY_IN_DIRECTORY))), "d"))
         above = stage(down, f"down-{depth}")
         beliefs.append(above.select("dir", *_named([a + d for a, d in zip(_columns("a"), _columns("d"), strict=True)], "b")))
     if not beliefs:
