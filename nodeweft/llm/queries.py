@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nodeweft.sources.tables import table
 
-from . import authored, conversations, doc_pairs, mixing, pair_defects, repetition, terms, tokens
+from . import authored, conversations, doc_pairs, mixing, neighbours, pair_defects, repetition, terms, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +45,10 @@ def p4_turns(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversation_turns(table(spark, folder, "messages"), table(spark, folder, "chats"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.similar_nodes(table(spark, folder, "nodes", "id", "embedding", "indexed_at")).select("node_a", "node_b")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return doc_pairs.documented_functions(table(spark, folder, "files"), code=False).select("node_id")
 
@@ -79,4 +83,4 @@ def p9_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_scores, p3_found, p3_defects, p4_found, p4_turns, p6_found, p6_pairs, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_scores, p3_found, p3_defects, p4_found, p4_turns, p5_found, p6_found, p6_pairs, p7_ids, p8_mixture, p8_shares, p9_found, p9_repetition)}
