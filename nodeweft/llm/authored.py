@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from nodeweft.operators.rows import broadcast_if_small, latest_rows
+from nodeweft.operators.rows import bind, broadcast_if_small, latest_rows
 from nodeweft.session import stage
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
@@ -201,48 +201,54 @@ def _evidence(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
         yield pa.array([file_evidence(f, c) for f, c in zip(files.to_pylist(), contents.to_pylist(), strict=True)], type=pa.list_(pa.float64()))
 
 
-def directory_evidence(path: Column) -> list[Column]:
+def directory_evidence(path: Column) -> Column:
     """Log-likelihoods of a directory's name, by whole segments of its path."""
     own = F.lower(F.element_at(F.split(path, "/"), -1))
     vendored = F.when(own.rlike(f"^{_VENDOR_DIR}$"), 11.0).when(own.rlike(f"^{_VERSIONED_DIR}$"), 10.0).when(own.isin("lib", "libs", "library_src"), 1.0).otherwise(0.0)
     generated = F.when(own.rlike(f"^{_GENERATED_DIR}$") | F.lower(path).rlike(f"^{_COMPILED_DIR}$"), 11.0).otherwise(0.0)
     minified = F.when(own.isin("min", "minified", "dist"), 1.0).otherwise(0.0)
-    return [F.lit(0.0), generated, minified, vendored, F.lit(0.0)]
+    return F.array(F.lit(0.0), generated, minified, vendored, F.lit(0.0))
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    total = F.exp(terms[0] - top)
-    for t in terms[1:]:
-        total = total + F.exp(t - top)
-    return top + F.ln(total)
+# Beliefs and messages are arrays of five logarithms, in the order of LABELS.
 
 
-def _to_parent(own: list[Column], table: tuple) -> list[Column]:
-    """The message of a child with log-beliefs `own` about each label of its directory."""
-    return [_log_sum([own[c] + math.log(table[p][c]) for c in range(5)]) for p in range(5)]
+def _nothing() -> Column:
+    return F.array(*[F.lit(0.0)] * 5)
 
 
-def _to_child(parent: list[Column], table: tuple) -> list[Column]:
-    """The message of a directory with log-beliefs `parent` about each label of a child."""
-    return [_log_sum([parent[p] + math.log(table[p][c]) for p in range(5)]) for c in range(5)]
+def _plus(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a + b)
+
+
+def _minus(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a - b)
+
 
+def _total(column: str) -> Column:
+    """The sum of arrays over the rows of a group."""
+    return F.array(*[F.sum(F.get(column, F.lit(k))) for k in range(5)])
 
-def _columns(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{k}") for k in range(5)]
 
+def _log_sums(belief: Column, weights: list[tuple[float, ...]]) -> Column:
+    """log(sum(weight x exp(belief))) for each row of weights, less the first: only differences count in a message, and
+    centring keeps sums over many children in range."""
+    table = F.array(*[F.array(*[F.lit(w) for w in row]) for row in weights])
 
-def _named(columns: list[Column], prefix: str) -> list[Column]:
-    return [c.alias(f"{prefix}{k}") for k, c in enumerate(columns)]
+    def summed(b: Column) -> Column:
+        return bind(F.array_max(b), lambda top: F.transform(table, lambda row: top + F.ln(F.aggregate(F.zip_with(row, b, lambda w, x: w * F.exp(x - top)), F.lit(0.0), lambda t, v: t + v))))
 
+    return bind(bind(belief, summed), lambda m: F.transform(m, lambda x: x - F.get(m, F.lit(HAND))))
 
-def _centred(columns: list[Column]) -> list[Column]:
-    """Messages count only by their differences; this keeps sums over many children in range."""
-    return [c - columns[HAND] for c in columns]
+
+def _to_parent(own: Column, table: tuple) -> Column:
+    """The message of a child with log-beliefs `own` about each label of its directory."""
+    return _log_sums(own, [table[p] for p in range(5)])
 
 
-def _unless(alone: Column, message: list[Column]) -> list[Column]:
-    return [F.when(alone, 0.0).otherwise(m) for m in message]
+def _to_child(parent: Column, table: tuple) -> Column:
+    """The message of a directory with log-beliefs `parent` about each label of a child."""
+    return _log_sums(parent, [tuple(table[p][c] for p in range(5)) for c in range(5)])
 
 
 def _parent(path: Column) -> Column:
@@ -252,59 +258,50 @@ def _parent(path: Column) -> Column:
 def file_labels(files: DataFrame) -> DataFrame:
     """(file, label, p_handwritten) of each current file: its likeliest label and the marginal of `handwritten`."""
     now = latest_rows(files.where(F.col("file").isNotNull()).select("file", "content", "indexed_at"), ["file"], ["indexed_at"], ["content"])
-    judged = now.select("file", _parent(F.col("file")).alias("dir"), _evidence(F.col("file"), F.col("content")).alias("_e"))
-    leaves = stage(judged.select("file", "dir", *_named([F.get("_e", F.lit(k)) for k in range(5)], "e")), "files")
+    judged = now.select("file", _parent(F.col("file")).alias("dir"), _evidence(F.col("file"), F.col("content")).alias("e"))
+    leaves = stage(judged.withColumn("m", _to_parent(F.col("e"), FILE_IN_DIRECTORY)), "files")
 
-    # Upwards. `mine` holds, for each directory, what its files say; each level adds what its subdirectories say.
-    from_files = leaves.select("dir", *_named(_centred(_to_parent(_columns("e"), FILE_IN_DIRECTORY)), "m"))
-    mine = from_files.groupBy("dir").agg(*_named([F.sum(c) for c in _columns("m")], "m"))
+    # Upwards. m holds, for each directory, what its files say; each level adds what its subdirectories say.
+    mine = leaves.groupBy("dir").agg(_total("m").alias("m"))
     steps = F.split("dir", "/")
     every = mine.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("dir")).distinct()
-    tree = every.join(mine, "dir", "left").fillna(0.0).withColumn("depth", F.size(F.split("dir", "/")))
-    named = tree.select("dir", "depth", _parent(F.col("dir")).alias("up"), *_columns("m"), *_named(directory_evidence(F.col("dir")), "n"))
-    tree = stage(named, "directories")
+    named = every.join(mine, "dir", "left").select("dir", F.size(steps).alias("depth"), _parent(F.col("dir")).alias("up"), F.coalesce("m", _nothing()).alias("m"), directory_evidence(F.col("dir")).alias("n"))
+    # Nothing passes between a directory named for its contents and the one above.
+    tree = stage(named.select("dir", "depth", "up", _plus(F.col("m"), F.col("n")).alias("m"), (F.array_max("n") >= APART).alias("alone")), "directories")
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     levels: dict[int, DataFrame] = {}
     for depth in range(deepest, 0, -1):
         level = tree.where(F.col("depth") == depth)
         if depth + 1 in levels:
-            below = levels[depth + 1].groupBy(F.col("up").alias("dir")).agg(*_named([F.sum(c) for c in _columns("t")], "s"))
-            level = level.join(below, "dir", "left").fillna(0.0, [f"s{k}" for k in range(5)])
-        else:
-            level = level.select("*", *_named([F.lit(0.0)] * 5, "s"))
+            below = levels[depth + 1].groupBy(F.col("up").alias("dir")).agg(_total("t").alias("s"))
+            level = level.join(below, "dir", "left").withColumn("m", _plus(F.col("m"), F.coalesce("s", _nothing())))
         # a: all that lies below and its own name; t: what it tells its parent.
-        # Nothing passes between a directory named for its contents and the one above.
-        level = level.withColumn("alone", F.greatest(*_columns("n")) >= APART)
-        level = level.select("dir", "up", "alone", *_named([m + n + s for m, n, s in zip(_columns("m"), _columns("n"), _columns("s"), strict=True)], "a"))
-        levels[depth] = stage(level.select("*", *_named(_unless(F.col("alone"), _centred(_to_parent(_columns("a"), DIRECTORY_IN_DIRECTORY))), "t")), f"up-{depth}")
-
-    # Downwards. d: what the part of the tree that isn't below a directory tells it.
-    beliefs = []
-    above: DataFrame | None = None
+        told = F.when(F.col("alone"), _nothing()).otherwise(_to_parent(F.col("m"), DIRECTORY_IN_DIRECTORY))
+        levels[depth] = stage(level.select("dir", "up", "alone", F.col("m").alias("a"), told.alias("t")), f"up-{depth}")
+
+    # Downwards. b: the belief of a directory, with what the rest of the tree tells it.
+    beliefs: list[DataFrame] = []
     for depth in range(1, deepest + 1):
         level = levels[depth]
-        if above is None:
-            down = level.select("dir", *_columns("a"), *_named([F.lit(math.log(p)) for p in ROOT], "d"))
+        if not beliefs:
+            down = level.select("dir", _plus(F.col("a"), F.array(*[F.lit(math.log(p)) for p in ROOT])).alias("b"))
         else:
-            told = above.select(F.col("dir").alias("up"), *_named([a + d for a, d in zip(_columns("a"), _columns("d"), strict=True)], "b"))
+            above = beliefs[-1].select(F.col("dir").alias("up"), F.col("b").alias("p"))
             # The parent's belief without what this child itself told it.
-            without = [b - t for b, t in zip(_columns("b"), _columns("t"), strict=True)]
-            down = level.join(told, "up").select("dir", *_columns("a"), *_named(_unless(F.col("alone"), _centred(_to_child(without, DIRECTORY_IN_DIRECTORY))), "d"))
-        above = stage(down, f"down-{depth}")
-        beliefs.append(above.select("dir", *_named([a + d for a, d in zip(_columns("a"), _columns("d"), strict=True)], "b")))
+            told = F.when(F.col("alone"), _nothing()).otherwise(_to_child(_minus(F.col("p"), F.col("t")), DIRECTORY_IN_DIRECTORY))
+            down = level.join(above, "up").select("dir", _plus(F.col("a"), told).alias("b"))
+        beliefs.append(stage(down, f"down-{depth}"))
     if not beliefs:
         return leaves.select("file", F.lit(LABELS[HAND]).alias("label"), F.lit(1.0).alias("p_handwritten"))
     directories = beliefs[0]
     for b in beliefs[1:]:
         directories = directories.unionByName(b)
 
-    own = _centred(_to_parent(_columns("e"), FILE_IN_DIRECTORY))
     joined = leaves.join(broadcast_if_small(directories, BROADCAST_ROWS), "dir")
-    told = _to_child([b - m for b, m in zip(_columns("b"), own, strict=True)], FILE_IN_DIRECTORY)
-    scored = joined.select("file", *_named([e + t for e, t in zip(_columns("e"), told, strict=True)], "x"))
-    x = _columns("x")
-    label = F.array_max(F.array(*[F.struct(x[k].alias("x"), F.lit(-k).alias("k"), F.lit(LABELS[k]).alias("label")) for k in range(5)])).getField("label")
-    return scored.select("file", label.alias("label"), F.exp(x[HAND] - _log_sum(x)).alias("p_handwritten"))
+    x = _plus(F.col("e"), _to_child(_minus(F.col("b"), F.col("m")), FILE_IN_DIRECTORY))
+    odds = bind(F.col("x"), lambda v: F.aggregate(v, F.lit(0.0), lambda t, y: t + F.exp(y - F.get(v, F.lit(HAND)))))
+    label = F.get(F.array(*map(F.lit, LABELS)), F.array_position("x", F.array_max("x")).cast("int") - 1)
+    return joined.select("file", x.alias("x")).select("file", label.alias("label"), (1 / odds).alias("p_handwritten"))
 
 
 def foreign_files(files: DataFrame) -> DataFrame:
