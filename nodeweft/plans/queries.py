@@ -1,15 +1,462 @@
-"""The engine's own queries over the driver's tables, and the SQL that checks them."""
+"""The engine's own queries over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from nodeweft.functions import text as T
+from nodeweft.operators import chats, graph, resolve, retrieval, traverse, web
+from nodeweft.operators.rows import latest_rows
+from nodeweft.session import stage
+from nodeweft.sources import facts as facts_of
+from nodeweft.sources.tables import table
+from nodeweft.sources.tree import dotted_module, manifest, suffix_language
+from nodeweft.streaming.incremental import diff_counts, file_diff
+
+from . import cypher, derived
+from .oracle import oracle_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+PART = "small ring"
+#: A route table over the addresses that messages ask about.
+ROUTES = (
+    ("(:any)/config", "GET", "App\\Pages\\Config::show/$1"),
+    ("(:any)/edit", "GET", "App\\Pages\\Edit::$1"),
+    ("(:any)/list", "GET", "App\\Pages\\Listing::"),
+    ("(:any)/show/(:num)", "GET", "App\\Pages\\Show::$1/$2"),
+    ("ledger/(:any)", "GET", "\\App\\Ledger::$1"),
+    ("order/new", "POST", "App\\Order::create"),
+    ("unit/show/(:num)", "GET", "App\\Unit::page$1"),
+)
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def current_nodes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    keep = [c for c in columns if c != "id"]
+    return latest_rows(table(spark, folder, "nodes", "id", "indexed_at", *keep), ["id"], ["indexed_at"], keep)
+
+
+def current_files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    keep = [c for c in columns if c != "file"] or ["content"]
+    return latest_rows(table(spark, folder, "files", "file", "indexed_at", *keep), ["file"], ["indexed_at"], keep)
+
+
+def _impact(hops: int) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return traverse.impact(stage(derived.part_nodes(spark, folder), "nodes"), stage(derived.part_edges(spark, folder), "edges"), PART, hops)
+
+    run.__name__ = f"impact_{hops}hop"
+    query(run)
+
+
+for _h in (3, 5, 10):
+    _impact(_h)
+
+
+@query
+def impact_walk_5(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.impact(derived.part_nodes(spark, folder), derived.part_edges(spark, folder), PART, 5, kernel="walk")
+
+
+@query
+def ancestors_5(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.ancestors_of(derived.part_nodes(spark, folder), derived.part_edges(spark, folder), "199")
+
+
+@query
+def subclasses_5(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.subclasses_of(derived.part_nodes(spark, folder), derived.part_edges(spark, folder), "3")
+
+
+@query
+def callers(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.callers(derived.part_nodes(spark, folder), derived.part_edges(spark, folder), PART)
+
+
+@query
+def neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.neighbors(derived.part_edges(spark, folder), "function::part::7")
+
+
+@query
+def node_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.node_stats(current_nodes(spark, folder, "kind"))
+
+
+@query
+def edge_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.edge_stats(derived.part_edges(spark, folder))
+
+
+@query
+def function_names(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.names_of(current_nodes(spark, folder, "kind", "name"))
+
+
+@query
+def module_files(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.files_of(current_nodes(spark, folder, "kind", "file"))
+
+
+@query
+def label_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return current_nodes(spark, folder, "kind", "name", "file").where(F.col("kind") == "Class").select("id", "name", "file")
+
+
+@query
+def node_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "nodes", "id", "kind", "name", "file", "lineno", "indexed_at")
+    # What was indexed on even days is in the store, the rest arrives.
+    even = F.pmod(F.dayofyear("indexed_at"), F.lit(2)) == 0
+    return graph.upsert(nodes.where(even), nodes.where(~even), ["id"], "indexed_at").select("id", "kind", "name", "file", "lineno")
+
+
+@query
+def edge_upsert_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    edges = derived.part_edges(spark, folder)
+    nodes = derived.part_nodes(spark, folder).where(F.col("file") != "Brand#11")
+    return graph.upsert_edges(edges, edges, nodes)
+
+
+@query
+def delete_by_file(spark: SparkSession, folder: str) -> DataFrame:
+    gone = spark.createDataFrame([("Brand#11",), ("Brand#12",)], "file string")
+    return graph.delete_files(derived.part_nodes(spark, folder), derived.part_edges(spark, folder), gone)[1]
+
+
+@query
+def rule_lww(spark: SparkSession, folder: str) -> DataFrame:
+    concepts, targets, rules = derived.segment_rules(spark, folder)
+    return graph.load_rules(concepts, targets, rules).select("concept_id", "target_id", "effect")
+
+
+def _loaded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    concepts, targets, rules = derived.segment_rules(spark, folder)
+    return concepts, targets, graph.load_rules(concepts, targets, rules)
+
+
+@query
+def role_rules(spark: SparkSession, folder: str) -> DataFrame:
+    concepts, targets, rules = _loaded(spark, folder)
+    return web.concept_rules(concepts, rules, targets, "BUILDING").select("target", "effect")
+
+
+@query
+def file_rules(spark: SparkSession, folder: str) -> DataFrame:
+    concepts, targets, rules = _loaded(spark, folder)
+    return web.file_rules(concepts, rules, targets, "NATION_3").select("code", "effect")
+
+
+@query
+def role_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    concepts, targets, rules = _loaded(spark, folder)
+    return web.role_matrix(web.role_pages(concepts, rules, targets), ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+
+
+@query
+def role_pages_list(spark: SparkSession, folder: str) -> DataFrame:
+    concepts, targets, rules = _loaded(spark, folder)
+    return web.role_pages(concepts, rules, targets).groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
+
+
+@query
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(current_files(spark, folder))
+
+
+def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    files = table(spark, folder, "files", "file", "content", "indexed_at")
+    first = files.groupBy("file").agg(F.min_by("content", F.struct("indexed_at", "content")).alias("content"))
+    return manifest(first.where(~F.col("file").startswith("lumen"))), manifest(current_files(spark, folder).where(~F.col("file").startswith("maple_api")))
+
+
+@query
+def file_diff_status(spark: SparkSession, folder: str) -> DataFrame:
+    return file_diff(*_versions(spark, folder)).select("file", "status")
+
+
+@query
+def file_diff_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return diff_counts(file_diff(*_versions(spark, folder)))
+
+
+@query
+def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
+    hits = retrieval.tfidf_rank(table(spark, folder, "documents", "doc_id", "text"), "doc_id", F.col("text"), "which function renders the ledger page")
+    return hits.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query
+def term_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.document_frequencies(retrieval.term_frequencies(table(spark, folder, "documents", "doc_id", "text"), "doc_id", F.col("text")))
+
+
+def _query_vector(spark: SparkSession, folder: str) -> list[float]:
+    return table(spark, folder, "embeddings", "vec_id", "embedding").where("vec_id = 1").select("embedding").first()[0]
+
+
+@query
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    hits = retrieval.vector_topk(table(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", _query_vector(spark, folder))
+    return hits.select(F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"))
+
+
+@query
+def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
+    w = lambda *c: F.row_number().over(Window.orderBy(*c))
+    text = retrieval.tfidf_rank(table(spark, folder, "documents", "doc_id", "text"), "doc_id", F.col("text"), "schedule voucher total", k=8)
+    near = retrieval.vector_topk(table(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", _query_vector(spark, folder), k=10)
+    return retrieval.hybrid(text.select(F.concat(F.lit("d"), F.col("doc").cast("string")).alias("label"), w(F.desc("score"), "doc").alias("rank")), near.select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("label"), w("distance", "id").alias("rank")))
+
+
+@query
+def embed_hashed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = current_nodes(spark, folder, "kind", "name", "docstring").where(F.col("kind") == "Class")
+    return docs.select("id", retrieval.embed(F.coalesce("docstring", F.lit(""))).alias("embedding"))
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "messages", "question").select("question").where(F.col("question").isNotNull()).distinct()
+    return q.select(T.url_or_path(F.col("question")).alias("url")).where(F.col("url").isNotNull()).distinct()
+
+
+def _routes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(*r, "explicit", "app/Config/Routes.php", i) for i, r in enumerate(ROUTES)], "pattern string, http_method string, target string, kind string, source_file string, lineno long")
+
+
+@query
+def url_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return _asked(spark, folder)
+
+
+@query
+def url_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    made = F.concat(F.lit("https://h.example"), "url", F.lit("/?x=1#top"))
+    return _asked(spark, folder).select("url", T.normalized_url(made).alias("path"))
+
+
+@query
+def route_match(spark: SparkSession, folder: str) -> DataFrame:
+    return web.matched_routes(_asked(spark, folder), _routes(spark)).select("url", "pattern", "target")
+
+
+@query
+def route_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.createDataFrame([("app/Pages/Edit.php",), ("app/Ledger.php",)], "file string")
+    return web.resolved_urls(_asked(spark, folder), _routes(spark), files).withColumnRenamed("class", "class_name")
+
+
+@query
+def route_load(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.load_routes(_routes(spark)).select("id", "pattern")
+
+
+@query
+def convention_routes(spark: SparkSession, folder: str) -> DataFrame:
+    files = current_files(spark, folder, "sha1").select(F.regexp_replace("file", "^[^/]+/", "").alias("file")).distinct()
+    return web.convention_routes(files).select("pattern", "target").distinct()
+
+
+@query
+def import_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    files = current_files(spark, folder)
+    dotted = F.regexp_extract("line", r"^from ([\w.]+) import \w+", 1)
+    asked = files.where(F.col("file").endswith(".py")).select("file", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(r"^from [\w.]+ import \w+")).select("file", dotted.alias("dotted_name"))
+    index = resolve.module_index(files.select("file"))
+    joined = asked.join(index, asked["dotted_name"] == index["dotted"], "left")
+    return joined.select("file", F.coalesce(F.concat(F.lit("module::"), "target"), F.concat(F.lit("external::"), "dotted_name")).alias("dst")).distinct()
+
+
+@query
+def module_names(spark: SparkSession, folder: str) -> DataFrame:
+    return current_files(spark, folder, "sha1").where(F.col("file").endswith(".py")).select("file", dotted_module(F.col("file")).alias("dotted"))
+
+
+@query
+def file_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return current_files(spark, folder, "sha1").groupBy(suffix_language("file").alias("lang")).agg(F.count("*").alias("n"))
+
+
+@query
+def unambiguous_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    parts = table(spark, folder, "part", "p_partkey", "p_name", "p_brand").select(F.concat_ws("|", "p_name", "p_brand").alias("name"), "p_partkey")
+    return resolve.unambiguous(parts, "name", "p_partkey")
+
+
+@query
+def ranked_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    part = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    one = part.select(F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type")
+    same_file = one.join(part.select("p_name", "p_brand", F.col("p_partkey").alias("hit")), ["p_name", "p_brand"]).withColumn("rank", F.lit(1))
+    same_type = one.join(part.select("p_name", "p_type", F.col("p_partkey").alias("hit")), ["p_name", "p_type"]).withColumn("rank", F.lit(2))
+    found = same_file.select("k", "hit", "rank").unionByName(same_type.select("k", "hit", "rank")).where("k <> hit")
+    return resolve.first_ranked(found, ["k"], [F.col("rank"), F.col("hit")])
+
+
+@query
+def method_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    classes = table(spark, folder, "part", "p_partkey", "p_brand")
+    bases = classes.where("p_partkey >= 4").select(F.concat(F.lit("class::f::"), F.col("p_partkey").cast("string")).alias("src"), F.concat(F.lit("class::f::"), F.expr("p_partkey div 4").cast("string")).alias("dst"), F.lit(0).alias("ord"))
+    methods = classes.where("p_brand < 'Brand#2'").select(F.concat(F.lit("function::f::"), F.col("p_partkey").cast("string"), F.lit(".run")).alias("id"))
+    return resolve.inherited_methods(resolve.ancestors(bases), methods).select(F.col("class").alias("class_name"), "fid")
+
+
+@query
+def mentioned_names(spark: SparkSession, folder: str) -> DataFrame:
+    names = graph.names_of(current_nodes(spark, folder, "kind", "name"), "Class")
+    question = F.lit("What does LedgerStore do, and why is the order total wrong in PriceJob?")
+    return resolve.longest_first(names.where(T.mentions_name(question, F.col("name"))), "name", 5)
+
+
+@query
+def mentioned_file(spark: SparkSession, folder: str) -> DataFrame:
+    files = current_files(spark, folder, "sha1").select("file")
+    length = T.mention_length(F.lit("Which rules gate the ledger store page?"), F.col("file"))
+    return files.select("file", length.alias("length")).where(F.col("length").isNotNull()).orderBy(F.desc("length"), "file").limit(1)
+
+
+@query
+def question_intents(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "messages", "question").where(F.col("question").isNotNull()).select("question").distinct()
+    return q.select("question", F.array_join(T.intents(F.col("question")), ",").alias("intents"))
+
+
+@query
+def hop_counts(spark: SparkSession, folder: str) -> DataFrame:
+    keys = table(spark, folder, "part", "p_partkey", "p_size")
+    question = F.concat(F.lit("impact within "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, " hops").otherwise(" steps"))
+    return keys.select("p_partkey", T.hop_count(question).cast("long").alias("hops"))
+
+
+@query
+def data_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    lines = current_files(spark, folder).select("file", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    hit = F.lit(False)
+    for p in T.DATA_EVIDENCE:
+        hit = hit | F.col("line").rlike(f"(?i){p}")
+    first = Window.partitionBy("file").orderBy("i")
+    found = lines.where(hit).withColumn("n", F.row_number().over(first)).where("n <= 20")
+    return found.select("file", (F.col("i") + 1).cast("long").alias("lineno"), F.substring(F.trim("line"), 1, 120).alias("line"))
+
+
+@query
+def top_folder_groups(spark: SparkSession, folder: str) -> DataFrame:
+    modules = current_nodes(spark, folder, "kind", "name", "file").where(F.col("kind") == "Module")
+    return graph.folder_groups(modules).select("folder", F.size("entries").cast("long").alias("n"), F.get("entries", F.lit(0)).alias("first"))
+
+
+@query
+def chat_list(spark: SparkSession, folder: str) -> DataFrame:
+    chat = latest_rows(table(spark, folder, "chats"), ["id"], ["updated_at"])
+    path = table(spark, folder, "chats", "repo_db_path").where(F.col("repo_db_path").isNotNull()).agg(F.min("repo_db_path")).first()[0]
+    return chats.list_chats(chat, path).select("id", "updated_at")
+
+
+@query
+def chat_history(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "messages", "id", "chat_id", "seq", "question", "answer").distinct()
+    first = m.agg(F.min("chat_id")).first()[0]
+    return chats.chat_messages(m, first).select("id", "seq", "question", "answer")
+
+
+@query
+def chat_next_seq(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.next_seq(table(spark, folder, "messages", "chat_id", "seq"))
+
+
+@query
+def chat_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.titles(table(spark, folder, "messages", "id", "chat_id", "seq", "question"))
+
+
+@query
+def stored_answers(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "messages", "id", "answer").where(F.col("answer").isNotNull()).distinct()
+    return m.select("id", T.stored_answer(F.col("answer")).alias("a")).select("id", F.col("a.content").alias("content"))
+
+
+@query
+def registry_latest(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.registered(table(spark, folder, "registry")).select("db_path", "name")
+
+
+@query
+def vault_adjacency(spark: SparkSession, folder: str) -> DataFrame:
+    links = graph.vault_links(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
+    return links.select("id", "kind", "direction", F.size("titles").cast("long").alias("n"))
+
+
+@query
+def export_capped(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = derived.part_nodes(spark, folder).where(F.col("kind") == "Function")
+    return graph.exported(nodes, derived.part_edges(spark, folder), 500)[1]
+
+
+@query
+def cypher_callers(spark: SparkSession, folder: str) -> DataFrame:
+    g = cypher.Graph(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
+    return g.run("MATCH (a:Function)-[:CALLS]->(b:Function {name: $name}) RETURN DISTINCT a.name AS caller, a.file AS file", name=PART)
+
+
+@query
+def cypher_counts(spark: SparkSession, folder: str) -> DataFrame:
+    g = cypher.Graph(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
+    return g.run("MATCH (n:Function) WHERE n.file = 'Brand#11' RETURN n.name AS name, count(n) AS n ORDER BY n DESC, name LIMIT 20")
+
+
+@query
+def cypher_reach(spark: SparkSession, folder: str) -> DataFrame:
+    g = cypher.Graph(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
+    return g.run("MATCH (a:Function)-[:CALLS*1..3]->(b:Function) WHERE b.name = $name RETURN DISTINCT a.name AS name, a.file AS file", name=PART)
+
+
+def _extracted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    files = stage(current_files(spark, folder), "files")
+    return files, stage(facts_of.file_facts(files), "facts")
+
+
+@query
+def source_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.graph_nodes(facts_of.file_facts(current_files(spark, folder))).select("id", "kind", "name", "file", "lineno", "docstring")
+
+
+@query
+def source_edges(spark: SparkSession, folder: str) -> DataFrame:
+    files, facts = _extracted(spark, folder)
+    return resolve.build_graph(files, facts)[1]
+
+
+@query
+def source_impact(spark: SparkSession, folder: str) -> DataFrame:
+    files, facts = _extracted(spark, folder)
+    nodes, edges = resolve.build_graph(files, facts)
+    return traverse.impact(stage(nodes, "nodes"), stage(edges, "edges"), "handle", 3)
+
+
+@query
+def source_rules(spark: SparkSession, folder: str) -> DataFrame:
+    facts = stage(facts_of.file_facts(current_files(spark, folder)), "facts")
+    # The tables define no role constants; the codes of the conditions stand in for a catalog.
+    codes = facts.where(F.col("what") == "gate").select(F.col("name").alias("code")).distinct()
+    concepts = codes.select(F.concat(F.lit("concept::app::"), "code").alias("id"), F.lit("Role").alias("kind"), "code", F.col("code").alias("name"))
+    return web.branch_rules(facts, concepts).select("concept_id", "target_id", "target_kind", "effect", "condition")
+
+
+@query
+def source_views(spark: SparkSession, folder: str) -> DataFrame:
+    files, facts = _extracted(spark, folder)
+    return web.view_renders(facts, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["current_files", "current_nodes", "oracle_sql", "queries"]
