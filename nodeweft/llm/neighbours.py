@@ -2,10 +2,10 @@
 
 A unit vector is rotated by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and assigned to
 the nearest signed axis. Each of `tables` rotations is one hash table; a vector stands in the bucket of its nearest axis
-and, multiprobe, in those of the next nearest. Buckets give candidates, a sketch of 256 sign bits that travels with each
+and, multiprobe, in those of the next nearest. Buckets give candidates, a sketch of 512 sign bits that travels with each
 row drops those that can't be near, and the rest are compared exactly in double precision.
 
-Scale. Only ids, codes and sketches (about 50 bytes a row) are shuffled for the candidates; the vectors themselves move
+Scale. Only ids, codes and sketches (under 100 bytes a row) are shuffled for the candidates; the vectors themselves move
 once, and only those that have a candidate. With more vectors the hash gets finer (a partial second rotation splits each
 bucket), so buckets keep their size and the work stays in proportion. A bucket larger than `block` rows is split into
 blocks which are compared two by two in separate tasks: any bucket is compared whole, none in one task. Copies of a vector
@@ -37,7 +37,7 @@ from pyspark.sql.functions import arrow_udf
 from nodeweft.operators.rows import broadcast_if_small
 from nodeweft.session import stage
 
-BITS = 256
+BITS = 512
 #: Rows that a bucket holds on average before the hash gets finer.
 BUCKET = 128
 #: Candidate classes and hot buckets up to this number are broadcast (8 and 20 bytes each).
@@ -59,8 +59,8 @@ class CrossPolytope:
         self.left = 1 << (self.size.bit_length() - 1) // 2
         self.h_left, self.h_right = _hadamard(self.left), _hadamard(self.size // self.left)
         rng = np.random.RandomState(seed)
-        # For each table one rotation for the axis and one for the finer part; the last is for the sketch.
-        self.signs = rng.choice(np.array([-1, 1], dtype=np.float32), (2 * tables + 1, 3, self.size))
+        # For each table one rotation for the axis and one for the finer part; the rest are for the sketch.
+        self.signs = rng.choice(np.array([-1, 1], dtype=np.float32), (2 * tables + -(-BITS // self.size), 3, self.size))
         self.dim, self.tables, self.probes, self.fine = dim, tables, probes, fine
 
     def rotate(self, x: np.ndarray, which: int) -> np.ndarray:
@@ -92,7 +92,7 @@ class CrossPolytope:
         return np.concatenate(out, axis=1)
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
-        y = np.concatenate([self.rotate(x, 2 * self.tables)] * max(1, BITS // self.size), axis=1)[:, :BITS]
+        y = np.concatenate([self.rotate(x, r) for r in range(2 * self.tables, len(self.signs))], axis=1)[:, :BITS]
         return np.packbits(y > 0, axis=1)
 
 
@@ -138,9 +138,9 @@ def hashed_vectors(rows: DataFrame, vector: str, dim: int, tables: int, probes:
 
 
 def near_bits(min_similarity: float) -> int:
-    """The greatest distance of two sketches whose vectors may be that similar: the mean and five deviations."""
+    """The greatest distance of two sketches whose vectors may be that similar: the mean and four deviations."""
     p = math.acos(min(1.0, max(-1.0, min_similarity))) / math.pi
-    return min(BITS, math.ceil(BITS * p + 5 * math.sqrt(BITS * p * (1 - p))))
+    return min(BITS, math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p))))
 
 
 def _within(near: np.ndarray, distance: np.ndarray, crowd: int) -> np.ndarray:
