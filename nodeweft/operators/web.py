@@ -52,7 +52,8 @@ def substituted(target: Column, url: Column, regex: Column, groups: Column) -> C
     """`$1`, `$2`, ... of a target replaced by what the pattern captured, one after the other."""
     out = target
     for k in range(1, MOST_GROUPS + 1):
-        out = F.when(groups >= k, F.replace(out, F.lit(f"${k}"), F.call_function("regexp_extract", url, regex, F.least(F.lit(k), groups)))).otherwise(out)
+        captured = F.when(groups >= k, F.call_function("regexp_extract", url, regex, F.least(F.lit(k), groups))).otherwise(F.lit(f"${k}"))
+        out = F.replace(out, F.lit(f"${k}"), captured)
     return out
 
 

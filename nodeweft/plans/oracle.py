@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from nodeweft.functions.text import DATA_EVIDENCE, INTENTS
+
 _NODES = "now AS (SELECT id, arg_max({'kind': kind, 'name': name, 'file': file}, indexed_at) AS r FROM nodes GROUP BY id)"
 _FILES = "f AS (SELECT file, arg_max(content, indexed_at) AS content FROM files GROUP BY file)"
 _PN = """pn AS (
@@ -132,6 +134,14 @@ SELECT b.id, b.kind, direction, count(DISTINCT other) AS n FROM b JOIN pn ON pn.
 t AS (SELECT chat_id, trim(replace(trim(coalesce(q, '')), chr(10), ' ')) AS c FROM q)
 SELECT chat_id, CASE WHEN c = '' THEN '(image)' WHEN length(c) > 60 THEN rtrim(c[1:59]) || '…' ELSE c END AS title FROM t""",
 }
+_SQL["route_load"] = "SELECT 'route::explicit::app/Config/Routes.php::' || i || '::' || m || '::' || p AS id, p AS pattern FROM (VALUES (0, 'GET', '(:any)/config'), (1, 'GET', '(:any)/edit'), (2, 'GET', '(:any)/list'), (3, 'GET', '(:any)/show/(:num)'), (4, 'GET', 'ledger/(:any)'), (5, 'POST', 'order/new'), (6, 'GET', 'unit/show/(:num)')) v(i, m, p)"
+_SQL["stored_answers"] = """WITH m AS (SELECT DISTINCT id, answer FROM messages WHERE answer IS NOT NULL)
+SELECT id, CASE WHEN json_valid(answer) AND starts_with(trim(answer), '{') THEN coalesce(json_extract_string(answer, '$.content'), '') ELSE answer END AS content FROM m"""
+_EVIDENCE = " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in DATA_EVIDENCE)
+_SQL["data_evidence"] = f"""WITH {_FILES}, l AS (SELECT file, string_split(content, chr(10)) AS ls FROM f), x AS (SELECT file, unnest(ls) AS line, generate_subscripts(ls, 1) AS lineno FROM l),
+h AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY lineno) AS n FROM x WHERE {_EVIDENCE}) SELECT file, lineno, trim(line)[1:120] AS line FROM h WHERE n <= 20"""
+_HITS = ", ".join(f"CASE WHEN regexp_matches(question, '(?is){p}') THEN '{k}' END" for k, p in sorted(INTENTS.items()))
+_SQL["question_intents"] = f"SELECT question, concat_ws(',', {_HITS}) AS intents FROM (SELECT DISTINCT question FROM messages WHERE question IS NOT NULL)"
 _DIFF = """v AS (SELECT file, arg_min(content, {'a': indexed_at, 'c': content}) AS c0, arg_max(content, indexed_at) AS c1 FROM files GROUP BY file),
 o AS (SELECT file, sha1(c0) AS before FROM v WHERE NOT starts_with(file, 'lumen') AND c0 IS NOT NULL), n AS (SELECT file, sha1(c1) AS after FROM v WHERE NOT starts_with(file, 'maple_api') AND c1 IS NOT NULL),
 d AS (SELECT file, CASE WHEN after IS NULL THEN 'removed' WHEN before IS NOT DISTINCT FROM after THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n USING (file))"""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +23,57 @@ def suffix_language(file):
     return F.when(F.col(file).endswith(".py"), "python").when(F.col(file).endswith(".php"), "php")
 
 
-def _kept(files: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
-    directories = F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1)
-    return files.where(~F.exists(directories, lambda d: d.startswith(".") | d.isin(*excluded)))
+def _listed(root: str, suffix: str, excluded: tuple[str, ...]) -> tuple[str, list[str]]:
+    """The root within its file system and the relative paths of its files. Only names are listed here; they are read by
+    the executors. (Spark's own file sources can't serve: they pass over names with a leading underscore, __init__.py
+    among them, and over empty files.)"""
+    system, base = _file_system(root)
+    out, todo = [], [""]
+    while todo:
+        below = todo.pop()
+        infos = system.get_file_info(fs.FileSelector(f"{base}/{below}".rstrip("/")))
+        if below and any(i.base_name == "pyvenv.cfg" for i in infos):
+            continue
+        for i in infos:
+            name = i.base_name
+            path = f"{below}/{name}" if below else name
+            if i.type == fs.FileType.Directory:
+                if not name.startswith(".") and name not in excluded:
+                    todo.append(path)
+            elif name.endswith(suffix):
+                out.append(path)
+    return base, sorted(out)
+
+
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+    return system, base.rstrip("/")
 
 
 def scan_tree(spark: SparkSession, root: str, suffix: str = ".py", excluded: tuple[str, ...] | None = None) -> DataFrame:
-    """(file, lang, content, sha1) of the files below `root`: content as text, sha1 of the raw bytes.
+    """(file, lang, content, sha1) of the files below `root`, a folder or URI that every executor sees: content as text,
+    sha1 of the raw bytes.
 
-    Left out: directories in `excluded`, those whose name begins with a dot, and virtual environments (directories that
-    hold a pyvenv.cfg). Undecodable bytes are dropped from the text.
+    Left out: directories in `excluded`, those whose name begins with a dot, virtual environments (directories that hold a
+    pyvenv.cfg), and files that can't be read. Undecodable bytes are dropped from the text.
     """
     excluded = excluded if excluded is not None else EXCLUDED_PHP if suffix == ".php" else EXCLUDED
-    base = re.escape(os.path.abspath(root).rstrip("/"))
-    relative = F.regexp_replace("path", f"^(file:)?/*{base.lstrip('/')}/", "") if "://" not in root else F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", "")
-    read = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    environments = read("pyvenv.cfg").select(F.regexp_replace(relative, "/?pyvenv\\.cfg$", "/").alias("env"))
-    found = _kept(read(f"*{suffix}").select(relative.alias("file"), "content"), excluded)
-    found = found.join(F.broadcast(environments), F.col("file").startswith(F.col("env")), "left_anti") if environments.take(1) else found
-    text = F.regexp_replace(F.col("content").cast("string"), "\ufffd", "")
-    return found.select("file", suffix_language("file").alias("lang"), text.alias("content"), F.sha1("content").alias("sha1"))
+    _, paths = _listed(root, suffix, excluded)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _file_system(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as f:
+                        data = f.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_pydict({"file": [path], "content": [data.decode("utf-8", "ignore")], "sha1": [hashlib.sha1(data).hexdigest()]})
+
+    names = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4)))
+    found = names.mapInArrow(read, "file string, content string, sha1 string")
+    return found.select("file", suffix_language("file").alias("lang"), "content", "sha1")
 
 
 def uploaded(spark: SparkSession, files: list[dict]) -> DataFrame:
