@@ -46,7 +46,7 @@ _FIELD = re.compile(r"^:(\w+)([^:\n]*):[ \t]*(.*)$", re.S)
 _SECTION = re.compile(r"^(args|arguments|parameters|params|returns?|yields?|raises|attributes|keyword args|keyword arguments|other parameters|receives|throws)\s*:?\s*$", re.I)
 _ENTRY = re.compile(r"^(\*{0,2}[\w.$, *]+?)(?:\s*\(([^)]*)\))?\s*:[ \t]*(.*)$", re.S)
 _TYPE = re.compile(
-    r"^[?\\]?(?:[A-Z]\w*|int|integer|str|string|bool|boolean|float|double|array|mixed|void|null|none|object|callable|iterable|self|static|list|dict|tuple|set|any|bytes|optional|never|true|false|resource)"
+    r"^[?\\]?(?:(?-i:[A-Z]\w*)|int|integer|str|string|bool|boolean|float|double|array|mixed|void|null|none|object|callable|iterable|self|static|list|dict|tuple|set|any|bytes|optional|never|true|false|resource)"
     r"(?:[\\|.\[\]<>]\w*)*(?:\[[^\]]*\]|<[^>]*>)?,?$",
     re.I,
 )
