@@ -25,17 +25,18 @@ def clamp_hops(hops: int, most: int = MOST_HOPS) -> int:
 
 def frontier(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(id, depth): all ids reached from `seeds` (id) along `edges` (src to dst) in 1..hops steps, with the least."""
-    current, found = seeds.select("id").distinct(), None
+    current, found = broadcast_if_small(seeds.select("id").distinct(), BROADCAST_ROWS), None
     for depth in range(1, hops + 1):
-        near = broadcast_if_small(current, BROADCAST_ROWS)
-        grown = edges.join(near, edges["src"] == near["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
+        grown = edges.join(current, edges["src"] == current["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
         if found is not None:
             grown = grown.join(found.select("id"), "id", "left_anti")
         grown = stage(grown.withColumn("depth", F.lit(depth)), f"hop-{depth}")
         found = grown if found is None else found.unionByName(grown)
-        current = grown.select("id")
-        if depth < hops and not grown.take(1):
+        # Counted from the files' footers.
+        new = grown.count() if depth < hops else 0
+        if not new:
             break
+        current = F.broadcast(grown.select("id")) if new <= BROADCAST_ROWS else grown.select("id")
     return found
 
 
