@@ -11,6 +11,7 @@
     ask QUESTION      facts and context for a question
     visualize FILE    a page with a drawing (--limit)
     vault FOLDER      linked notes
+    serve             a JSON API on the local host (--port)
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeweft.operators import graph, resolve, traverse, web
-from nodeweft.plans import ask, cypher, export
+from nodeweft.plans import ask, cypher, export, serve
 from nodeweft.session import build_session, stage
 from nodeweft.sources import facts as facts_of
-from nodeweft.sources.tree import manifest, scan_tree
+from nodeweft.sources.tree import manifest, scan_tree, uploaded
 from nodeweft.streaming.incremental import file_diff, has_changes, merged_facts
 
 TABLES = ("files", "facts", "manifest", "nodes", "edges", "concepts", "rules", "routes", "renders")
@@ -64,9 +65,10 @@ class Folder:
         return ask.Store(*(self.read(t) for t in ("nodes", "edges", "files", "concepts", "rules", "routes", "renders")))
 
 
-def index(spark: SparkSession, root: str, folder: Folder, full: bool = False) -> dict[str, int]:
-    """Parses a tree into a new snapshot; without changes nothing is written. Returns the counts of file states."""
-    files = stage(scan_tree(spark, root, ".py").unionByName(scan_tree(spark, root, ".php")), "files")
+def index(spark: SparkSession, root: str, folder: Folder, full: bool = False, upload: list[dict] | None = None) -> dict[str, int]:
+    """Parses a tree (or an upload) into a new snapshot; without changes nothing is written. Returns the counts of file
+    states."""
+    files = stage(uploaded(spark, upload) if upload is not None else scan_tree(spark, root, ".py").unionByName(scan_tree(spark, root, ".php")), "files")
     fresh = full or not folder.current()
     diff = file_diff(folder.read("manifest") if not fresh else manifest(files).limit(0), manifest(files))
     counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
@@ -86,11 +88,12 @@ def index(spark: SparkSession, root: str, folder: Folder, full: bool = False) ->
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="nodeweft", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices="index stats callers impact roles routes cypher sql ask visualize vault".split())
+    p.add_argument("command", choices="index stats callers impact roles routes cypher sql ask visualize vault serve".split())
     p.add_argument("what", nargs="?", default="")
     p.add_argument("--store", default=".nodeweft")
     p.add_argument("--hops", type=int, default=3)
     p.add_argument("--limit", type=int, default=500)
+    p.add_argument("--port", type=int, default=8765)
     p.add_argument("--full", action="store_true", help="parse everything anew")
     p.add_argument("--master")
     a = p.parse_args(argv)
@@ -100,6 +103,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "index":
         print(index(spark, a.what or ".", folder, a.full))
         return
+    if a.command == "serve":
+        service = serve.Service(spark, f"{a.store}/chats", lambda path: Folder(spark, path).store(), lambda path, root, files: index(spark, root, Folder(spark, path), upload=files))
+        service.repo = a.store if folder.current() else ""
+        with serve.server(service, port=a.port) as http:
+            print(f"http://127.0.0.1:{a.port}")
+            http.serve_forever()
+        return
     s = folder.store()
     if a.command == "stats":
         show(graph.node_stats(s.nodes).unionByName(graph.edge_stats(s.edges)))

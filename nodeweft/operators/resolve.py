@@ -169,7 +169,16 @@ def longest_first(names: DataFrame, column: str, limit: int) -> DataFrame:
     return names.orderBy(F.desc(F.char_length(column)), column).limit(limit)
 
 
-def unique_titles(df: DataFrame, title: str, key: str, out: str) -> DataFrame:
-    """`df` with titles made unique: the first of equal ones (by `key`) stays, later ones get " (2)", " (3)" and so on."""
-    n = F.row_number().over(Window.partitionBy(F.lower(title)).orderBy(key))
-    return df.withColumn(out, F.when(n == 1, F.col(title)).otherwise(F.concat(F.col(title), F.lit(" ("), n.cast("string"), F.lit(")"))))
+def unique_titles(df: DataFrame, title: str, key: str, out: str, parts: int = 64) -> DataFrame:
+    """`df` with titles made unique, without regard to case: one of equal titles stays, the others get " (2)", " (3)" and so
+    on. The numbers depend on the keys alone.
+
+    Equal titles are numbered in parts by a hash of the key, each behind the ones before it, so a title that a third of all
+    rows bear is spread over many tasks.
+    """
+    split = df.withColumns({"_l": F.lower(title), "_p": F.pmod(F.xxhash64(key), F.lit(parts))})
+    sizes = split.groupBy("_l", "_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    placed = split.join(sizes.select("_l", "_p", F.coalesce(before, F.lit(0)).alias("_before")), ["_l", "_p"])
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("_l", "_p").orderBy(key))
+    return placed.withColumn(out, F.when(n == 1, F.col(title)).otherwise(F.concat(F.col(title), F.lit(" ("), n.cast("string"), F.lit(")")))).drop("_l", "_p", "_before")

@@ -18,7 +18,7 @@ MOST_GROUPS = 9
 def explicit_routes(facts: DataFrame) -> DataFrame:
     """Routes that routing files declare, targets qualified by the group's or else the file's namespace."""
     defaults = facts.where(F.col("what") == "namespace").groupBy("file").agg(F.min_by("target", "ord").alias("default_namespace"))
-    routes = facts.where(F.col("what") == "route").join(F.broadcast(defaults), "file", "left")
+    routes = facts.where(F.col("what") == "route").join(defaults, "file", "left")
     return routes.select(F.col("name").alias("pattern"), F.col("extra").alias("http_method"), qualified_target(F.col("target"), F.coalesce("text", "default_namespace")).alias("target"), F.lit("explicit").alias("kind"), F.col("file").alias("source_file"), "lineno")
 
 
@@ -60,15 +60,19 @@ def substituted(target: Column, url: Column, regex: Column, groups: Column) -> C
 def matched_routes(urls: DataFrame, routes: DataFrame, url: str = "url") -> DataFrame:
     """(url, path, pattern, target, http_method) of the first route that matches each URL, in byte order of the pattern.
 
-    The route table is compared with each distinct path; routes whose literal beginning can't match are told apart by a
-    prefix test before the regular expression runs. The routes are the small side, broadcast if their count allows it.
+    An equi-join: a route whose pattern begins with a whole literal segment meets only the paths that begin with it; the
+    others meet every distinct path, as they must. A prefix test comes before the regular expression. The routes are
+    broadcast if their count allows it.
     """
     asked = urls.select(F.col(url).alias("url"), normalized_url(F.col(url)).alias("path"))
     paths = asked.where(F.col("path").isNotNull()).select("path").distinct()
     table = routes.where(F.col("pattern").isNotNull()).select("pattern", "target", "http_method", F.coalesce("id", F.lit("")).alias("id") if "id" in routes.columns else F.lit("").alias("id")).withColumns(
         {"regex": pattern_regex(F.col("pattern")), "groups": F.size(F.regexp_extract_all("pattern", F.lit(r"\(:(any|num)\)"), F.lit(0))), "literal": F.lower(F.regexp_replace("pattern", r"\(:.*$", ""))}
     )
-    hits = paths.join(broadcast_if_small(table, BROADCAST_ROWS), F.lower(F.col("path")).startswith(F.col("literal")) & F.rlike(F.col("path"), F.col("regex")))
+    whole = (F.instr("literal", "/") > 0) | (F.col("groups") == 0)
+    table = table.withColumn("key", F.when(whole, F.substring_index("literal", "/", 1)).otherwise("*"))
+    keyed = paths.withColumn("key", F.explode(F.array_distinct(F.array(F.lower(F.substring_index("path", "/", 1)), F.lit("*")))))
+    hits = keyed.join(broadcast_if_small(table, BROADCAST_ROWS), "key").where(F.lower(F.col("path")).startswith(F.col("literal")) & F.rlike(F.col("path"), F.col("regex")))
     best = first_ranked(hits.select("path", "pattern", "http_method", "id", "target", "regex", "groups"), ["path"], [F.col("pattern"), F.col("http_method"), F.col("id")])
     filled = best.withColumn("target", substituted(F.col("target"), F.col("path"), F.col("regex"), F.col("groups")))
     return asked.join(filled, "path").select("url", "path", "pattern", "target", "http_method")
