@@ -53,6 +53,11 @@ _UNABLE = {
 }
 _SELF = r"against my (?:\w+ )?(?:guidelines?|polic(?:y|ies)|rules|instructions|principles)|because of my polic|\bno comment\b|\bI (?:will|have to|must|['’]ll) pass\b|outside (?:of )?(?:what|the scope of what|my)\b|beyond (?:what I|my (?:scope|remit))|violat\w+ my|not (?:within|in) my (?:scope|remit|power)|my (?:guidelines|policy|instructions) (?:do not|don['’]t|forbid|prohibit)"
 _REFUSAL = re.compile("|".join([*_UNABLE.values(), _SELF]), re.I)
+#: Every form above holds one of these; most sentences don't.
+_REFUSAL_KEYS = (
+    "not", "n't", "n’t", "unable", "declin", "refus", "pass", "impossib", "forbid", "prohibit", "restrict", "allowed", "instructed", "against my", "because of my", "comment", "outside", "beyond", "violat", "my ", "possib",
+    "je ", "m'est", "m’est", "pas ", "no ", "niego", "prefier", "prefer", "declino", "abst", "nicht", "nichts", "kein", "weder", "ablehn", "lehne", "verweig", "untersagt", "verboten", "rechaz", "imposib", "não", "prefir", "recus", "non ", "rifiut", "can ",
+)
 #: What makes an "I can't" a statement about the graph and not a refusal.
 _SEARCHED = re.compile(r"\b(?:could not|couldn['’]t|cannot|can['’]t|can not|unable to|not able to) (?:find|see|locate|detect|identify|spot|trace|reach|resolve|match|be (?:called|reached|deleted|opened|found|resolved|changed))\b", re.I)
 _FILLER = re.compile(
@@ -71,6 +76,8 @@ FUNCTION_WORDS = {
     "it": "il lo gli le un uno una di del della dei delle dello degli che è in con per non si da dal dalla dai dalle nel nella nei nelle al alla ai alle sono come più ma o anche se ci questo questa questi queste quello quella suo sua suoi loro chi cosa quale quali dove quando perché prima dopo senza tra fra ogni stesso solo due viene vengono letti letta tabella mostrare pagina funzione classe file ruolo può aprire gestisce gestito chiama chiamano chiamate trovano modulo deposito parla percorso tiene righe notte vale grafo e a la i serve arrivano dati quindi esiste nient altro ieri",
 }
 _WORDS_OF = {w: tuple(lang for lang, ws in FUNCTION_WORDS.items() if w in set(ws.split())) for ws in FUNCTION_WORDS.values() for w in ws.split()}
+_WEIGHT = {w: 1.0 / len(of) for w, of in _WORDS_OF.items()}
+_MARKS = ".,;:!?()[]{}\"'«»“”„¿¡…*_-–—>"
 #: Letters that only some of the languages use.
 _LETTERS = (("ß", "de"), ("ñ", "es"), ("¿", "es"), ("¡", "es"), ("ã", "pt"), ("õ", "pt"), ("œ", "fr"), ("ê", "fr pt"), ("ç", "fr pt"), ("ä", "de"), ("ö", "de"), ("ü", "de es"), ("è", "fr it"), ("ì", "it"), ("ò", "it"), ("ù", "fr it"), ("î", "fr"), ("ô", "fr pt"), ("û", "fr"))
 _NAMES = {
@@ -88,7 +95,6 @@ _ASKED = {lang: re.compile(rf"\b(?:in|en|auf|em|into|to)\s+(?:\w+\s+)?(?:{names}
 
 _FENCE = re.compile(r"^[ \t]*(?:>[ \t]*)?(`{3,}|~{3,})[^\n]*$", re.M)
 _CODE = re.compile(r"(`{3,}|~{3,}).*?(?:\1|\Z)|`[^`\n]*`", re.S)
-_PATH = re.compile(r"(?<![\w<])(?:https?://\S+|[\w.$@~-]*(?:/[\w.$@:~-]*)+|[\w-]+\.(?:py|php|js|ts|sql|json|md|html?|ya?ml|txt|ini|css|sh)\b|\w+(?:[._\\]|::|->)\w[\w.\\:>-]*|\w*[a-zà-ÿ][A-Z]\w*)")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:nbsp|ensp|emsp|thinsp|zwnj|zwj|#\d+|#x[0-9a-f]+);", re.I)
 _FOREIGN = re.compile(r"[^\W\d_\x00-\u036f]")
 _ITEM = re.compile(r"^\s*(?:[-*+•–]|\d{1,3}[.)]|[a-z]\))\s+\S")
@@ -127,10 +133,13 @@ def has_words(text: str | None) -> bool:
 
 
 def is_empty(text: str) -> bool:
-    bare = _TAG.sub(" ", text)
-    bare = re.sub(r"^[ \t]*(?:`{3,}|~{3,})[\w+-]*[ \t]*$", " ", bare, flags=re.M)
+    bare = _TAG.sub(" ", text) if "<" in text or "&" in text else text
+    if "```" in text or "~~~" in text:
+        bare = re.sub(r"^[ \t]*(?:`{3,}|~{3,})[\w+-]*[ \t]*$", " ", bare, flags=re.M)
     if not re.search(r"[^\W_]", bare):
         return True
+    if len(bare) > 200:
+        return False
     return re.sub(r"[^\w/]+", " ", bare).strip(" _").lower() in NOTHING or re.fullmatch(r"\W*n\s*[/.]\s*a\.?\W*", bare, re.I) is not None
 
 
@@ -163,8 +172,9 @@ def sentences(text: str) -> list[str]:
 
 def is_refusal(text: str) -> bool:
     declined = False
-    for s in sentences(_CODE.sub(" X ", text)):
-        if _REFUSAL.search(s) and not _SEARCHED.search(s):
+    for s in sentences(_CODE.sub(" X ", text) if "`" in text or "~~~" in text else text):
+        low = s.lower()
+        if any(k in low for k in _REFUSAL_KEYS) and _REFUSAL.search(s) and not _SEARCHED.search(s):
             declined = True
         elif not _FILLER.match(s):
             return False
@@ -172,9 +182,10 @@ def is_refusal(text: str) -> bool:
 
 
 def is_truncated(text: str) -> bool:
-    if sum(1 for _ in _FENCE.finditer(text)) % 2:
+    fenced = "```" in text or "~~~" in text
+    if fenced and sum(1 for _ in _FENCE.finditer(text)) % 2:
         return True
-    prose = re.sub(r"^[ \t]*(?:>[ \t]*)?(`{3,}|~{3,})[^\n]*\n.*?^[ \t]*(?:>[ \t]*)?\1[ \t]*$", "\n\x01\n", text, flags=re.S | re.M).strip()
+    prose = text.strip() if not fenced else re.sub(r"^[ \t]*(?:>[ \t]*)?(`{3,}|~{3,})[^\n]*\n.*?^[ \t]*(?:>[ \t]*)?\1[ \t]*$", "\n\x01\n", text, flags=re.S | re.M).strip()
     if prose.endswith("\x01"):
         return False
     paragraph = prose.replace("\x01", "").strip().split("\n\n")[-1]
@@ -218,27 +229,30 @@ def is_truncated(text: str) -> bool:
 
 def language(text: str) -> tuple[str, float, dict[str, float]]:
     """The best language (or script) of a text's prose, its lead over the next, and all scores."""
-    prose = _PATH.sub(" ", _CODE.sub(" ", text))
-    scripts: dict[str, int] = {}
-    for c in _FOREIGN.findall(prose):
-        name = unicodedata.name(c, "").split(" ")[0]
-        if name != "LATIN":
-            scripts[name] = scripts.get(name, 0) + 1
-    if scripts and 2 * sum(scripts.values()) > sum(c.isalpha() for c in prose):
-        name = max(scripts, key=scripts.get)
-        lang = {"CYRILLIC": "ru", "CJK": "zh", "HIRAGANA": "ja", "KATAKANA": "ja"}.get(name, name)
-        return "ja" if scripts.keys() & {"HIRAGANA", "KATAKANA"} else lang, float(sum(scripts.values())), {lang: 1.0}
+    prose = _CODE.sub(" ", text) if "`" in text or "~~~" in text else text
+    plain = prose.isascii()
+    if not plain:
+        scripts: dict[str, int] = {}
+        for c in _FOREIGN.findall(prose):
+            name = unicodedata.name(c, "").split(" ")[0]
+            if name != "LATIN":
+                scripts[name] = scripts.get(name, 0) + 1
+        if scripts and 2 * sum(scripts.values()) > sum(c.isalpha() for c in prose):
+            name = max(scripts, key=scripts.get)
+            lang = {"CYRILLIC": "ru", "CJK": "zh", "HIRAGANA": "ja", "KATAKANA": "ja"}.get(name, name)
+            return "ja" if scripts.keys() & {"HIRAGANA", "KATAKANA"} else lang, float(sum(scripts.values())), {lang: 1.0}
     scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    lower = prose.lower().replace("’", "'")
-    for w in re.findall(r"[^\W\d_]+", lower):
-        of = _WORDS_OF.get(w)
-        if of:
-            for lang in of:
-                scores[lang] += 1.0 / len(of)
-    for letter, of in _LETTERS:
-        if letter in lower:
-            for lang in of.split():
-                scores[lang] += 1.0 / len(of.split())
+    lower = prose.lower()
+    # Paths and identifiers hold other characters than letters, or aren't in the lists.
+    for token in lower.replace("’", "'").split():
+        for w in token.strip(_MARKS).split("'"):
+            for lang in _WORDS_OF.get(w, ()):
+                scores[lang] += _WEIGHT[w]
+    if not plain:
+        for letter, of in _LETTERS:
+            if letter in lower:
+                for lang in of.split():
+                    scores[lang] += 1.0 / len(of.split())
     order = sorted(scores, key=scores.get, reverse=True)
     return order[0], scores[order[0]] - scores[order[1]], scores
 
