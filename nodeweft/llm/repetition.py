@@ -61,9 +61,13 @@ def repeated_word_count(words: Column, window: int = WINDOW) -> Column:
     """How many elements lie in `window` consecutive ones that also begin earlier."""
 
     def covered(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(window)]))
+        starts = F.sequence(F.lit(0), F.size(w) - window)
+        windows = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(window)]))
         # Each repeated window adds what it reaches beyond the next one's beginning; the last adds all of it.
-        return bind(earlier_equal(windows), lambda at: F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(window), F.coalesce(F.get(at, k + 1) - p, F.lit(window)))), F.lit(0), lambda total, x: total + x))
+        count = bind(earlier_equal(windows), lambda at: F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(window), F.coalesce(F.get(at, k + 1) - p, F.lit(window)))), F.lit(0), lambda total, x: total + x))
+        # Equal windows have equal hashes: where no two hashes agree, nothing is repeated and nothing need be sorted.
+        agree = bind(F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)])), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+        return F.when(agree, count).otherwise(0)
 
     return F.when(F.size(words) > window, bind(words, covered)).otherwise(0)
 
