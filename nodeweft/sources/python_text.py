@@ -13,6 +13,9 @@ import warnings
 from dataclasses import dataclass
 
 _NEXT = re.compile(r"""(?P<comment>\#[^\n]*)|(?P<string>(?<![A-Za-z0-9_\x80-\U0010ffff])(?P<prefix>[A-Za-z]{0,3})(?P<quote>\"\"\"|'''|"|'))|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<joined>\\\r?\n)|(?P<line>\r\n|\n|\r)""")
+#: What ends a string, or hides what follows it.
+_STOPS = {q: re.compile(rf"\\.|{q}" + ("" if len(q) == 3 else r"|\n"), re.S) for q in ('"""', "'''", '"', "'")}
+_SIMPLE = re.compile(r"""([rR]?)(\"\"\"|'''|"|')(.*)\2\s*""", re.S)
 _HEADER = re.compile(r"(?:async[ \t\f\x00]+)?(?P<what>def|class)[ \t\f\x00]+(?P<name>[^\W\d]\w*)")
 
 
@@ -38,6 +41,12 @@ class Function:
 def _string_end(src: str, at: int, prefix: str, quote: str) -> int:
     """The end of the string whose opening quote begins at `at`."""
     i, n, f = at + len(quote), len(src), "f" in prefix.lower() or "t" in prefix.lower()
+    if not f:
+        while m := _STOPS[quote].search(src, i):
+            if m[0][0] != "\\":
+                return m.start() if m[0] == "\n" else m.end()
+            i = m.end()
+        return n
     while i < n:
         c = src[i]
         if c == "\\":
@@ -118,10 +127,14 @@ def _literal(src: str, masked: str) -> str | None:
     statement = masked.split(";", 1)[0]
     if not re.fullmatch(r'[\s\0(")]*"[\s\0(")]*', statement):
         return None
+    text = src[: len(statement)]
+    simple = _SIMPLE.fullmatch(text) if statement.count('"') == 1 else None
+    if simple and (simple[1] or "\\" not in simple[3]):
+        return inspect.cleandoc(simple[3].replace("\r\n", "\n").replace("\r", "\n"))
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            value = ast.literal_eval("(" + src[: len(statement)] + "\n)")
+            value = ast.literal_eval("(" + text + "\n)")
     except (SyntaxError, ValueError, MemoryError, RecursionError):
         return None
     return inspect.cleandoc(value) if isinstance(value, str) else None
