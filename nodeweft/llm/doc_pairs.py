@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +62,7 @@ def words(text: str) -> list[str]:
     return [w.lower() for part in _WORD.findall(text) for w in _CAMEL.split(part)]
 
 
+@lru_cache(maxsize=65536)
 def stem(word: str) -> str:
     """A word without its English ending: stores, storing, stored and storer are one."""
     w = word
@@ -86,6 +88,8 @@ def _without_names(text: str, names: str) -> str:
 
 def prose(doc: str) -> str:
     """The text of a documentation without tags, parameter names and types; prose of tags is kept."""
+    if not re.search(r"[@\\:]|^\s*[-=~]{3}", doc, re.M):
+        return doc
     out: list[str] = []
     section, section_indent, last = "", 0, ""
     lines = doc.splitlines()
