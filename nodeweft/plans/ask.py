@@ -74,7 +74,7 @@ def _lines(title: str, df: DataFrame, line, limit: int = BLOCK_ROWS) -> str | No
 def method_source(content: str, method: str, cls: str | None = None, limit: int = SOURCE_LIMIT) -> str | None:
     """The text of a PHP function or method, cut at `limit`; None if it isn't there or has no end."""
     for d in php_text.parse(content).definitions:
-        if d.kind == "Function" and d.name == method and (cls is None or cls in d.classes) and d.body[1]:
+        if d.kind == "Function" and d.name == method and (cls is None or cls in d.classes) and d.closed:
             text = content[d.at : d.end]
             return text if len(text) <= limit else text[:limit] + CUT
     return None

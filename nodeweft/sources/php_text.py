@@ -110,6 +110,7 @@ class Definition:
     at: int
     end: int
     body: tuple[int, int]  # token positions of the body's first and last token; (0, 0) without a body
+    closed: bool = False  # whether the body's end was found
 
 
 @dataclass(slots=True)
@@ -202,7 +203,7 @@ def parse(src: str) -> Parsed:
             elif t.text == "}":
                 if scopes and scopes[-1][1] == depth:
                     _, _, definition = scopes.pop()
-                    definition.end, definition.body = t.end, (definition.body[0], i)
+                    definition.end, definition.body, definition.closed = t.end, (definition.body[0], i), True
                 depth = max(0, depth - 1)
         elif t.kind == "name" and before not in ("->", "?->", "::", "new", "use"):
             word = t.text.lower()
