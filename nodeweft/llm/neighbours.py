@@ -12,8 +12,12 @@ blocks which are compared two by two in separate tasks: any bucket is compared w
 are hashed and compared once, as a class; a class keeps the few smallest ids that a list of k neighbours can need, taken
 by a partial top-k, so copies never meet in pairs.
 
-Accuracy. The index loses a pair only if no table brings it together, or if a row has more than `crowd` candidates within
-one pair of blocks and the sketch ranks it behind them. Measured recall is in the README and the tests.
+Crowds. Within a tight group sketches can't tell which candidates are nearest. A row with more than `crowd` candidates in a
+pair of blocks is compared by the vectors themselves with everything in its crowded buckets. Buckets that hold much the same
+rows are compared as one, so a tight group moves about once for each of its blocks and not once for each table and probe.
+
+Accuracy. The index loses a pair only if no table brings it together or if its sketches lie more than four deviations further
+apart than `min_similarity` makes likely. Measured recall is in the README and the tests.
 
 Defined results: the current row of an id (latest indexed_at, then the greatest content) decides; a missing vector, one of
 another length, with NaN or infinite values or all zero isn't usable; vectors needn't have length one; ties in similarity
@@ -42,6 +46,8 @@ BITS = 512
 BUCKET = 128
 #: Candidate classes and hot buckets up to this number are broadcast (8 and 20 bytes each).
 BROADCAST_ROWS = 200_000
+#: Vectors of a crowded group that are compared in one task, with as many others.
+CROWD_BLOCK = 8192
 
 
 def _hadamard(n: int) -> np.ndarray:
@@ -143,18 +149,9 @@ def near_bits(min_similarity: float) -> int:
     return min(BITS, math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p))))
 
 
-def _within(near: np.ndarray, distance: np.ndarray, crowd: int) -> np.ndarray:
-    """`near`, of each row with more than `crowd` entries only the nearest (ties kept)."""
-    full = near.sum(axis=1) > crowd
-    if full.any():
-        ranked = np.where(near[full], distance[full], BITS + 1)
-        near = near.copy()
-        near[full] &= ranked <= np.partition(ranked, crowd - 1, axis=1)[:, crowd - 1 : crowd]
-    return near
-
-
 def _compare(group: pd.DataFrame, most: int, crowd: int) -> pd.DataFrame:
-    """Candidate pairs of classes of some whole buckets, or of two blocks of one bucket."""
+    """Candidates of some whole buckets, or of two blocks of one bucket: pairs (a < b) of classes with bucket -1, and for
+    rows with more than `crowd` candidates (b = 1) and these candidates (b = 0) the class a and the bucket."""
     out: list[np.ndarray] = []
     order = np.argsort(group["bucket"].to_numpy(), kind="stable")
     bucket, keys, own = (group[c].to_numpy()[order] for c in ("bucket", "v", "own"))
@@ -173,15 +170,21 @@ def _compare(group: pd.DataFrame, most: int, crowd: int) -> pd.DataFrame:
                 rows = x[at : at + 1024]
                 distance = (BITS - bits[rows] @ bits[y].T) / 2
                 near = (distance <= most) & (key[rows][:, None] != key[y][None, :])
-                r, c = np.nonzero(_within(near, distance, crowd))
+                full = near.sum(axis=1) > crowd
+                if full.any():
+                    for members, asks in ((rows[full], 1), (y[near[full].any(axis=0)], 0)):
+                        out.append(np.stack([key[members], np.full(len(members), asks), np.full(len(members), bucket[start])], axis=1))
+                    near[full] = False
+                r, c = np.nonzero(near)
                 p, q = key[rows[r]], key[y[c]]
-                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                out.append(np.stack([np.minimum(p, q), np.maximum(p, q), np.full(len(p), -1)], axis=1))
+    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "bucket": found[:, 2]})
 
 
 def candidates(classes: DataFrame, min_similarity: float, block: int, crowd: int, spread: int = 64) -> DataFrame:
-    """Distinct pairs (a < b) of classes that a bucket brings together and whose sketches are near enough."""
+    """Distinct rows of `_compare`: pairs of classes that a bucket brings together and whose sketches are near enough, and
+    the members of crowds."""
     rows = classes.select("v", "sketch", F.explode("codes").alias("bucket"))
     sizes = classes.select(F.explode("codes").alias("bucket")).groupBy("bucket").count().where(F.col("count") > block)
     hot = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -203,19 +206,84 @@ def candidates(classes: DataFrame, min_similarity: float, block: int, crowd: int
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _compare(group, most, crowd)
 
-    return placed.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return placed.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long, bucket long").distinct()
+
+
+def _cosine(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", u, w) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", w, w))
 
 
 def _similarity(dim: int):
     @arrow_udf(T.DoubleType())
     def cosine(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
-            u, w = (pc.list_flatten(c).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for c in (x, y))
-            yield pa.array(np.einsum("ij,ij->i", u, w) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", w, w)))
+            yield pa.array(_cosine(*(pc.list_flatten(c).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for c in (x, y))))
 
     return cosine
 
 
+def _nearest(group: pd.DataFrame, k: int, min_similarity: float) -> pd.DataFrame:
+    """(v, w, s, tie): the k most similar w of each v that asks, among the vectors of a crowd or of two blocks of it."""
+    keys, own, asks = (group[c].to_numpy() for c in ("v", "own", "asks"))
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    raw = np.stack(group["x"].to_list())
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    # Equal similarities are ordered by the smallest id of a class.
+    tie = np.argsort(np.argsort(group["tie"].to_numpy(dtype=object), kind="stable"))
+    sides = [np.flatnonzero(own == n) for n in sorted({i, j})]
+    out: list[np.ndarray] = []
+    for a, b in ((sides[0], sides[0]),) if i == j else ((sides[0], sides[1]), (sides[1], sides[0])):
+        a = a[asks[a] > 0]
+        for at in range(0, len(a) if len(b) else 0, 512):
+            rows = a[at : at + 512]
+            s = x[rows] @ x[b].T
+            s[keys[rows][:, None] == keys[b][None, :]] = -2
+            last = min(k, len(b))
+            # The margin is for rounding: what single precision can't tell apart is ordered in double precision.
+            least = np.maximum(np.partition(s, len(b) - last, axis=1)[:, len(b) - last], min_similarity) - np.float32(1e-5)
+            r, c = np.nonzero(s >= least[:, None])
+            p, q = rows[r], b[c]
+            swap = keys[p] > keys[q]
+            first, second = np.where(swap, q, p), np.where(swap, p, q)
+            exact = np.concatenate([np.zeros(0), *(_cosine(raw[first[n : n + 8192]].astype(np.float64), raw[second[n : n + 8192]].astype(np.float64)) for n in range(0, len(p), 8192))])
+            order = np.lexsort((tie[q], -np.round(exact, 12), r))
+            begins = np.searchsorted(r[order], np.arange(len(rows)))
+            order = order[np.arange(len(order)) - begins[r[order]] < k]
+            order = order[exact[order] >= min_similarity]
+            out.append(np.stack([p[order], q[order], exact[order]], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 3))
+    p, q = (found[:, n].astype(np.int64) for n in (0, 1))
+    return pd.DataFrame({"v": keys[p], "w": keys[q], "s": found[:, 2], "tie": group["tie"].to_numpy(dtype=object)[q]})
+
+
+def crowded_pairs(members: DataFrame, vectors: DataFrame, ids: DataFrame, k: int, min_similarity: float, block: int = CROWD_BLOCK) -> DataFrame:
+    """(a, b, s) with a < b: the pairs of each class that asks and the k most similar classes of its crowded buckets.
+
+    members: v, bucket, asks; vectors: v, x; ids: v, tie.
+    """
+    # A bucket is compared within the largest one that holds half of its rows or more.
+    held = members.groupBy("v").agg(F.collect_set("bucket").alias("b"))
+    shared = stage(held.select(F.explode("b").alias("bucket"), "b").select("bucket", F.explode("b").alias("other")).groupBy("bucket", "other").count(), "shared")
+    sizes = shared.where("bucket = other").select("bucket", F.col("count").alias("size"))
+    choices = shared.join(sizes, "bucket").where(F.col("count") * 2 >= F.col("size")).select("bucket", "other")
+    crowds = choices.join(sizes.withColumnRenamed("bucket", "other"), "other").groupBy("bucket").agg(F.max(F.struct("size", "other"))["other"].alias("crowd"))
+    rows = stage(members.join(crowds, "bucket").groupBy("crowd", "v").agg(F.max("asks").alias("asks")), "crowds")
+    blocks = rows.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "crowd").withColumn("own", F.pmod(F.xxhash64("v", F.lit(13)), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("crowd", "v", "asks", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(group, k, min_similarity)
+
+    found = placed.join(ids, "v").join(vectors, "v").groupBy("crowd", "i", "j").applyInPandas(nearest, "v long, w long, s double, tie string")
+    found = found.groupBy("v", "w").agg(F.max("s").alias("s"), F.first("tie").alias("tie"))
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.round("s", 12).desc(), "tie"))).where(F.col("n") <= k)
+    return best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"), "s")
+
+
 def similar_pairs(
     rows: DataFrame,
     record_id: str,
@@ -244,12 +312,20 @@ def similar_pairs(
     now = kept.groupBy("id").agg(F.max_by(F.struct("v", "_h"), F.struct("at", "v")).alias("r"))
     nodes = stage(now.where(F.col("r._h").isNotNull()).select("id", "r.v", "r._h.codes", "r._h.sketch"), "hashed")
 
-    pairs = stage(candidates(nodes.select("v", "codes", "sketch").dropDuplicates(["v"]), min_similarity, block, crowd), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    vectors = given.where(F.col("x").isNotNull() & (F.size("x") == dim)).select(F.xxhash64("x").alias("v"), "x")
-    vectors = vectors.join(broadcast_if_small(wanted, BROADCAST_ROWS), "v", "left_semi").dropDuplicates(["v"])
-    both = pairs.join(vectors.select(F.col("v").alias("a"), F.col("x").alias("xa")), "a").join(vectors.select(F.col("v").alias("b"), F.col("x").alias("xb")), "b")
-    near = stage(both.select("a", "b", _similarity(dim)(F.col("xa"), F.col("xb")).alias("s")).where(F.col("s") >= min_similarity), "near")
+    met = stage(candidates(nodes.select("v", "codes", "sketch").dropDuplicates(["v"]), min_similarity, block, crowd), "candidates")
+    pairs, crowded = met.where("bucket < 0").select("a", "b"), met.where("bucket >= 0").select(F.col("a").alias("v"), "bucket", F.col("b").alias("asks"))
+    given = given.where(F.col("x").isNotNull() & (F.size("x") == dim)).select(F.xxhash64("x").alias("v"), "x")
+
+    def vectors(wanted: DataFrame) -> DataFrame:
+        return given.join(broadcast_if_small(wanted.distinct(), BROADCAST_ROWS), "v", "left_semi").dropDuplicates(["v"])
+
+    ends = vectors(pairs.select(F.explode(F.array("a", "b")).alias("v")))
+    both = pairs.join(ends.select(F.col("v").alias("a"), F.col("x").alias("xa")), "a").join(ends.select(F.col("v").alias("b"), F.col("x").alias("xb")), "b")
+    compared = both.select("a", "b", _similarity(dim)(F.col("xa"), F.col("xb")).alias("s")).where(F.col("s") >= min_similarity)
+    if crowded.take(1):
+        ids = nodes.groupBy("v").agg(F.min("id").alias("tie"))
+        compared = compared.unionByName(crowded_pairs(crowded, vectors(crowded.select("v")), ids, k, min_similarity)).groupBy("a", "b").agg(F.max("s").alias("s"))
+    near = stage(compared, "near")
 
     # The k + 1 smallest ids of a class are all that any list of k can need of it.
     members = nodes.select("v", "id").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)

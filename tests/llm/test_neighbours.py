@@ -43,6 +43,29 @@ def test_recall_in_a_hot_group(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_recall_in_a_hot_group_with_defaults(spark):
+    """Thousands of vectors of mutual cosine 0.94: sketches can't rank them."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([clustered(rng, 1, 5000, 384, 0.25), rng.standard_normal((1000, 384))]).astype(np.float32)
+    ids = [f"n{i:05d}" for i in range(len(x))]
+    want, got = brute(ids, x.astype(np.float64)), found(spark, ids, x)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_a_crowd_is_compared_in_parts(spark, monkeypatch):
+    """Equal results in one task and in many, with scaled copies that tie."""
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 1, 300, 64, 0.25).astype(np.float32)
+    x = np.concatenate([x, x[:40] * 2, x[:40] * 4, rng.standard_normal((100, 64)).astype(np.float32)])
+    ids = [f"n{i:05d}" for i in rng.permutation(len(x))]
+    want = brute(ids, x.astype(np.float64))
+    got = found(spark, ids, x, crowd=8)
+    whole = neighbours.crowded_pairs
+    monkeypatch.setattr(neighbours, "crowded_pairs", lambda *a: whole(*a, block=64))
+    assert found(spark, ids, x, crowd=8, block=128) == got
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(3)
     base, other = rng.standard_normal(64).astype(np.float32), rng.standard_normal(64).astype(np.float32)
