@@ -7,7 +7,7 @@ row drops those that can't be near, and the rest are compared exactly in double
 
 Scale. Only ids, codes and sketches (under 100 bytes a row) are shuffled for the candidates; the vectors themselves move
 once, and only those that have a candidate. With more vectors the hash gets finer (a partial second rotation splits each
-bucket), so buckets keep their size and the work stays in proportion. A bucket larger than `block` rows is split into
+bucket), so buckets keep their size; tables are added so that the chance to meet at `min_similarity` doesn't sink. A bucket larger than `block` rows is split into
 blocks which are compared two by two in separate tasks: any bucket is compared whole, none in one task. Copies of a vector
 are hashed and compared once, as a class; a class keeps the few smallest ids that a list of k neighbours can need, taken
 by a partial top-k, so copies never meet in pairs.
@@ -102,6 +102,30 @@ class CrossPolytope:
         return np.packbits(y > 0, axis=1)
 
 
+def meeting(dim: int, probes: int, fine: int, min_similarity: float, seed: int, count: int = 4000) -> float:
+    """The chance that two vectors of that similarity meet in a table, estimated over random pairs and four tables."""
+    rng = np.random.RandomState(seed)
+    x, y = rng.standard_normal((2, count, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim > 1:
+        y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = min_similarity * x + math.sqrt(max(0.0, 1 - min_similarity**2)) * y
+    h = CrossPolytope(dim, 4, probes, fine, seed)
+    a, b = (h.codes(v.astype(np.float32)).reshape(count, 4, -1) for v in (x, y))
+    return float((a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean())
+
+
+def enough_tables(dim: int, tables: int, probes: int, fine: int, min_similarity: float, seed: int) -> int:
+    """With how many tables of a finer hash a pair of `min_similarity` meets as surely as with `tables` that aren't finer."""
+    if not fine:
+        return tables
+    coarse, finer = (meeting(dim, probes, f, min_similarity, seed) for f in (0, fine))
+    if coarse in (0.0, 1.0) or finer == 1:
+        return tables
+    return max(tables, math.ceil(tables * math.log(1 - coarse) / math.log(1 - max(finer, 1e-4))))
+
+
 def usable(batch: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Which elements of a list column are usable vectors, and these, scaled to length one."""
     ok = np.zeros(len(batch), dtype=bool)
@@ -304,6 +328,7 @@ def similar_pairs(
     size = 2 << max(4, (dim - 1).bit_length())
     parts = rows.count() / (size * BUCKET)
     fine = 0 if parts < 1.5 else 1 << max(0, round(math.log2(parts / 2)))
+    tables = enough_tables(dim, tables, probes, fine, min_similarity, seed)
 
     given = rows.where(F.col(record_id).isNotNull()).select(F.col(record_id).alias("id"), F.col(order).alias("at"), F.col(vector).alias("x"))
     hashed = hashed_vectors(given, "x", dim, tables, probes, fine, seed)

@@ -87,3 +87,30 @@ def test_finer_hash_keeps_its_pairs():
     codes = neighbours.CrossPolytope(64, 4, 3, 4, 20).codes(x)
     together = [bool(set(codes[i].tolist()) & set(codes[i + 1].tolist())) for i in range(0, 600, 2)]
     assert np.mean(together) > 0.97
+
+
+def pairs_of(rng, count, dim, low, high):
+    """Rows 2i and 2i + 1 have a cosine between low and high."""
+    x, y = rng.standard_normal((2, count, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (count, 1))
+    return np.stack([x, c * x + np.sqrt(1 - c**2) * y], axis=1).reshape(2 * count, dim).astype(np.float32)
+
+
+def test_finer_hash_keeps_pairs_near_the_threshold():
+    x = pairs_of(np.random.default_rng(7), 2000, 384, 0.85, 0.85)
+    for fine in (1, 8):
+        codes = neighbours.CrossPolytope(384, neighbours.enough_tables(384, 4, 3, fine, 0.85, 20), 3, fine, 20).codes(x)
+        assert (codes[::2, :, None] == codes[1::2, None, :]).any(axis=(1, 2)).mean() >= 0.994
+    assert neighbours.enough_tables(384, 4, 3, 0, 0.85, 20) == 4
+
+
+def test_recall_with_the_hash_of_millions(spark, monkeypatch):
+    """The `fine` that 1.5 million rows take, near the threshold."""
+    x = pairs_of(np.random.default_rng(8), 800, 384, 0.8505, 0.9)
+    ids = [f"n{i:05d}" for i in range(len(x))]
+    monkeypatch.setattr(neighbours, "BUCKET", len(x) / (1024 * 12))
+    want, got = brute(ids, x.astype(np.float64)), found(spark, ids, x)
+    assert len(got & want) >= 0.985 * len(want) and not got - want
