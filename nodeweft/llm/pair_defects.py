@@ -56,7 +56,7 @@ _REFUSAL = re.compile("|".join([*_UNABLE.values(), _SELF]), re.I)
 #: Every form above holds one of these; most sentences don't.
 _REFUSAL_KEYS = (
     "not", "n't", "n’t", "unable", "declin", "refus", "pass", "impossib", "forbid", "prohibit", "restrict", "allowed", "instructed", "against my", "because of my", "comment", "outside", "beyond", "violat", "my ", "possib",
-    "je ", "m'est", "m’est", "pas ", "no ", "niego", "prefier", "prefer", "declino", "abst", "nicht", "nichts", "kein", "weder", "ablehn", "lehne", "verweig", "untersagt", "verboten", "rechaz", "imposib", "não", "prefir", "recus", "non ", "rifiut", "can ",
+    "je ", "m'est", "m’est", "pas ", "no ", "niego", "negarme", "prefier", "prefer", "declino", "abst", "nicht", "nichts", "kein", "weder", "ablehn", "lehne", "verweig", "untersagt", "verboten", "rechaz", "imposib", "não", "prefir", "recus", "non ", "rifiut", "can ",
 )
 #: What makes an "I can't" a statement about the graph and not a refusal.
 _SEARCHED = re.compile(r"\b(?:could not|couldn['’]t|cannot|can['’]t|can not|unable to|not able to) (?:find|see|locate|detect|identify|spot|trace|reach|resolve|match|be (?:called|reached|deleted|opened|found|resolved|changed))\b", re.I)

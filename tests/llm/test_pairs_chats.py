@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 
@@ -121,3 +122,33 @@ def test_offset_of_infeasible_orders(spark):
     for block in (1, 1024):
         got = {r["chat_id"]: (r["rejected"], r["offset"]) for r in conversations.conversations(df, chats, block=block).collect()}
         assert got == {"c": ("infeasible order", 2.0), "d": (None, 0.0)}
+
+
+def written(parsed):
+    """Texts that a parsed pattern matches: each branch, options left out and taken, no repetition."""
+    texts = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [next((chr(x) for o, x in arg if str(o) == "LITERAL"), "x")]
+        elif name == "BRANCH":
+            more = [t for branch in arg[1] for t in written(branch)]
+        elif name == "SUBPATTERN":
+            more = written(arg[-1])
+        elif name == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + ([] if arg[0] == 0 and str(arg[2][0][0]) == "IN" else written(arg[2]))
+        else:
+            assert name == "AT", name
+            more = [""]
+        texts = [t + m for t in texts for m in more]
+    return texts
+
+
+def test_every_form_of_refusal_holds_a_key_word():
+    for form in [*pair_defects._UNABLE.values(), pair_defects._SELF]:
+        texts = written(re._parser.parse(form, re.I))
+        assert [t for t in texts if not any(k in t.lower() for k in pair_defects._REFUSAL_KEYS)] == []
+    for answer in ("Lo siento, debo negarme a responder.", "Tengo que negarme a contestar."):
+        assert pair_defects.is_refusal(answer)
