@@ -37,6 +37,8 @@ NOTHING = set("none null nil nan undefined empty n/a na nothing blank void missi
     "rien|vide|aucune réponse|pas de réponse|sans réponse|nada|vacío|ninguno|ninguna|sin respuesta|leer|nichts|keine|keine antwort|ohne antwort|vazio|nenhum|nenhuma|sem resposta|vuoto|niente|nessuno|nessuna|nessuna risposta".split("|")
 )
 
+_LONGEST_NOTHING = max(map(len, NOTHING))
+
 #: What may be written before a repeated question.
 LABELS = set(
     "q a question questions answer answers response reply prompt user assistant asked you the query original input output your was is "
@@ -138,8 +140,11 @@ def is_empty(text: str) -> bool:
         bare = re.sub(r"^[ \t]*(?:`{3,}|~{3,})[\w+-]*[ \t]*$", " ", bare, flags=re.M)
     if not re.search(r"[^\W_]", bare):
         return True
-    if len(bare) > 200:
-        return False
+    letters = 0
+    for part in re.finditer(r"[\w/]+", bare):
+        letters += len(part[0].strip("_"))
+        if letters > _LONGEST_NOTHING:
+            return False
     return re.sub(r"[^\w/]+", " ", bare).strip(" _").lower() in NOTHING or re.fullmatch(r"\W*n\s*[/.]\s*a\.?\W*", bare, re.I) is not None
 
 

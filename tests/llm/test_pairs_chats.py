@@ -152,3 +152,9 @@ def test_every_form_of_refusal_holds_a_key_word():
         assert [t for t in texts if not any(k in t.lower() for k in pair_defects._REFUSAL_KEYS)] == []
     for answer in ("Lo siento, debo negarme a responder.", "Tengo que negarme a contestar."):
         assert pair_defects.is_refusal(answer)
+
+
+@pytest.mark.parametrize("answer", ["N/A\n" + "-" * 300, "none" + "\n" * 300, "&nbsp;" * 300 + "no answer", "_" * 300 + " none", "n . a" + " ." * 200])
+def test_padding_around_nothing(answer):
+    assert pair_defects.is_empty(answer)
+    assert not pair_defects.is_empty(answer + " but the table orders holds it")
