@@ -6,6 +6,7 @@ lowest rank wins. Nothing is looked up row by row, so the cost is that of the jo
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +16,8 @@ from nodeweft.schema import class_id, external_id, function_id, module_id
 from nodeweft.session import stage
 from nodeweft.sources.tree import dotted_module
 
-#: Levels of base classes that a method is looked up through.
-ANCESTOR_LEVELS = 20
+#: After so many levels of base classes the ancestors found so far become one table again, so plans stay small.
+FOLDED_LEVELS = 20
 
 
 def unambiguous(named: DataFrame, name: str, value: str) -> DataFrame:
@@ -89,7 +90,7 @@ def resolve_bases(facts: DataFrame, nodes: DataFrame, bindings: DataFrame) -> Da
     return first_ranked(found.select("src", "ord", "rank", "dst"), ["src", "ord"], [F.col("rank"), F.col("dst")]).select("src", "dst", "ord")
 
 
-def ancestors(bases: DataFrame, levels: int = ANCESTOR_LEVELS) -> DataFrame:
+def ancestors(bases: DataFrame) -> DataFrame:
     """(id, ancestor, depth, path): every class above a class, nearest first, equal depths in the order of declaration.
 
     A loop over levels of a join and an anti-join, each level written to the shared folder, until no class is new.
@@ -97,13 +98,15 @@ def ancestors(bases: DataFrame, levels: int = ANCESTOR_LEVELS) -> DataFrame:
     step = bases.select(F.col("src"), F.col("dst"), F.lpad(F.col("ord").cast("string"), 10, "0").alias("o"))
     frontier = stage(step.where("src <> dst").groupBy("src", "dst").agg(F.min("o").alias("path")).select(F.col("src").alias("id"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth"), "path"), "ancestors")
     found = frontier
-    for depth in range(2, levels + 1):
+    for depth in itertools.count(2):
         grown = frontier.join(step, frontier["ancestor"] == step["src"]).select("id", step["dst"].alias("ancestor"), F.concat_ws("/", "path", "o").alias("path")).where("id <> ancestor")
         grown = grown.groupBy("id", "ancestor").agg(F.min("path").alias("path")).join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti")
         frontier = stage(grown.select("id", "ancestor", F.lit(depth).alias("depth"), "path"), "ancestors")
         if not frontier.take(1):
             break
         found = found.unionByName(frontier)
+        if depth % FOLDED_LEVELS == 0:
+            found = stage(found, "ancestors")
     return found
 
 

@@ -258,3 +258,13 @@ def test_ask(small):
     assert ask.method_source("<?php class A { function m() { return '}'; } } function m() {}", "m", "A") == "function m() { return '}'; }"
     assert ask.method_source("<?php function m() {", "m") is None
     assert ask.method_source("<?php function m() { " + "x();" * 3000 + " }", "m").endswith(ask.CUT)
+
+
+def test_ancestors_have_no_last_level(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "FOLDED_LEVELS", 9)
+    chain = [(f"class::f::{i}", f"class::f::{i + 1}", 0) for i in range(23)]
+    above = resolve.ancestors(spark.createDataFrame([*chain, ("class::f::23", "class::f::20", 0)], "src string, dst string, ord int"))
+    got = {(r["ancestor"], r["depth"]) for r in above.where("id = 'class::f::0'").collect()}
+    assert got == {(f"class::f::{i}", i) for i in range(1, 24)}
+    methods = spark.createDataFrame([("function::f::23.run",)], "id string")
+    assert ("class::f::0", "run") in {(r["class"], r["method"]) for r in resolve.inherited_methods(above, methods).collect()}
