@@ -13,7 +13,7 @@ are aggregated by term, after partial aggregation in each task, so a term held b
 per task. The join of records with the counts is by term; adaptive execution splits the partitions of hot terms.
 
 Defined results: a null or empty text has no words; a record without words has no rows; equal rows of one id must have
-been reduced before (see `latest_rows`); in a collection of one record z is the score against an empty rest.
+been reduced before (see `latest_rows`); in a collection of one record z is the score against an empty rest, in one of a single term it is 0.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ def distinctive_terms(counts: DataFrame, record_id: str, prior_weight: float = 5
     y, n, rest = F.col("tf").cast("double"), F.col("n").cast("double"), (F.col("cf") - F.col("tf")).cast("double")
     prior = F.lit(prior_weight) * F.col("cf") / total
     delta = F.ln((y + prior) / (n + prior_weight - y - prior)) - F.ln((rest + prior) / (total - n + prior_weight - rest - prior))
-    z = delta / F.sqrt(1 / (y + prior) + 1 / (rest + prior))
+    # Where all words of the collection are one term, nothing sets it apart.
+    z = F.when(F.col("cf") < total, delta / F.sqrt(1 / (y + prior) + 1 / (rest + prior))).otherwise(0.0)
     return counts.where(F.col("tf") >= least_tf).join(collection, "term").select(record_id, "term", "tf", "df", z.alias("z"))
 
 
@@ -71,4 +72,4 @@ def node_terms(nodes: DataFrame) -> DataFrame:
 def marking_terms(nodes: DataFrame, least_tf: int = 2, least_df: int = 2, most_df: int = 12) -> DataFrame:
     """(node_id, term, tf, df, z) of the words that a node repeats and few nodes share."""
     scored = distinctive_terms(node_terms(nodes), "node_id", least_tf=least_tf)
-    return scored.where(F.col("z").isNotNull() & F.col("df").between(least_df, most_df))
+    return scored.where(F.col("df").between(least_df, most_df))

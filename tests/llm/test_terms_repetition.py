@@ -101,3 +101,8 @@ def test_no_user_functions(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = repetition.self_repeating(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_a_collection_of_one_term(spark, rows):
+    df = spark.createDataFrame([(i, "Class", "x", "quokka quokka", 1, None) for i in "ab"], NODES)
+    assert rows(terms.marking_terms(df), "node_id", "term", "z") == [("a", "quokka", 0.0), ("b", "quokka", 0.0)]
