@@ -116,12 +116,57 @@ def test_turns_have_roles(spark, rows):
 
 
 def test_offset_of_infeasible_orders(spark):
-    """Stamps 10, 4: the answer to the first turn pulls by 6, both questions hold at 0, so 6 / 3 balances them."""
-    df = spark.createDataFrame([(1, "c", 0, Q, GOOD, None, 10.0, None), (2, "c", 1, Q, GOOD, None, 4.0, None), (3, "d", 0, Q, GOOD, None, None, None)], MESSAGES)
-    chats = spark.createDataFrame([("c",), ("d",)], "id string")
+    """Stamps 10, 4: the answer to the first turn pulls by 6, both questions hold at 0, so 6 / 3 balances them. Stamps 200,
+    100, 99.9: the step of 0.1 is satisfied at 100 / 4 and doesn't count."""
+    data = [(1, "c", 0, 10.0), (2, "c", 1, 4.0), (3, "d", 0, None), (4, "e", 0, 200.0), (5, "e", 1, 100.0), (6, "e", 2, 99.9), (7, "f", 0, 1.0), (8, "f", 1, None), (9, "f", 2, 3.0), (10, "g", 0, float("nan")), (11, None, 0, 1.0)]
+    df = spark.createDataFrame([(i, c, s, Q, GOOD, None, at, None) for i, c, s, at in data], MESSAGES)
+    chats = spark.createDataFrame([(c,) for c in "cdefg"], "id string")
     for block in (1, 1024):
-        got = {r["chat_id"]: (r["rejected"], r["offset"]) for r in conversations.conversations(df, chats, block=block).collect()}
-        assert got == {"c": ("infeasible order", 2.0), "d": (None, 0.0)}
+        got = {r["chat_id"]: round(r["offset"], 9) for r in conversations.clock_offsets(df, chats, block=block).collect()}
+        assert got == {"c": 2.0, "d": 0.0, "e": 25.0, "f": 0.0, "g": 0.0}
+        why = {r["chat_id"]: r["rejected"] for r in conversations.conversations(df, chats, block=block).collect()}
+        assert why == {"c": "infeasible order", "d": None, "e": "infeasible order", "f": "infeasible order", "g": None}
+
+
+def squares(d, uppers, lowers):
+    return sum(max(0, d - u) ** 2 for u in uppers) + sum(max(0, x - d) ** 2 for x in lowers)
+
+
+def test_offsets_are_least_squares(spark):
+    """Against a search for the minimum, with two stamps a turn and in blocks of any size."""
+    rng = random.Random(5)
+    data, want = [], {}
+    for c in range(30):
+        count = rng.randrange(1, 9)
+        q = [10.0 * i + rng.random() for i in range(count)]
+        a = [t + rng.uniform(-20, 20) for t in q]
+        data += [(100 * c + i, f"c{c}", i, Q, GOOD, None, q[i], a[i]) for i in range(count)]
+        uppers, lowers = [x - t for x, t in zip(a, q, strict=True)], [x - t for x, t in zip(a, q[1:], strict=False)]
+        low, high = -1000.0, 1000.0
+        for _ in range(200):
+            x, y = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (low, y) if squares(x, uppers, lowers) <= squares(y, uppers, lowers) else (x, high)
+        want[f"c{c}"] = (squares(low, uppers, lowers), uppers, lowers)
+    df = spark.createDataFrame(data, "id long, chat_id string, seq long, question string, answer string, context_question string, asked double, answered double")
+    chats = spark.createDataFrame([(c,) for c in want], "id string")
+    for block in (1, 2, 1024):
+        got = conversations.clock_offsets(df, chats, block=block, asked_at="asked", answered_at="answered").collect()
+        assert len(got) == 30 and any(r["residual"] > 0 for r in got) and any(r["residual"] == 0 for r in got)
+        for r in got:
+            least, uppers, lowers = want[r["chat_id"]]
+            assert abs(squares(r["offset"], uppers, lowers) - least) < 1e-6 and abs(r["residual"] - least) < 1e-6
+
+
+def test_answers_on_a_shifted_clock_are_merged(spark):
+    """The assistant's clock is an hour behind; one row for each sender's message."""
+    rows = [(2 * i + k, "c", i, who, f"{who} says a word {i}.", 100.0 * i + 30.0 * k - 3600.0 * k) for i in range(4) for k, who in enumerate(("user", "assistant"))]
+    rows += [(90, "c", 0, "system", "x", 0.0), (91, "c", 2, "user", "an earlier form", 1.0)]
+    turned = conversations.paired(spark.createDataFrame(rows, "id long, chat_id string, seq long, sender string, text string, created_at double"))
+    chats = spark.createDataFrame([("c",)], "id string")
+    got = conversations.conversation_turns(turned, chats, asked_at="asked_at", answered_at="answered_at").orderBy("at", "seq", "turn").collect()
+    assert [(r["seq"], r["role"]) for r in got] == [(i, who) for i in range(4) for who in ("user", "assistant")]
+    # Offsets from -3670 to -3570 order the turns; the one nearest to 0 is taken.
+    assert got[1]["at"] - rows[1][5] == 3570.0 and [r["at"] for r in got] == sorted(r["at"] for r in got)
 
 
 def written(parsed):
