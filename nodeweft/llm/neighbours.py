@@ -7,14 +7,16 @@ row drops those that can't be near, and the rest are compared exactly in double
 
 Scale. Only ids, codes and sketches (under 100 bytes a row) are shuffled for the candidates; the vectors themselves move
 once, and only those that have a candidate. With more vectors the hash gets finer (a partial second rotation splits each
-bucket), so buckets keep their size; tables are added so that the chance to meet at `min_similarity` doesn't sink. A bucket larger than `block` rows is split into
-blocks which are compared two by two in separate tasks: any bucket is compared whole, none in one task. Copies of a vector
-are hashed and compared once, as a class; a class keeps the few smallest ids that a list of k neighbours can need, taken
-by a partial top-k, so copies never meet in pairs.
+bucket), so buckets keep their size; tables are added so that the chance to meet at `min_similarity` doesn't sink. The
+buckets are spread over as many groups as the rows ask for, so no task's share grows with the data. Copies of a vector are
+hashed and compared once, as a class; a class keeps the few smallest ids that a list of k neighbours can need, taken by a
+partial top-k, so copies never meet in pairs.
 
 Crowds. Within a tight group sketches can't tell which candidates are nearest. A row with more than `crowd` candidates in a
-pair of blocks is compared by the vectors themselves with everything in its crowded buckets. Buckets that hold much the same
-rows are compared as one, so a tight group moves about once for each of its blocks and not once for each table and probe.
+bucket, and every row of a bucket larger than `block`, is compared by the vectors themselves with everything in its crowded
+buckets: nothing is capped. Buckets that hold much the same rows are compared as one, so a tight group moves about once for
+each of its blocks and not once for each table and probe. Every task compares two blocks; for a crowd of n different vectors
+this is n^2 work by n / CROWD_BLOCK moves of a vector, the price of its exact order, which no hash of a tight group keeps.
 
 Accuracy. The index loses a pair only if no table brings it together or if its sketches lie more than four deviations further
 apart than `min_similarity` makes likely. Measured recall is in the README and the tests.
@@ -44,6 +46,8 @@ from nodeweft.session import stage
 BITS = 512
 #: Rows that a bucket holds on average before the hash gets finer.
 BUCKET = 128
+#: Rows (of about 90 bytes) of ordinary buckets that share a task's call on average.
+GROUP_ROWS = 32_768
 #: Candidate classes and hot buckets up to this number are broadcast (8 and 20 bytes each).
 BROADCAST_ROWS = 200_000
 #: Vectors of a crowded group that are compared in one task, with as many others.
@@ -174,12 +178,11 @@ def near_bits(min_similarity: float) -> int:
 
 
 def _compare(group: pd.DataFrame, most: int, crowd: int) -> pd.DataFrame:
-    """Candidates of some whole buckets, or of two blocks of one bucket: pairs (a < b) of classes with bucket -1, and for
-    rows with more than `crowd` candidates (b = 1) and these candidates (b = 0) the class a and the bucket."""
+    """Candidates of some whole buckets: pairs (a < b) of classes with bucket -1, and for rows with more than `crowd`
+    candidates (b = 1) and these candidates (b = 0) the class a and the bucket."""
     out: list[np.ndarray] = []
     order = np.argsort(group["bucket"].to_numpy(), kind="stable")
-    bucket, keys, own = (group[c].to_numpy()[order] for c in ("bucket", "v", "own"))
-    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    bucket, keys = (group[c].to_numpy()[order] for c in ("bucket", "v"))
     packed = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(group), -1)[order]
     starts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for start, end in zip(starts, starts[1:], strict=False):
@@ -188,49 +191,41 @@ def _compare(group: pd.DataFrame, most: int, crowd: int) -> pd.DataFrame:
         # Dot products of signs give the distances of sketches.
         bits = np.unpackbits(packed[start:end], axis=1).astype(np.float32) * 2 - 1
         key = keys[start:end]
-        a, b = (np.arange(end - start),) * 2 if i == j else (np.flatnonzero(own[start:end] == k) for k in (i, j))
-        for x, y in ((a, b),) if i == j else ((a, b), (b, a)):
-            for at in range(0, len(x), 1024):
-                rows = x[at : at + 1024]
-                distance = (BITS - bits[rows] @ bits[y].T) / 2
-                near = (distance <= most) & (key[rows][:, None] != key[y][None, :])
-                full = near.sum(axis=1) > crowd
-                if full.any():
-                    for members, asks in ((rows[full], 1), (y[near[full].any(axis=0)], 0)):
-                        out.append(np.stack([key[members], np.full(len(members), asks), np.full(len(members), bucket[start])], axis=1))
-                    near[full] = False
-                r, c = np.nonzero(near)
-                p, q = key[rows[r]], key[y[c]]
-                out.append(np.stack([np.minimum(p, q), np.maximum(p, q), np.full(len(p), -1)], axis=1))
+        for at in range(0, len(key), 1024):
+            rows = slice(at, at + 1024)
+            near = ((BITS - bits[rows] @ bits.T) / 2 <= most) & (key[rows][:, None] != key[None, :])
+            full = near.sum(axis=1) > crowd
+            if full.any():
+                for members, asks in ((key[rows][full], 1), (key[near[full].any(axis=0)], 0)):
+                    out.append(np.stack([members, np.full(len(members), asks), np.full(len(members), bucket[start])], axis=1))
+                near[full] = False
+            r, c = np.nonzero(near)
+            p, q = key[rows][r], key[c]
+            out.append(np.stack([np.minimum(p, q), np.maximum(p, q), np.full(len(p), -1)], axis=1))
     found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
     return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "bucket": found[:, 2]})
 
 
-def candidates(classes: DataFrame, min_similarity: float, block: int, crowd: int, spread: int = 64) -> DataFrame:
+def groups_for(codes: int) -> int:
+    """How many groups the ordinary buckets are spread over: it grows with the rows, so a group keeps its size."""
+    return max(64, -(-codes // GROUP_ROWS))
+
+
+def candidates(classes: DataFrame, min_similarity: float, block: int, crowd: int, codes: int) -> DataFrame:
     """Distinct rows of `_compare`: pairs of classes that a bucket brings together and whose sketches are near enough, and
-    the members of crowds."""
+    the members of crowds; all rows of a bucket of more than `block` are a crowd. `codes` is how many bucket rows there are
+    at most."""
     rows = classes.select("v", "sketch", F.explode("codes").alias("bucket"))
-    sizes = classes.select(F.explode("codes").alias("bucket")).groupBy("bucket").count().where(F.col("count") > block)
-    hot = sizes.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    split = rows.join(broadcast_if_small(hot, BROADCAST_ROWS), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("v", F.lit(11)), F.col("blocks")).cast("int")
-    placed = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
-        "v",
-        "sketch",
-        "bucket",
-        "own",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        # Small buckets share a task's call; a split one has calls of its own.
-        F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("bucket"), F.lit(spread))).alias("part"),
-    )
-    most = near_bits(min_similarity)
+    hot = stage(classes.select(F.explode("codes").alias("bucket")).groupBy("bucket").count().where(F.col("count") > block).select("bucket"), "hot-buckets")
+    few = broadcast_if_small(hot, BROADCAST_ROWS)
+    spread, most = groups_for(codes), near_bits(min_similarity)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _compare(group, most, crowd)
 
-    return placed.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long, bucket long").distinct()
+    ordinary = rows.join(few, "bucket", "left_anti").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(spread)))
+    crowded = rows.select("v", "bucket").join(few, "bucket", "left_semi").select(F.col("v").alias("a"), F.lit(1).cast("long").alias("b"), "bucket")
+    return ordinary.groupBy("part").applyInPandas(compare, "a long, b long, bucket long").distinct().unionByName(crowded)
 
 
 def _cosine(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -325,8 +320,8 @@ def similar_pairs(
     """(node_a, node_b, similarity), node_a < node_b, of the current records: every pair of at least `min_similarity` in
     which one record is among the k most similar of the other."""
     # How fine the hash has to be goes by the number of rows (their footers tell it): `fine` axes split each bucket.
-    size = 2 << max(4, (dim - 1).bit_length())
-    parts = rows.count() / (size * BUCKET)
+    size, count = 2 << max(4, (dim - 1).bit_length()), rows.count()
+    parts = count / (size * BUCKET)
     fine = 0 if parts < 1.5 else 1 << max(0, round(math.log2(parts / 2)))
     tables = enough_tables(dim, tables, probes, fine, min_similarity, seed)
 
@@ -337,7 +332,7 @@ def similar_pairs(
     now = kept.groupBy("id").agg(F.max_by(F.struct("v", "_h"), F.struct("at", "v")).alias("r"))
     nodes = stage(now.where(F.col("r._h").isNotNull()).select("id", "r.v", "r._h.codes", "r._h.sketch"), "hashed")
 
-    met = stage(candidates(nodes.select("v", "codes", "sketch").dropDuplicates(["v"]), min_similarity, block, crowd), "candidates")
+    met = stage(candidates(nodes.select("v", "codes", "sketch").dropDuplicates(["v"]), min_similarity, block, crowd, count * tables * probes), "candidates")
     pairs, crowded = met.where("bucket < 0").select("a", "b"), met.where("bucket >= 0").select(F.col("a").alias("v"), "bucket", F.col("b").alias("asks"))
     given = given.where(F.col("x").isNotNull() & (F.size("x") == dim)).select(F.xxhash64("x").alias("v"), "x")
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from nodeweft.llm import neighbours
 
@@ -107,10 +108,17 @@ def test_finer_hash_keeps_pairs_near_the_threshold():
     assert neighbours.enough_tables(384, 4, 3, 0, 0.85, 20) == 4
 
 
-def test_recall_with_the_hash_of_millions(spark, monkeypatch):
-    """The `fine` that 1.5 million rows take, near the threshold."""
+@pytest.mark.parametrize("fine", [8, 16, 512])
+def test_recall_with_the_hash_of_millions(spark, monkeypatch, fine):
+    """The `fine` that 1.5, 4 and 134 million rows take, near the threshold."""
     x = pairs_of(np.random.default_rng(8), 800, 384, 0.8505, 0.9)
     ids = [f"n{i:05d}" for i in range(len(x))]
-    monkeypatch.setattr(neighbours, "BUCKET", len(x) / (1024 * 12))
+    monkeypatch.setattr(neighbours, "BUCKET", len(x) / (1024 * 2 * fine))
     want, got = brute(ids, x.astype(np.float64)), found(spark, ids, x)
     assert len(got & want) >= 0.985 * len(want) and not got - want
+
+
+def test_groups_keep_their_size():
+    """Bucket rows of a group on average, from thousands of vectors to billions."""
+    for rows in (10**3, 10**5, 10**6, 10**8, 10**10):
+        assert rows * 12 / neighbours.groups_for(rows * 12) <= neighbours.GROUP_ROWS
