@@ -8,9 +8,10 @@ whole collection of N words, with the prior a = prior_weight x Y / N and a0 = pr
 
 A term that all records share has a delta near 0; the standard error keeps a term met once below one met often.
 
-Counts within a record need no shuffle: a record's words are sorted and counted in their row. Only the collection counts
-are aggregated by term, after partial aggregation in each task, so a term held by a third of all records moves one row
-per task. The join of records with the counts is by term; adaptive execution splits the partitions of hot terms.
+Counts within a record need no shuffle: a record's words are sorted and counted in their row, once, into a table that the
+statistics and the scores both read. Only the collection counts are aggregated by term, after partial aggregation in each
+task, so a term held by a third of all records moves one row per task. The join of records with the counts is by term;
+adaptive execution splits the partitions of hot terms.
 
 Defined results: a null or empty text has no words; a record without words has no rows; equal rows of one id must have
 been reduced before (see `latest_rows`); in a collection of one record z is the score against an empty rest, in one of a single term it is 0.
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeweft.operators.rows import bind, latest_rows
+from nodeweft.session import stage
 
 #: Words under this length don't count.
 LEAST_LETTERS = 3
@@ -52,7 +54,8 @@ def term_counts(records: DataFrame, record_id: str, text: Column) -> DataFrame:
 
 def distinctive_terms(counts: DataFrame, record_id: str, prior_weight: float = 500.0, least_tf: int = 1) -> DataFrame:
     """(record id, term, tf, df, z) for each row of `counts` with tf >= least_tf; the statistics cover all rows."""
-    collection = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    counts = stage(counts, "term-counts")
+    collection = stage(counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")), "terms")
     total = collection.agg(F.sum("cf")).scalar().cast("double")
     y, n, rest = F.col("tf").cast("double"), F.col("n").cast("double"), (F.col("cf") - F.col("tf")).cast("double")
     prior = F.lit(prior_weight) * F.col("cf") / total
@@ -70,6 +73,7 @@ def node_terms(nodes: DataFrame) -> DataFrame:
 
 
 def marking_terms(nodes: DataFrame, least_tf: int = 2, least_df: int = 2, most_df: int = 12) -> DataFrame:
-    """(node_id, term, tf, df, z) of the words that a node repeats and few nodes share."""
-    scored = distinctive_terms(node_terms(nodes), "node_id", least_tf=least_tf)
+    """(node_id, term, tf, df, z) of the words that a node repeats and few nodes share: all scored words that a node repeats,
+    checked by their exact counts."""
+    scored = stage(distinctive_terms(node_terms(nodes), "node_id", least_tf=least_tf), "scored-terms")
     return scored.where(F.col("df").between(least_df, most_df))
