@@ -52,13 +52,15 @@ def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         .agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     )
     at_hand = sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
-    joined = wanted.join(at_hand, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    joined = stage(wanted.join(at_hand, "source", "left").withColumn("available", F.coalesce("available", F.lit(0))), "targets")
     able = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     # One number, from a table of one row per target.
     size = F.lit(float(total_tokens)) if total_tokens is not None else joined.where(able).agg(F.min(F.col("max_repeats") * F.col("available") / F.col("target_share"))).scalar()
     rate = F.when(able, F.least(F.col("target_share") * size / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     # What floating point leaves next to a whole number isn't a fraction to draw by.
-    return joined.withColumn("rate", F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate))
+    whole = F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))
+    # One row per target; as a table it is worked out once, however often it is read.
+    return stage(joined.withColumn("rate", rate).withColumn("rate", whole), "rates")
 
 
 def mixture(sizes: DataFrame, rated: DataFrame, seed: int = 0) -> DataFrame:
