@@ -7,20 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from nodeweft.functions.text import tokens
+from nodeweft.operators.rows import broadcast_if_small, counted
+from nodeweft.session import stage
 
 TOP = 15
+#: Terms up to this number (about 40 bytes each) are broadcast to the postings.
+VOCABULARY_ROWS = 500_000
 DIMENSIONS = 384
 
 
 def term_frequencies(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
-    """(doc, t, tf)"""
-    return docs.select(F.col(doc_id).alias("doc"), F.explode(tokens(text)).alias("t")).groupBy("doc", "t").agg(F.count("*").alias("tf"))
+    """(doc, t, tf), counted within each row: `doc_id` must be unique."""
+    runs = docs.select(F.col(doc_id).alias("doc"), F.explode(counted(tokens(text))).alias("r"))
+    return runs.select("doc", F.col("r.term").alias("t"), F.col("r.tf").cast("long").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -30,21 +35,25 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 def tfidf_rank(docs: DataFrame, doc_id: str, text: Column, question: str, k: int = TOP, order: str | None = None) -> DataFrame:
     """(doc, score): the k documents most similar to the question by the cosine of tf x ln((n + 1) / (df + 1)), scores over
-    0 only, ties in the order of `order` (default: the id). A question without tokens gives no rows."""
+    0 only, ties (in twelve decimals) in the order of `order` (default: the id). A question without tokens gives no rows.
+
+    Texts are split once, into a table of term counts. The vocabulary is broadcast if it is small, so postings don't move;
+    norms and dot products are then summed within each task, one row per document leaves it.
+    """
     spark = docs.sparkSession
-    tf = term_frequencies(docs, doc_id, text)
+    tf = stage(term_frequencies(docs, doc_id, text), "postings")
     n = F.lit(docs.count())
-    weight = F.ln((n + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    df = stage(document_frequencies(tf), "vocabulary")
     asked = spark.range(1).select(F.explode(tokens(F.lit(question))).alias("t")).groupBy("t").agg(F.count("*").alias("qf"))
-    df = document_frequencies(tf)
+    weight = F.ln((n + 1) / (F.coalesce("df", F.lit(0)) + 1))
     q = asked.join(df, "t", "left").select("t", (F.col("qf") * weight).alias("wq"))
-    d = tf.join(df, "t").select("doc", "t", (F.col("tf") * weight).alias("wd"))
-    # One pass over the documents: norms over all terms, dot products over those of the question.
-    scored = d.join(F.broadcast(q), "t", "left").groupBy("doc").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("dn"), F.sum(F.col("wd") * F.col("wq")).alias("dot"))
+    weighted = df.join(F.broadcast(q), "t", "left").select("t", weight.alias("w"), "wq")
+    d = tf.join(broadcast_if_small(weighted, VOCABULARY_ROWS), "t").select("doc", (F.col("tf") * F.col("w")).alias("wd"), "wq")
+    scored = d.groupBy("doc").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("dn"), F.sum(F.col("wd") * F.col("wq")).alias("dot"))
     qn = F.broadcast(q.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qn")))
     one = lambda c: F.when(F.coalesce(c, F.lit(0.0)) == 0, 1.0).otherwise(c)
     score = F.col("dot") / (one(F.col("qn")) * one(F.col("dn")))
-    ranked = scored.where(F.col("dot") > 0).join(qn).select("doc", score.alias("score"))
+    ranked = scored.where(F.col("dot") > 0).join(qn).select("doc", F.round(score, 12).alias("score"))
     if order:
         ranked = ranked.join(docs.select(F.col(doc_id).alias("doc"), F.col(order).alias("_o")), "doc").orderBy(F.desc("score"), "_o").limit(k).drop("_o")
         return ranked
@@ -71,8 +80,6 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: int = TOP) -> DataFr
     both = text_hits.select("label", F.lit(0).alias("s"), "rank").unionByName(vector_hits.select("label", F.lit(1).alias("s"), "rank"))
     firsts = both.groupBy("label").agg(F.min(F.struct("s", "rank")).alias("f"))
     top = firsts.orderBy("f.s", "f.rank", "label").limit(k)
-    from pyspark.sql import Window
-
     # At most k rows are left here.
     return top.select("label", F.row_number().over(Window.orderBy("f.s", "f.rank", "label")).alias("rank"))
 

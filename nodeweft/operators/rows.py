@@ -13,8 +13,19 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def counted(values: Column) -> Column:
+    """An array of strings as an array of (term, tf), by one sort within the row; null for an empty one."""
+
+    def runs(w: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+        return bind(first, lambda at: F.transform(F.sequence(F.lit(1), F.size(at)), lambda k: F.struct(F.get(w, F.get(at, k - 1) - 1).alias("term"), (F.coalesce(F.get(at, k), F.size(w) + 1) - F.get(at, k - 1)).alias("tf"))))
+
+    return F.when(F.size(values) > 0, bind(F.array_sort(values), runs))
+
+
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
-    """One row per key: the one with the greatest `order` columns, ties broken by the greatest row content.
+    """One row per key: the one with the greatest `order` columns, ties broken by the greatest hash of the row, so the same
+    row wins however the table is cut or ordered.
 
     An aggregation, not a window: each task reduces a key to one row before the shuffle, so a key that holds a third
     of the table still moves one row per task. Null keys form one group; null order values count as smallest.

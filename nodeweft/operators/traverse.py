@@ -1,10 +1,10 @@
 """Reachability over edges: impact, ancestors, subclasses.
 
-Two kernels give the same rows. `walk` is a recursive query: one plan, best where few paths branch or few hops are asked,
-since it lists walks. `frontier` goes hop by hop: a join of the new ids with the edges, duplicates dropped, ids seen before
-taken away, the hop written to the shared folder; its work is bounded by the edges, so it is the one for dense or deep
-graphs. `reach` picks by the hops unless told. Ids seen start empty, not with the seeds: a seed on a cycle, or called by
-another seed, belongs to the result.
+Two kernels give the same rows. `frontier`, the default, goes hop by hop: a join of the new ids with the edges, duplicates
+dropped, ids seen before taken away, the hop written to the shared folder; its work is bounded by the edges, so hubs and
+depth don't matter. `walk` is a recursive query: one plan without a write between hops, but it lists walks, so it is for
+sparse graphs and few hops only (spark.sql.cteRecursionRowLimit bounds its rows and fails beyond). Ids seen start empty, not
+with the seeds: a seed on a cycle, or called by another seed, belongs to the result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def clamp_hops(hops: int, most: int = MOST_HOPS) -> int:
 
 def frontier(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(id, depth): all ids reached from `seeds` (id) along `edges` (src to dst) in 1..hops steps, with the least."""
+    # Every hop reads the edges: only their ends are kept, once.
+    edges = stage(edges.select("src", "dst"), "hop-edges")
     current, found = broadcast_if_small(seeds.select("id").distinct(), BROADCAST_ROWS), None
     for depth in range(1, hops + 1):
         grown = edges.join(current, edges["src"] == current["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
@@ -40,10 +42,9 @@ def frontier(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def walk(seeds: DataFrame, edges: DataFrame, hops: int, row_limit: int = 50_000_000) -> DataFrame:
+def walk(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """The same ids by one recursive query over walks."""
     spark = seeds.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", str(row_limit))
     query = f"""
         WITH RECURSIVE r(id, depth) AS (
           SELECT id, 0 FROM {{seeds}} UNION ALL
@@ -53,7 +54,6 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int, row_limit: int = 50_000_
 
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int, kernel: str | None = None) -> DataFrame:
-    kernel = kernel or ("walk" if hops <= 3 else "frontier")
     return (walk if kernel == "walk" else frontier)(seeds, edges, hops)
 
 
