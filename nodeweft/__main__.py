@@ -17,15 +17,14 @@
 from __future__ import annotations
 
 import argparse
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeweft.operators import graph, resolve, traverse, web
-from nodeweft.plans import ask, cypher, export, serve
-from nodeweft.session import build_session, stage
+from nodeweft.operators import graph, resolve, retrieval, traverse, web
+from nodeweft.plans import ask, export, serve
+from nodeweft.session import build_session, read_text, release, share, stage, write_text
 from nodeweft.sources import facts as facts_of
 from nodeweft.sources.tree import manifest, scan_tree, uploaded
 from nodeweft.streaming.incremental import file_diff, has_changes, merged_facts
@@ -40,11 +39,7 @@ class Folder:
         self.spark, self.path = spark, path.rstrip("/")
 
     def current(self) -> str | None:
-        try:
-            with open(f"{self.path}/CURRENT") as f:
-                return f.read().strip()
-        except FileNotFoundError:
-            return None
+        return read_text(f"{self.path}/CURRENT")
 
     def read(self, name: str) -> DataFrame:
         if not self.current():
@@ -56,33 +51,40 @@ class Folder:
         for name, df in tables.items():
             writer = df.write.partitionBy("kind") if name in ("nodes", "edges") else df.write
             writer.parquet(f"{self.path}/{snapshot}/{name}")
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/CURRENT.new", "w") as f:
-            f.write(snapshot)
-        os.replace(f"{self.path}/CURRENT.new", f"{self.path}/CURRENT")
+        write_text(f"{self.path}/CURRENT", snapshot)
 
     def store(self) -> ask.Store:
         return ask.Store(*(self.read(t) for t in ("nodes", "edges", "files", "concepts", "rules", "routes", "renders")))
 
 
-def index(spark: SparkSession, root: str, folder: Folder, full: bool = False, upload: list[dict] | None = None) -> dict[str, int]:
-    """Parses a tree (or an upload) into a new snapshot; without changes nothing is written. Returns the counts of file
-    states."""
-    files = stage(uploaded(spark, upload) if upload is not None else scan_tree(spark, root, ".py").unionByName(scan_tree(spark, root, ".php")), "files")
+def index(spark: SparkSession, root: str, folder: Folder, full: bool = False, upload: list[dict] | None = None, embed=retrieval.hashed_embedding) -> dict:
+    """Parses a tree (or an upload) into a new snapshot, with vectors of names and documentation by `embed` (None stores
+    none); without changes nothing is written. Returns the counts of file states, of render calls and of those resolved, and
+    what an upload left out."""
+    skipped: list[dict] = []
+    files = stage(uploaded(spark, upload, skipped) if upload is not None else scan_tree(spark, root, ".py").unionByName(scan_tree(spark, root, ".php")), "files")
     fresh = full or not folder.current()
     diff = file_diff(folder.read("manifest") if not fresh else manifest(files).limit(0), manifest(files))
-    counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
+    counts: dict = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
+    if skipped:
+        counts["skipped"] = skipped
     if not fresh and not has_changes(diff):
         return counts
     facts = facts_of.file_facts(files) if fresh else merged_facts(folder.read("facts"), folder.read("manifest"), files, facts_of.file_facts)
     facts = stage(facts, "facts")
     nodes, edges = resolve.build_graph(files, facts)
+    if embed is not None:
+        nodes = nodes.withColumn("embedding", retrieval.embed(F.concat_ws(" ", "name", "docstring"), embed))
     nodes, edges = stage(nodes, "nodes"), stage(edges, "edges")
     concepts = stage(web.role_catalog(facts), "concepts")
     rules = graph.load_rules(concepts, nodes, web.branch_rules(facts, concepts))
     routes = graph.load_routes(web.explicit_routes(facts).unionByName(web.convention_routes(files.select("file"))))
-    renders = graph.load_renders(web.view_renders(facts, files))
+    renders = stage(graph.load_renders(web.view_renders(facts, files)), "renders")
+    seen = renders.agg(F.count("*").alias("renders"), F.count_if("resolved").alias("resolved")).first()
+    if seen["renders"]:
+        counts |= seen.asDict()
     folder.write({"files": files, "facts": facts, "manifest": manifest(files), "nodes": nodes, "edges": edges, "concepts": concepts, "rules": rules, "routes": routes, "renders": renders})
+    release()
     return counts
 
 
@@ -98,6 +100,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--master")
     a = p.parse_args(argv)
     spark = build_session(master=a.master)
+    share(f"{a.store}/work")
     folder = Folder(spark, a.store)
     show = lambda df: df.show(a.limit, truncate=False)
     if a.command == "index":
@@ -117,13 +120,13 @@ def main(argv: list[str] | None = None) -> None:
         name = ask.resolve_name(s.nodes, a.what) or a.what
         show(graph.callers(s.nodes, s.edges, name) if a.command == "callers" else traverse.impact(s.nodes, s.edges, name, a.hops).orderBy("file", "name"))
     elif a.command == "roles":
-        show(web.concept_rules(s.concepts, s.rules, s.nodes, a.what) if a.what else s.concepts.orderBy("app", "code"))
+        show(web.concept_rules(s.concepts, s.rules, s.nodes, a.what) if a.what else web.list_concepts(s.concepts))
     elif a.command == "routes":
         show(web.resolved_urls(spark.createDataFrame([(a.what,)], "url string"), s.routes, s.nodes.where(F.col("kind") == "Module")) if a.what else s.routes.orderBy("pattern"))
     elif a.command == "cypher":
-        show(cypher.Graph(s.nodes, s.edges).run(a.what))
+        show(s.patterns().run(a.what))
     elif a.command == "sql":
-        show(cypher.Graph(s.nodes, s.edges).sql(a.what))
+        show(s.patterns().sql(a.what))
     elif a.command == "ask":
         print(ask.answer(s, a.what))
     elif a.command == "visualize":

@@ -19,8 +19,17 @@ INTENTS = {
     "views": r"\bview\b|\brender|\btemplate|\bpartial",
 }
 
-#: What a line of code that reads or writes data looks like.
-DATA_EVIDENCE = (r"\bSELECT\b.+\bFROM\b", r"\bINSERT\s+INTO\b", r"\bUPDATE\b.+\bSET\b", r"\bDELETE\s+FROM\b", r"->table\(", r"->query\(", r"\bnew\s+\w*Model\b", r"\bmodel\(")
+#: What a line of code that reads or writes data looks like; case counts.
+DATA_EVIDENCE = (
+    r"\$this\s*->\s*db\b",
+    r"->\s*table\s*\(",
+    r"->\s*query\s*\(",
+    r"\bModel\s*::",
+    r"\bextends\s+\w*Model\b",
+    r"App\\Models\\\w+",
+    r"\bfind\s*\(|->\s*where\s*\(|->\s*get\s*\(",
+    r"\$_(GET|POST|REQUEST|SESSION)\b",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -74,13 +83,31 @@ def url_or_path(text: Column) -> Column:
 
 def normalized_url(url: Column) -> Column:
     """A URL without scheme, host, query, fragment and outer slashes."""
-    path = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    path = F.regexp_replace(stripped(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+", "")
     return F.regexp_replace(F.substring_index(F.substring_index(path, "?", 1), "#", 1), "^/+|/+$", "")
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def top_folder(path: Column) -> Column:
-    first = F.get(F.split(path, "/"), F.lit(0))
-    return F.when(F.coalesce(first, F.lit("")) == "", F.lit("(root)")).otherwise(first)
+    """The first segment of a path, whichever slashes it has and whether or not it begins with one."""
+    plain = F.regexp_replace(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "^/+|/+$", "")
+    return F.when(plain == "", "(root)").otherwise(F.substring_index(plain, "/", 1))
+
+
+def is_data_access(line: Column) -> Column:
+    """Whether a line of code looks like one that reads or writes data."""
+    return line.rlike("|".join(f"(?:{p})" for p in DATA_EVIDENCE))
+
+
+def split_target(target: Column) -> tuple[Column, Column]:
+    """The class and the method of `Class::method`, split at the last `::`; a target without one has no class."""
+    method = F.substring_index(target, "::", -1)
+    cls = F.when(F.instr(target, "::") > 0, F.substring(target, F.lit(1), F.char_length(target) - F.char_length(method) - 2))
+    return F.nullif(cls, F.lit("")), F.when(method == "", "index").otherwise(method)
 
 
 def app_of(file: Column) -> Column:
@@ -111,6 +138,12 @@ def file_title(text: Column) -> Column:
     return F.when(clean == "", "untitled").otherwise(clean)
 
 
+def note_title(node: Column, kind: Column) -> Column:
+    """The title of a node's note: its id without the kind in front, and the kind."""
+    place = F.when(F.instr(node, "::") > 0, F.regexp_replace(node, "^.*?::", "")).otherwise(node)
+    return file_title(F.concat(place, F.lit(" ("), kind, F.lit(")")))
+
+
 def slug(text: Column) -> Column:
     clean = F.substring(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9_-]+", "_"), "^_+|_+$", ""), 1, 60)
     return F.when(clean == "", "repo").otherwise(clean)
@@ -126,13 +159,18 @@ def context_label(kind: Column, name: Column, file: Column, doc: Column) -> Colu
 
 
 def stored_answer(raw: Column) -> Column:
-    """{type, content, detail} of an answer: parsed JSON, or the raw text as an answer where it isn't any."""
-    parsed = F.from_json(raw, "type string, content string, detail string")
-    known = F.when(parsed["type"].isin("answer", "clarify"), parsed["type"]).otherwise("answer")
-    valid = F.try_parse_json(raw).isNotNull() & F.trim(raw).startswith("{")
-    return F.when(valid, F.struct(known.alias("type"), F.coalesce(parsed["content"], F.lit("")).alias("content"), F.coalesce(parsed["detail"], F.lit("")).alias("detail"))).otherwise(F.struct(F.lit("answer").alias("type"), F.coalesce(raw, F.lit("")).alias("content"), F.lit("").alias("detail")))
-
-
-def inline_script(json: Column) -> Column:
-    """JSON that can stand inside a script element."""
-    return F.replace(json, F.lit("</"), F.lit("<\\/"))
+    """{type, content, detail} of an answer: a JSON object's fields, white space at their ends left out. The raw text stands
+    for a content that is missing or blank, and for anything that isn't an object. A null field reads "None"."""
+    text = F.coalesce(raw, F.lit(""))
+    given = F.try_parse_json(text)
+    kind = F.try_variant_get(given, "$.type", "string")
+
+    def field(name: str) -> Column:
+        there = F.array_contains(F.json_object_keys(text), F.lit(name))
+        value = F.coalesce(F.try_variant_get(given, f"$.{name}", "string"), F.get_json_object(text, f"$.{name}"), F.lit("None"))
+        return F.when(there, stripped(value)).otherwise("")
+
+    content = F.when(field("content") == "", text).otherwise(field("content"))
+    parsed = F.struct(F.when(kind.isin("answer", "clarify"), kind).otherwise("answer").alias("type"), content.alias("content"), field("detail").alias("detail"))
+    is_object = given.isNotNull() & F.json_object_keys(text).isNotNull()
+    return F.when(is_object, parsed).otherwise(F.struct(F.lit("answer").alias("type"), text.alias("content"), F.lit("").alias("detail")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeweft.functions.text import file_title, top_folder
+from nodeweft.functions.text import note_title, top_folder
 from nodeweft.operators.resolve import unique_titles
 from nodeweft.operators.rows import latest_rows
 from nodeweft.schema import EDGE_KINDS, NODE_KINDS, render_id, route_id
@@ -92,32 +92,34 @@ def files_of(nodes: DataFrame) -> DataFrame:
 
 
 def folder_groups(nodes: DataFrame, path: str = "file", entry: str = "name") -> DataFrame:
-    """(folder, entries): the modules of each top folder, sorted."""
-    return nodes.groupBy(top_folder(F.col(path)).alias("folder")).agg(F.array_sort(F.collect_set(F.col(entry))).alias("entries"))
+    """(folder, n, first): how many different modules each top folder holds, and the first of them."""
+    return nodes.groupBy(top_folder(F.col(path)).alias("folder")).agg(F.count_distinct(entry).alias("n"), F.min(entry).alias("first"))
 
 
-def exported(nodes: DataFrame, edges: DataFrame, limit: int = 500, order: str = "id") -> tuple[DataFrame, DataFrame]:
-    """The first `limit` nodes by kind and order, and the edges among them."""
-    kept = nodes.orderBy(kind_rank(), order).limit(limit)
-    ids = kept.select("id")
-    inner = edges.join(F.broadcast(ids.withColumnRenamed("id", "src")), "src", "left_semi").join(F.broadcast(ids.withColumnRenamed("id", "dst")), "dst", "left_semi")
+def folder_modules(nodes: DataFrame) -> DataFrame:
+    """(folder, line): for each module its name, file and the first line of its documentation, cut at 140 characters."""
+    doc = F.substring(F.get(F.split(F.regexp_replace(F.coalesce("docstring", F.lit("")), r"(?U)^\s+|\s+$", ""), r"\r\n|\n|\r"), F.lit(0)), 1, 140)
+    line = F.concat(F.lit("- "), F.coalesce("name", F.lit("")), F.lit(" ("), F.coalesce("file", F.lit("")), F.lit(")"), F.when(doc == "", "").otherwise(F.concat(F.lit(": "), doc)))
+    return nodes.where(F.col("kind") == "Module").select(top_folder(F.col("file")).alias("folder"), line.alias("line"))
+
+
+def exported(nodes: DataFrame, edges: DataFrame, limit: int | None = 500, order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The first `limit` nodes by kind and order, and the edges among them; with None the whole graph, without edges to
+    nodes it doesn't hold."""
+    kept = nodes.orderBy(kind_rank(), order).limit(limit) if limit is not None else nodes
+    ids = kept.select("id") if limit is None else F.broadcast(kept.select("id"))
+    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return kept, inner.select(*edges.columns)
 
 
+def titled_nodes(nodes: DataFrame) -> DataFrame:
+    """`nodes` with a title of their own each, which can name a file."""
+    return unique_titles(nodes.withColumn("_t", note_title(F.col("id"), F.col("kind"))), "_t", "id", "title").drop("_t")
+
+
 def vault_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kind, direction, titles): each node's neighbours by kind of edge and direction, as sorted unique titles."""
-    titles = unique_titles(nodes.select("id", file_title(F.col("name")).alias("_t")), "_t", "id", "title").select("id", "title")
+    titles = titled_nodes(nodes.select("id", "kind")).select("id", "title")
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "kind", F.lit("out").alias("direction")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "kind", F.lit("in").alias("direction")))
     named = both.join(titles.withColumnRenamed("id", "other"), "other")
     return named.groupBy("id", "kind", "direction").agg(F.array_sort(F.collect_set("title")).alias("titles"))
-
-
-def catalog(spark: SparkSession) -> DataFrame:
-    """(table, column, type) of the session's tables and views."""
-    rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
-    return spark.createDataFrame(rows, "table string, column string, type string")
-
-
-def newest_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

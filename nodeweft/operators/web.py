@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeweft.functions.text import app_of, basename, class_file, lower_first, normalized_url, qualified_target
+from nodeweft.functions.text import app_of, basename, class_file, lower_first, normalized_url, qualified_target, split_target
 from nodeweft.operators.resolve import first_ranked, unambiguous
 from nodeweft.operators.rows import broadcast_if_small
 from nodeweft.schema import concept_id
 
 BROADCAST_ROWS = 50_000
-#: Placeholders that a target can refer to.
-MOST_GROUPS = 9
+#: Modules whose controllers lie in one inner folder that is part of the address.
+NESTED_MODULES = (("Ilabo", "Bo"),)
 
 
 def explicit_routes(facts: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def explicit_routes(facts: DataFrame) -> DataFrame:
     return routes.select(F.col("name").alias("pattern"), F.col("extra").alias("http_method"), qualified_target(F.col("target"), F.coalesce("text", "default_namespace")).alias("target"), F.lit("explicit").alias("kind"), F.col("file").alias("source_file"), "lineno")
 
 
-def convention_routes(files: DataFrame, nested: tuple[tuple[str, str], ...] = (("Ilabo", "Bo"),)) -> DataFrame:
+def convention_routes(files: DataFrame, nested: tuple[tuple[str, str], ...] = NESTED_MODULES) -> DataFrame:
     """Routes that follow from a controller's path: module/controller and module/controller/(:any). In the modules of
     `nested`, only controllers below the named folder have routes, and that folder is part of the address."""
     path = F.replace(F.col("file"), F.lit("\\"), F.lit("/"))
@@ -43,18 +43,20 @@ def convention_routes(files: DataFrame, nested: tuple[tuple[str, str], ...] = ((
 
 
 def pattern_regex(pattern: Column) -> Column:
-    """A route pattern as a case-insensitive regular expression: (:any) and (:num) capture, all else is literal."""
-    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")
+    """A route pattern, without outer slashes, as a case-insensitive regular expression: (:any) and (:num) capture, all else
+    is literal."""
+    quoted = F.regexp_replace(F.regexp_replace(pattern, "^/+|/+$", ""), r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")
     return F.concat(F.lit("(?i)^"), F.replace(F.replace(quoted, F.lit(r"\(:any\)"), F.lit("(.*)")), F.lit(r"\(:num\)"), F.lit(r"(\d+)")), F.lit("$"))
 
 
 def substituted(target: Column, url: Column, regex: Column, groups: Column) -> Column:
-    """`$1`, `$2`, ... of a target replaced by what the pattern captured, one after the other."""
-    out = target
-    for k in range(1, MOST_GROUPS + 1):
-        captured = F.when(groups >= k, F.call_function("regexp_extract", url, regex, F.least(F.lit(k), groups))).otherwise(F.lit(f"${k}"))
-        out = F.replace(out, F.lit(f"${k}"), captured)
-    return out
+    """`$1`, `$2`, ... of a target replaced by what the pattern captured, one after the other, however many there are."""
+    # All captures come from one match: the groups' texts, told apart by a character that no address holds.
+    order = F.array_join(F.transform(F.sequence(F.lit(1), groups), lambda k: F.concat(F.lit("$"), k.cast("string"))), "\0")
+    captured = F.split(F.call_function("regexp_replace", url, regex, order), "\0")
+    numbered = F.transform(captured, lambda text, k: F.struct(F.concat(F.lit("$"), (k + 1).cast("string")).alias("mark"), text.alias("text")))
+    filled = F.aggregate(numbered, target, lambda out, g: F.replace(out, g["mark"], g["text"]))
+    return F.when(groups > 0, filled).otherwise(target)
 
 
 def matched_routes(urls: DataFrame, routes: DataFrame, url: str = "url") -> DataFrame:
@@ -67,7 +69,7 @@ def matched_routes(urls: DataFrame, routes: DataFrame, url: str = "url") -> Data
     asked = urls.select(F.col(url).alias("url"), normalized_url(F.col(url)).alias("path"))
     paths = asked.where(F.col("path").isNotNull()).select("path").distinct()
     table = routes.where(F.col("pattern").isNotNull()).select("pattern", "target", "http_method", F.coalesce("id", F.lit("")).alias("id") if "id" in routes.columns else F.lit("").alias("id")).withColumns(
-        {"regex": pattern_regex(F.col("pattern")), "groups": F.size(F.regexp_extract_all("pattern", F.lit(r"\(:(any|num)\)"), F.lit(0))), "literal": F.lower(F.regexp_replace("pattern", r"\(:.*$", ""))}
+        {"regex": pattern_regex(F.col("pattern")), "groups": F.size(F.regexp_extract_all("pattern", F.lit(r"\(:(any|num)\)"), F.lit(0))), "literal": F.lower(F.regexp_replace(F.regexp_replace("pattern", "^/+|/+$", ""), r"\(:.*$", ""))}
     )
     whole = (F.instr("literal", "/") > 0) | (F.col("groups") == 0)
     table = table.withColumn("key", F.when(whole, F.substring_index("literal", "/", 1)).otherwise("*"))
@@ -79,15 +81,20 @@ def matched_routes(urls: DataFrame, routes: DataFrame, url: str = "url") -> Data
 
 
 def resolved_urls(urls: DataFrame, routes: DataFrame, files: DataFrame, url: str = "url") -> DataFrame:
-    """(url, resolved, matched_pattern, class, method, file): the handler of each URL; unmatched URLs are not resolved."""
+    """(url, resolved, matched_pattern, target, class, method, file): the handler of each distinct URL.
+
+    Resolved is an address whose route names a class that a known file holds; its class is given without namespace. Where the
+    target has no class or no such file, the pattern and the filled target are told and the rest is null; where no route
+    matches, all is null. Files are known by their paths with forward slashes and given as they are stored.
+    """
     hits = matched_routes(urls, routes, url)
-    has_method = F.instr("target", "::") > 0
-    cls = F.when(has_method, F.regexp_replace("target", "::[^:]*$", ""))
-    method = F.when(has_method, F.substring_index("target", "::", -1))
-    parts = hits.select("url", F.col("pattern").alias("matched_pattern"), cls.alias("class"), F.when(method == "", "index").otherwise(method).alias("method"), class_file(cls).alias("wanted"))
-    known = files.select(F.col("file").alias("wanted"), F.col("file").alias("file")).distinct()
-    found = parts.join(known, "wanted", "left").select("url", "matched_pattern", "class", "method", "file")
-    return urls.select(F.col(url).alias("url")).distinct().join(found.distinct(), "url", "left").withColumn("resolved", F.col("class").isNotNull())
+    cls, method = split_target(F.col("target"))
+    parts = hits.select("url", F.col("pattern").alias("matched_pattern"), "target", cls.alias("cls"), method.alias("m"), class_file(cls).alias("wanted"))
+    known = files.where(F.col("file").isNotNull()).groupBy(F.replace("file", F.lit("\\"), F.lit("/")).alias("wanted")).agg(F.max("file").alias("file"))
+    found = parts.join(known, "wanted", "left").withColumn("resolved", F.col("file").isNotNull())
+    when = lambda c: F.when(F.col("resolved"), c)
+    found = found.select("url", "resolved", "matched_pattern", "target", when(F.substring_index("cls", "\\", -1)).alias("class"), when(F.col("m")).alias("method"), "file")
+    return urls.select(F.col(url).alias("url")).distinct().join(found.distinct(), "url", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
 def role_catalog(facts: DataFrame) -> DataFrame:
@@ -97,6 +104,14 @@ def role_catalog(facts: DataFrame) -> DataFrame:
     return first.select(concept_id(F.col("app"), F.col("code")).alias("id"), F.lit("Role").alias("kind"), "code", "name", "app", F.col("file").alias("source_file"), "lineno")
 
 
+def list_concepts(concepts: DataFrame, kind: str | None = None) -> DataFrame:
+    """All concepts in order, with their kind; or those of one kind, without it."""
+    columns = ["code", "name", "app", "source_file", "lineno"]
+    if kind:
+        return concepts.where(F.col("kind") == kind).select(*columns).orderBy("app", "code")
+    return concepts.select("kind", *columns).orderBy("kind", "app", "code")
+
+
 def branch_rules(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """(concept_id, target_id, target_kind, effect, condition, lineno, ord) of conditions that mention a known role."""
     keys = concepts.select(F.col("id").alias("concept_id"), F.explode(F.array_distinct(F.array(F.upper("code"), F.upper("name")))).alias("name"))
@@ -125,6 +140,12 @@ def role_pages(concepts: DataFrame, rules: DataFrame, nodes: DataFrame) -> DataF
     return joined.select("role", "file", "effect").distinct()
 
 
+def role_page_lines(concepts: DataFrame, rules: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(role, pages): every page of a role with its effect, as one line. Only the finished line of a role comes together."""
+    page = F.concat("file", F.lit(" ("), "effect", F.lit(")"))
+    return role_pages(concepts, rules, nodes).groupBy("role").agg(F.array_join(F.array_sort(F.collect_list(page)), "; ").alias("pages"))
+
+
 def role_matrix(pages: DataFrame, roles: list[str]) -> DataFrame:
     """One row per file and a column per role with its effect (the greatest, if several)."""
     return pages.groupBy("file").pivot("role", roles).agg(F.max("effect"))

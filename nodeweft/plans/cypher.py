@@ -4,9 +4,15 @@
     WHERE a.file = 'x.py' RETURN DISTINCT a.name AS name, count(b) AS n ORDER BY n DESC LIMIT 10
 
 One or more comma-separated paths of nodes and edges, labels, property maps, both directions, edge variables, bounded
-lengths, conditions joined by AND / OR / NOT, aliases, DISTINCT, count(), ORDER BY, SKIP and LIMIT; DETACH DELETE by a
-pattern; CALL show_tables() and CALL table_info('kind'). Anything else is refused with its place; relational work goes
-through `sql`, which takes named parameters.
+lengths, conditions joined by AND / OR / NOT, aliases, DISTINCT, count(), ORDER BY, SKIP and LIMIT; CALL show_tables() and
+CALL table_info('kind'). Beside the code graph's nodes and edges there are Concept, Route and Render nodes and RULE edges
+(with effect, condition, lineno) where the index holds them. Writes are plans too: CREATE, MERGE .. SET, SET, DELETE and
+DETACH DELETE give a new Graph (`write`). Anything else is refused with its place; relational work goes through `sql`, which
+takes named parameters.
+
+Conditions are split at their ANDs, and each part that reads one variable is applied to that variable's scan before any
+join. A bounded length is walked from the end that is bound: an end is bound if its scan has a property or a condition of
+its own, or if earlier parts of the pattern reached it.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from pyspark.sql import functions as F
 from nodeweft.operators import traverse
 from nodeweft.schema import EDGE_KINDS, NODE_KINDS
 
+WEB_KINDS = ("Concept", "Route", "Render")
+
 _TOKEN = re.compile(r"\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+(?:\.\d+)?)|(?P<param>\$\w+)|(?P<word>`[^`]+`|[A-Za-z_]\w*)|(?P<op><-|->|<>|<=|>=|=~|\.\.|[-=<>(){}\[\]:,.*|;]))")
 MOST_HOPS = 10
 
@@ -59,6 +67,7 @@ class _Parser:
             self.items.append((m.lastgroup, m[m.lastgroup]))
             at = m.end()
         self.at, self.params, self.fresh = 0, params, 0
+        self.read: set[str] = set()
 
     def peek(self, ahead: int = 0) -> str:
         return self.items[self.at + ahead][1] if self.at + ahead < len(self.items) else ""
@@ -182,11 +191,28 @@ class _Parser:
         if got is not None:
             return got
         var = self.name()
+        self.read.add(var)
         if self.peek() == "." and self.kind() == "op":
             self.next()
             return F.col(f"`{var}.{self.name()}`")
         return F.col(f"`{var}`")
 
+    def conjuncts(self) -> list[tuple[set[str], Column]]:
+        """The parts of a condition that ANDs join at the top, each with the variables it reads."""
+        start, parts = self.at, []
+        while True:
+            self.read = set()
+            part = self._not()
+            parts.append((self.read, part))
+            if not self.keyword("AND"):
+                break
+        if self.peek().upper() == "OR":
+            # AND binds closer, so nothing can be split off.
+            self.at, self.read = start, set()
+            whole = self.condition()
+            return [(self.read, whole)]
+        return parts
+
     def condition(self) -> Column:
         out = self._and()
         while self.keyword("OR"):
@@ -231,8 +257,10 @@ class _Parser:
 class Graph:
     """Nodes and edges with the pattern language and SQL over them."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
+    def __init__(self, nodes: DataFrame, edges: DataFrame, concepts: DataFrame | None = None, rules: DataFrame | None = None, routes: DataFrame | None = None, renders: DataFrame | None = None) -> None:
         self.nodes, self.edges = nodes, edges
+        self.others = {k: df for k, df in zip(WEB_KINDS, (concepts, routes, renders), strict=True) if df is not None}
+        self.rules = rules
 
     def sql(self, text: str, **params) -> DataFrame:
         """SQL over the views nodes and edges and one view per kind of each, with named parameters (:name)."""
@@ -242,34 +270,55 @@ class Graph:
             self.nodes.where(F.col("kind") == kind).createOrReplaceTempView(kind.lower())
         for kind in EDGE_KINDS:
             self.edges.where(F.col("kind") == kind).createOrReplaceTempView(kind.lower())
+        for kind, df in self.others.items():
+            df.createOrReplaceTempView(kind.lower())
+        if self.rules is not None:
+            self.rules.createOrReplaceTempView("rule")
         return self.nodes.sparkSession.sql(text, args=params or None)
 
-    def _scan(self, n: _Node) -> DataFrame:
-        df = self.nodes
-        if n.label:
+    def _scan(self, n: _Node, conditions: list[tuple[set[str], Column]] = ()) -> DataFrame:
+        df = self.others[n.label] if n.label in self.others else self.nodes
+        if n.label in WEB_KINDS and n.label not in self.others:
+            raise CypherError(f"there is no {n.label} table")
+        if n.label and n.label not in self.others:
             df = df.where(F.col("kind") == n.label)
         for key, value in n.props.items():
+            if key not in df.columns:
+                raise CypherError(f"{n.label or 'a node'} has no {key}")
             df = df.where(F.col(key) == value)
-        return df.select(*[F.col(c).alias(f"{n.var}.{c}") for c in self.nodes.columns])
-
-    def _hop(self, left: DataFrame, a: _Node, e: _Edge, b: _Node, seen: set[str]) -> DataFrame:
-        unknown = [k for k in e.kinds if k not in EDGE_KINDS and k != "RULE"]
+        df = df.select(*[F.col(c).alias(f"{n.var}.{c}") for c in df.columns])
+        for read, part in conditions:
+            if read == {n.var}:
+                df = df.where(part)
+        return df
+
+    def _links(self, e: _Edge) -> DataFrame:
+        """(src, dst, kind and the like) of the kinds that an edge asks for."""
+        unknown = [k for k in e.kinds if k not in EDGE_KINDS and (k != "RULE" or self.rules is None)]
         if unknown:
             raise CypherError(f"unknown edge kind {unknown[0]}")
-        edges = self.edges.where(F.col("kind").isin(*e.kinds)) if e.kinds else self.edges
+        plain = [k for k in e.kinds if k != "RULE"]
+        edges = self.edges.where(F.col("kind").isin(*plain)) if e.kinds else self.edges
+        if "RULE" in e.kinds:
+            rules = self.rules.select(F.col("concept_id").alias("src"), F.col("target_id").alias("dst"), F.lit("RULE").alias("kind"), "effect", "condition", "lineno")
+            edges = rules if not plain else edges.unionByName(rules, allowMissingColumns=True)
+        return edges
+
+    def _hop(self, left: DataFrame, a: _Node, e: _Edge, b: _Node, seen: set[str], conditions: list[tuple[set[str], Column]]) -> DataFrame:
+        edges = self._links(e)
         start, end = ("src", "dst") if e.forward else ("dst", "src")
-        target = self._scan(b)
+        target = None if b.var in seen else self._scan(b, conditions)
         if e.variable:
             if e.low != 1:
                 raise CypherError("a length must begin at 1")
-            # Reachability is sought from the narrower end: from the target's side if that is bound by a property.
             directed = edges.select(F.col(start).alias("src"), F.col(end).alias("dst"))
-            steps = _pairs(left.select(F.col(f"`{a.var}.id`").alias("id")).distinct(), directed, e.high)
+            ends = left.select(F.col(f"`{a.var}.id`").alias("id")).distinct()
+            steps = _pairs(ends, directed, e.high)
         else:
             extra = [F.col(c).alias(f"{e.var}.{c}") for c in edges.columns if c not in ("src", "dst")] if e.var else []
             steps = edges.select(F.col(start).alias("_from"), F.col(end).alias("_to"), *extra)
         joined = left.join(steps, left[f"`{a.var}.id`"] == steps["_from"])
-        if b.var in seen:
+        if target is None:
             return joined.where(F.col("_to") == F.col(f"`{b.var}.id`")).drop("_from", "_to")
         return joined.join(target, joined["_to"] == target[f"`{b.var}.id`"]).drop("_from", "_to")
 
@@ -280,35 +329,34 @@ class Graph:
         while p.peek() == ",":
             p.next()
             wants.append(p.path())
-        condition = p.condition() if p.keyword("WHERE") else None
+        conditions = p.conjuncts() if p.keyword("WHERE") else []
+        bound = {v for read, _ in conditions if len(read) == 1 for v in read}
+
+        def turned(nodes: list[_Node], edges: list[_Edge]) -> tuple[list[_Node], list[_Edge]]:
+            return nodes[::-1], [_Edge(e.var, e.kinds, not e.forward, e.low, e.high, e.variable) for e in edges[::-1]]
+
         for nodes, edges in wants:
-            if len(edges) == 1 and edges[0].variable and df is None and condition is not None:
-                # A bounded walk: the condition may bind only its far end, so it is pushed there before walking back.
-                far = self._scan(nodes[1])
-                try:
-                    narrowed = far.where(condition)
-                    narrowed.schema
-                except Exception:
-                    narrowed = None
-                if narrowed is not None:
-                    back = _Edge(None, edges[0].kinds, not edges[0].forward, edges[0].low, edges[0].high, True)
-                    df = self._hop(narrowed, nodes[1], back, nodes[0], {nodes[1].var})
-                    seen |= {n.var for n in nodes}
-                    continue
             if df is None:
-                df = self._scan(nodes[0])
+                # The pattern is followed from its narrower end.
+                narrow = [bool(n.props) or n.var in bound for n in (nodes[0], nodes[-1])]
+                if narrow == [False, True]:
+                    nodes, edges = turned(nodes, edges)
+                df = self._scan(nodes[0], conditions)
             elif nodes[0].var not in seen:
-                shared = [k for k, n in enumerate(nodes) if n.var in seen]
-                if not shared:
+                if not any(n.var in seen for n in nodes):
                     raise CypherError("paths must share a node; use sql for anything else")
-                nodes, edges = nodes[::-1], [_Edge(e.var, e.kinds, not e.forward, e.low, e.high, e.variable) for e in edges[::-1]]
+                nodes, edges = turned(nodes, edges)
                 if nodes[0].var not in seen:
                     raise CypherError("a further path must begin or end with a node that is already bound")
             seen.add(nodes[0].var)
             for a, e, b in zip(nodes, edges, nodes[1:], strict=False):
-                df = self._hop(df, a, e, b, seen)
+                df = self._hop(df, a, e, b, seen, conditions)
                 seen.add(b.var)
-        return df.where(condition) if condition is not None else df
+        for read, part in conditions:
+            # What reads one node has been applied to its scan.
+            if len(read) != 1 or not read <= {n.var for nodes, _ in wants for n in nodes}:
+                df = df.where(part)
+        return df
 
     def run(self, text: str, **params) -> DataFrame:
         """The rows of a query; for DETACH DELETE the ids of the nodes to delete (see `delete`)."""
@@ -381,21 +429,94 @@ class Graph:
             raise CypherError(f"unexpected {p.peek()!r}")
         return out
 
+    def _with(self, nodes: DataFrame, edges: DataFrame) -> "Graph":
+        return Graph(nodes, edges, self.others.get("Concept"), self.rules, self.others.get("Route"), self.others.get("Render"))
+
     def delete(self, text: str, **params) -> "Graph":
         """The graph without the nodes that a DETACH DELETE names and without their edges."""
         gone = self.run(text, **params)
         nodes = self.nodes.join(gone, "id", "left_anti").select(*self.nodes.columns)
         edges = self.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        return Graph(nodes, edges.select(*self.edges.columns))
+        return self._with(nodes, edges.select(*self.edges.columns))
+
+    def write(self, text: str, **params) -> "Graph":
+        """The graph after a write to nodes and edges:
+
+        CREATE (:Kind {id: ..}), MERGE (n:Kind {id: ..}) SET n.x = .., MATCH .. SET n.x = .., MATCH .. DELETE e,
+        MATCH .. DETACH DELETE n, MATCH .. MERGE (a)-[:KIND]->(b), MATCH .. CREATE (a)-[:KIND]->(b).
+        A created id that exists is an error; MERGE takes the node that is there. A column that is set must exist.
+        """
+        p = _Parser(text, params)
+        if p.keyword("CREATE"):
+            n = p.node()
+            new = self._new(n)
+            if self.nodes.join(new.select("id"), "id", "left_semi").take(1):
+                raise CypherError("a node of this id exists")
+            return self._with(self.nodes.unionByName(new, allowMissingColumns=True), self.edges)
+        if p.keyword("MERGE"):
+            n = p.node()
+            new = self._new(n).join(self.nodes.select("id"), "id", "left_anti")
+            merged = self.nodes.unionByName(new, allowMissingColumns=True)
+            here = (F.col("kind") == n.label) & (F.col("id") == n.props["id"])
+            return self._with(self._set(p, n.var, merged, here), self.edges) if p.keyword("SET") else self._with(merged, self.edges)
+        p.expect("MATCH")
+        df = self._match(p)
+        if p.keyword("DETACH", "DELETE"):
+            return self.delete(text, **params)
+        if p.keyword("SET"):
+            var = p.peek()
+            ids = df.select(F.col(f"`{var}.id`").alias("id")).distinct().withColumn("_hit", F.lit(True))
+            marked = self.nodes.join(ids, "id", "left")
+            return self._with(self._set(p, var, marked, F.coalesce("_hit", F.lit(False))).select(*self.nodes.columns), self.edges)
+        if p.keyword("DELETE"):
+            raise CypherError("edges are deleted with their nodes; use DETACH DELETE")
+        if p.keyword("MERGE") or p.keyword("CREATE"):
+            nodes, edges = p.path()
+            if len(edges) != 1 or len(edges[0].kinds) != 1 or edges[0].variable or edges[0].kinds[0] not in EDGE_KINDS:
+                raise CypherError("one edge of one kind can be merged")
+            a, b = nodes if edges[0].forward else nodes[::-1]
+            new = df.select(F.col(f"`{a.var}.id`").alias("src"), F.col(f"`{b.var}.id`").alias("dst"), F.lit(edges[0].kinds[0]).alias("kind"))
+            return self._with(self.nodes, self.edges.select("src", "dst", "kind").unionByName(new).distinct())
+        raise CypherError(f"expected SET, MERGE, CREATE or DETACH DELETE, found {p.peek()!r}")
+
+    def _new(self, n: _Node) -> DataFrame:
+        if n.label not in NODE_KINDS or "id" not in n.props:
+            raise CypherError("a new node needs a kind and an id")
+        types = dict(self.nodes.dtypes)
+        unknown = [k for k in n.props if k not in types]
+        if unknown:
+            raise CypherError(f"{n.label} has no {unknown[0]}")
+        given = n.props | {"kind": F.lit(n.label)}
+        return self.nodes.sparkSession.range(1).select(*[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in self.nodes.columns])
+
+    def _set(self, p: _Parser, var: str, nodes: DataFrame, here: Column) -> DataFrame:
+        """`nodes` with the assignments at the parser's place made where `here` holds."""
+        while True:
+            if p.name() != var:
+                raise CypherError(f"only {var} can be set here")
+            p.expect(".")
+            key = p.name()
+            p.expect("=")
+            value = p.literal()
+            if key not in self.nodes.columns or key in ("id", "kind") or value is None:
+                raise CypherError(f"{key} can't be set")
+            nodes = nodes.withColumn(key, F.when(here, value.cast(dict(self.nodes.dtypes)[key])).otherwise(F.col(key)))
+            if p.peek() != ",":
+                return nodes
+            p.next()
 
     def _call(self, p: _Parser) -> DataFrame:
         spark, what = self.nodes.sparkSession, p.name().lower()
         p.expect("(")
         if what == "show_tables":
-            return spark.createDataFrame([(k, "NODE") for k in NODE_KINDS] + [(k, "REL") for k in EDGE_KINDS], "name string, type string")
+            rels = (*EDGE_KINDS, *(("RULE",) if self.rules is not None else ()))
+            return spark.createDataFrame([(k, "NODE") for k in (*NODE_KINDS, *self.others)] + [(k, "REL") for k in rels], "name string, type string")
         if what == "table_info":
             kind = p.next().strip("'\"")
-            fields = (self.nodes if kind in NODE_KINDS else self.edges).schema.fields
+            known = self.others | {k: self.nodes for k in NODE_KINDS} | {k: self.edges for k in EDGE_KINDS} | ({"RULE": self.rules} if self.rules is not None else {})
+            if kind not in known:
+                raise CypherError(f"there is no {kind} table")
+            fields = known[kind].schema.fields
             return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "property_id int, name string, type string")
         raise CypherError(f"unknown procedure {what}")
 

@@ -33,6 +33,26 @@ def part_edges(spark: SparkSession, folder: str) -> DataFrame:
     return calls.withColumn("kind", F.lit("CALLS")).unionByName(inherits.withColumn("kind", F.lit("INHERITS")))
 
 
+def written_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content): the same graph as Python source, a module for each brand, so that parsing and resolution can be
+    checked against SQL over the edges that were written down. A function `f_1` calls, a class `C_1` extends, and what
+    another module holds is imported."""
+    key = F.col("p_partkey").cast("string")
+    own = table(spark, folder, "part", "p_partkey", "p_brand").select(key.alias("k"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("m"))
+    ends = part_edges(spark, folder).select("kind", F.substring_index("src", "::", -1).alias("a"), F.substring_index("dst", "::", -1).alias("b"))
+    edges = ends.join(own.select(F.col("k").alias("a"), "m"), "a").join(own.select(F.col("k").alias("b"), F.col("m").alias("n")), "b")
+    name = F.concat(F.when(F.col("kind") == "CALLS", "f_").otherwise("C_"), "b")
+    imports = edges.where("m <> n").select("m", F.concat(F.lit("from pkg."), "n", F.lit(" import "), name).alias("line")).distinct()
+    heads = imports.groupBy("m").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("head"))
+    calls = edges.where("kind = 'CALLS'").groupBy(F.col("a").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("    f_"), "b", F.lit("()\n")))), "").alias("calls"))
+    bases = edges.where("kind = 'INHERITS'").select(F.col("a").alias("k"), F.concat(F.lit("(C_"), "b", F.lit(")")).alias("base"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    body = F.concat(F.lit("class C_"), "k", empty("base"), F.lit(":\n    pass\n\n\ndef f_"), "k", F.lit("():\n    \"\"\"Part "), "k", F.lit('."""\n'), empty("calls"))
+    bodies = own.join(calls, "k", "left").join(bases, "k", "left").groupBy("m").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", body.alias("t"))))["t"], "\n\n").alias("body"))
+    written = bodies.join(heads, "m", "left").select(F.concat(F.lit("pkg/"), "m", F.lit(".py")).alias("file"), F.concat_ws("\n\n\n", "head", "body").alias("content"))
+    return written.unionByName(spark.range(1).select(F.lit("pkg/__init__.py").alias("file"), F.lit("").alias("content")))
+
+
 def segment_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(concepts, targets, rules): roles are market segments, targets nations, the effect goes by the order's status."""
     c = table(spark, folder, "customer", "c_custkey", "c_mktsegment", "c_nationkey")

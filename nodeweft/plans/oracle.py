@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nodeweft.functions.text import DATA_EVIDENCE, INTENTS
+from . import fixtures
 
 _NODES = "now AS (SELECT id, arg_max({'kind': kind, 'name': name, 'file': file}, indexed_at) AS r FROM nodes GROUP BY id)"
 _FILES = "f AS (SELECT file, arg_max(content, indexed_at) AS content FROM files GROUP BY file)"
@@ -42,7 +42,7 @@ def _tfidf(question: list[str], k: int) -> str:
 q AS (SELECT t, count(*) * ln((n + 1) / (coalesce(any_value(df), 0) + 1)) AS wq FROM (VALUES {q}) v(t) LEFT JOIN df USING (t), n GROUP BY t, n),
 d AS (SELECT doc_id, t, tf * ln((n + 1) / (df + 1)) AS wd FROM tf JOIN df USING (t), n),
 s AS (SELECT doc_id, sqrt(sum(wd * wd)) AS dn, sum(wd * wq) AS dot FROM d LEFT JOIN q USING (t) GROUP BY doc_id),
-tfidf AS (SELECT doc_id, dot / ((SELECT sqrt(sum(wq * wq)) FROM q) * dn) AS score FROM s WHERE dot > 0 ORDER BY score DESC, doc_id LIMIT {k})"""
+tfidf AS (SELECT doc_id, round(dot / ((SELECT sqrt(sum(wq * wq)) FROM q) * dn), 12) AS score FROM s WHERE dot > 0 ORDER BY score DESC, doc_id LIMIT {k})"""
 
 
 _ROUTES = r"""routes(pattern, method, target, rx, groups) AS (VALUES
@@ -64,6 +64,12 @@ _SQL: dict[str, str] = {
     "subclasses_5": _reach("INHERITS", "3", 5, True, "Class"),
     "cypher_reach": _reach("CALLS", "small ring", 3, True, "Function"),
     "callers": f"WITH {_PN}, {_PE} SELECT a.name AS caller, a.file, 0::BIGINT AS line FROM pe JOIN pn a ON a.id = src JOIN pn b ON b.id = dst WHERE pe.kind = 'CALLS' AND b.name = 'small ring' AND b.kind = 'Function'",
+    "cypher_reach_map": _reach("CALLS", "small ring", 3, True, "Function"),
+    "cypher_reach_both": f"SELECT * FROM ({_reach('CALLS', 'small ring', 3, True, 'Function')}) WHERE file = 'Brand#11'",
+    "cypher_rules": f"WITH {_RULES} SELECT n_name AS target, effect FROM rn WHERE role = 'BUILDING'",
+    "cypher_write": f"""WITH {_PN} SELECT id, kind, name, CASE WHEN id = 'function::part::1' THEN 'moved' ELSE file END AS file, CASE WHEN kind = 'Function' AND file = 'Brand#11' THEN 7 ELSE 0 END::BIGINT AS lineno,
+  CASE WHEN kind = 'Function' AND file = 'Brand#11' THEN 'seen' ELSE '' END AS docstring FROM pn WHERE NOT (kind = 'Class' AND file = 'Brand#12')
+UNION ALL SELECT 'class::new', 'Class', 'New', 'x', NULL, NULL""",
     "cypher_callers": f"WITH {_PN}, {_PE} SELECT DISTINCT a.name AS caller, a.file FROM pe JOIN pn a ON a.id = src JOIN pn b ON b.id = dst WHERE pe.kind = 'CALLS' AND b.name = 'small ring' AND b.kind = 'Function'",
     "cypher_counts": f"WITH {_PN} SELECT name, count(*) AS n FROM pn WHERE kind = 'Function' AND file = 'Brand#11' GROUP BY name ORDER BY n DESC, name LIMIT 20",
     "neighbors": f"WITH {_PE} SELECT dst AS id, kind, 'out' AS direction FROM pe WHERE src = 'function::part::7' UNION ALL SELECT src, kind, 'in' FROM pe WHERE dst = 'function::part::7'",
@@ -81,7 +87,7 @@ SELECT id, r.kind AS kind, r.name AS name, r.file AS file, r.lineno AS lineno FR
     "role_rules": f"WITH {_RULES} SELECT n_name AS target, effect FROM rn WHERE role = 'BUILDING'",
     "file_rules": f"WITH {_RULES} SELECT role AS code, effect FROM rn WHERE n_name = 'NATION_3'",
     "role_matrix": f"""WITH {_RULES} SELECT n_name AS file, max(effect) FILTER (role = 'AUTOMOBILE') AS "AUTOMOBILE", max(effect) FILTER (role = 'BUILDING') AS "BUILDING", max(effect) FILTER (role = 'MACHINERY') AS "MACHINERY" FROM rn GROUP BY n_name""",
-    "role_pages_list": f"WITH {_RULES} SELECT role, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS files FROM rn GROUP BY role",
+    "role_pages_list": f"WITH {_RULES} SELECT role, string_agg(DISTINCT n_name || ' (' || effect || ')', '; ' ORDER BY n_name || ' (' || effect || ')') AS pages FROM rn GROUP BY role",
     "file_hashes": f"WITH {_FILES} SELECT file, sha1(content) AS sha1 FROM f WHERE content IS NOT NULL",
     "tfidf_topk": f"WITH {_tfidf(['which', 'function', 'renders', 'ledger', 'page'], 15)} SELECT doc_id, round(score, 6) AS score FROM tfidf",
     "term_stats": f"WITH {_TOK} SELECT t, df FROM df",
@@ -94,9 +100,12 @@ SELECT label, rank::INTEGER AS rank FROM (SELECT label, row_number() OVER (ORDER
     "url_extract": f"WITH {_ASKED} SELECT url FROM a",
     "url_normalize": f"WITH {_ASKED} SELECT url, path FROM a",
     "route_match": f"WITH {_ASKED}, {_ROUTES} SELECT url, pattern, target FROM hit",
-    "route_resolve": rf"""WITH {_ASKED}, {_ROUTES}, p AS (SELECT url, pattern, regexp_replace(target, '::[^:]*$', '') AS c, regexp_extract(target, '::([^:]*)$', 1) AS m FROM hit)
-SELECT a.url, p.pattern AS matched_pattern, c AS class_name, CASE WHEN m = '' THEN 'index' ELSE m END AS method,
-  CASE WHEN c = 'App\Pages\Edit' THEN 'app/Pages/Edit.php' WHEN c = '\App\Ledger' THEN 'app/Ledger.php' END AS file, c IS NOT NULL AS resolved FROM a LEFT JOIN p USING (url)""",
+    "route_resolve": rf"""WITH {_ASKED}, {_ROUTES}, p AS (SELECT url, pattern, target, CASE WHEN contains(target, '::') THEN regexp_extract(target, '^(.*)::', 1) END AS c, regexp_extract(target, '([^:]*)$', 1) AS m FROM hit),
+w AS (SELECT *, CASE ltrim(c, '\') WHEN 'App\Pages\Edit' THEN 'app/Pages/Edit.php' WHEN 'App\Ledger' THEN 'app\Ledger.php' END AS file FROM p)
+SELECT a.url, coalesce(file IS NOT NULL, false) AS resolved, pattern AS matched_pattern, target, CASE WHEN file IS NOT NULL THEN string_split(c, '\')[-1] END AS class_name,
+  CASE WHEN file IS NOT NULL THEN CASE WHEN m = '' THEN 'index' ELSE m END END AS method, file FROM a LEFT JOIN w USING (url)""",
+    "route_patterns": r"""SELECT '/' || array_to_string(list_transform(range(1, 12), lambda i: 'k' || p_partkey || 'x' || i), '/') || '/' AS url, '/(:any)/(:any)/(:any)/(:any)/(:any)/(:any)/(:any)/(:any)/(:any)/(:any)/(:any)/' AS pattern,
+  'App\Deep::go/k' || p_partkey || 'x11/k' || p_partkey || 'x2/k' || p_partkey || 'x9' AS target FROM part UNION ALL SELECT '/order/new', '/order/new/', 'App\Order::create'""",
     "convention_routes": r"""WITH c AS (SELECT DISTINCT regexp_replace(file, '^[^/]+/', '') AS p FROM files),
 x AS (SELECT regexp_extract(p, '(?i)^app/Modules/([^/]+)/Controllers/([^/]+)\.php$', 1) AS m, regexp_extract(p, '(?i)^app/Modules/([^/]+)/Controllers/([^/]+)\.php$', 2) AS k FROM c WHERE regexp_matches(p, '(?i)^app/Modules/([^/]+)/Controllers/([^/]+)\.php$')),
 y AS (SELECT lower(m) || '/' || lower(k[1]) || k[2:] AS a, 'App\Modules\' || m || '\Controllers\' || k AS t FROM x WHERE lower(m) <> 'ilabo')
@@ -123,31 +132,86 @@ l AS (SELECT file, CASE WHEN contains(q, lower(base)) THEN length(base) WHEN len
 SELECT file, length::INTEGER AS length FROM l WHERE length IS NOT NULL ORDER BY l.length DESC, file LIMIT 1""",
     "hop_counts": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN greatest(1, least(p_size, 10)) ELSE 3 END::BIGINT AS hops FROM part",
     "top_folder_groups": f"WITH {_NODES} SELECT string_split(r.file, '/')[1] AS folder, count(DISTINCT r.name) AS n, min(r.name) AS first FROM now WHERE r.kind = 'Module' GROUP BY 1",
+    "top_folder_forms": r"""WITH f AS (SELECT DISTINCT file FROM files), p AS (SELECT file AS path FROM f UNION SELECT '/' || file FROM f UNION SELECT replace(file, '/', '\') FROM f UNION SELECT '/' UNION SELECT NULL)
+SELECT path, CASE WHEN path IS NULL OR path = '/' THEN '(root)' ELSE regexp_extract(path, '[^/\\]+') END AS folder FROM p""",
+    "folder_listing": r"""WITH now AS (SELECT id, arg_max({'kind': kind, 'name': name, 'file': file, 'doc': docstring}, indexed_at) AS r FROM nodes GROUP BY id),
+d AS (SELECT r, regexp_extract(regexp_replace(coalesce(r.doc, ''), '^\s+', ''), '^[^\r\n]*')[1:140] AS doc FROM now WHERE r.kind = 'Module')
+SELECT string_split(r.file, '/')[1] AS folder, '- ' || r.name || ' (' || r.file || ')' || CASE WHEN doc = '' THEN '' ELSE ': ' || doc END AS line FROM d""",
     "chat_list": "WITH c AS (SELECT id, max(updated_at) AS updated_at, arg_max(repo_db_path, updated_at) AS p FROM chats GROUP BY id) SELECT id, updated_at FROM c WHERE p = (SELECT min(repo_db_path) FROM chats)",
     "chat_history": "SELECT DISTINCT id, seq, question, answer FROM messages WHERE chat_id = (SELECT min(chat_id) FROM messages)",
     "chat_next_seq": "SELECT chat_id, coalesce(max(seq), -1) + 1 AS next_seq FROM messages GROUP BY chat_id",
     "registry_latest": "SELECT db_path, arg_max(name, added_at) AS name FROM registry GROUP BY db_path",
     "vault_adjacency": f"""WITH {_PN}, {_PE}, b AS (SELECT src AS id, dst AS other, kind, 'out' AS direction FROM pe UNION ALL SELECT dst, src, kind, 'in' FROM pe)
 SELECT b.id, b.kind, direction, count(DISTINCT other) AS n FROM b JOIN pn ON pn.id = other GROUP BY ALL""",
+    "export_whole": f"WITH {_PE} SELECT src, dst, kind FROM pe WHERE kind = 'CALLS'",
+    "vault_notes": f"""WITH {_PN}, {_PE}, t AS (SELECT *, replace(regexp_replace(id, '^[a-z]+::', ''), ':', '_') || ' (' || kind || ')' AS title FROM pn),
+b AS (SELECT src AS id, dst AS other, CASE kind WHEN 'CALLS' THEN 5 ELSE 7 END AS place, CASE kind WHEN 'CALLS' THEN 'Calls' ELSE 'Inherits From' END AS heading FROM pe
+  UNION ALL SELECT dst, src, CASE kind WHEN 'CALLS' THEN 6 ELSE 8 END, CASE kind WHEN 'CALLS' THEN 'Called By' ELSE 'Inherited By' END FROM pe),
+s AS (SELECT b.id, place, chr(10) || chr(10) || '## ' || heading || chr(10) || string_agg(DISTINCT '- [[' || title || ']]', chr(10) ORDER BY '- [[' || title || ']]') AS s FROM b JOIN t ON t.id = b.other GROUP BY b.id, place, heading),
+l AS (SELECT id, string_agg(s, '' ORDER BY place) AS s FROM s GROUP BY id)
+SELECT title, '---' || chr(10) || 'kind: ' || kind || chr(10) || 'file: "' || file || '"' || chr(10) || 'tags: [nodeweft, ' || kind || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || name || chr(10) || chr(10)
+  || '*' || kind || '* in `' || file || '`' || coalesce(s, '') || chr(10) AS body FROM t LEFT JOIN l USING (id)""",
+    "vault_titles": """WITH n AS (SELECT DISTINCT 'function::' || p_name || repeat(':', (p_partkey % 7)::INT) || repeat('/', (6 - p_partkey % 7)::INT) AS id FROM part),
+t AS (SELECT id, replace(replace(regexp_replace(id, '^function::', ''), ':', '_'), '/', '_') || ' (Function)' AS base FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM t)
+SELECT id, CASE WHEN k = 1 THEN base ELSE base || ' ' || k END AS title FROM r""",
     "export_capped": f"WITH {_PN}, {_PE}, k AS (SELECT id FROM pn WHERE kind = 'Function' ORDER BY id LIMIT 500) SELECT src, dst, kind FROM pe WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)",
     "chat_titles": r"""WITH q AS (SELECT chat_id, arg_min({'q': question}, {'s': coalesce(seq, 4611686018427387904), 'i': id}).q AS q FROM messages WHERE chat_id IS NOT NULL GROUP BY chat_id),
 t AS (SELECT chat_id, trim(replace(trim(coalesce(q, '')), chr(10), ' ')) AS c FROM q)
 SELECT chat_id, CASE WHEN c = '' THEN '(image)' WHEN length(c) > 60 THEN rtrim(c[1:59]) || '…' ELSE c END AS title FROM t""",
 }
 _SQL["route_load"] = "SELECT 'route::explicit::app/Config/Routes.php::' || i || '::' || m || '::' || p AS id, p AS pattern FROM (VALUES (0, 'GET', '(:any)/config'), (1, 'GET', '(:any)/edit'), (2, 'GET', '(:any)/list'), (3, 'GET', '(:any)/show/(:num)'), (4, 'GET', 'ledger/(:any)'), (5, 'POST', 'order/new'), (6, 'GET', 'unit/show/(:num)')) v(i, m, p)"
-_SQL["stored_answers"] = """WITH m AS (SELECT DISTINCT id, answer FROM messages WHERE answer IS NOT NULL)
-SELECT id, CASE WHEN json_valid(answer) AND starts_with(trim(answer), '{') THEN coalesce(json_extract_string(answer, '$.content'), '') ELSE answer END AS content FROM m"""
-_EVIDENCE = " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in DATA_EVIDENCE)
-_SQL["data_evidence"] = f"""WITH {_FILES}, l AS (SELECT file, string_split(content, chr(10)) AS ls FROM f), x AS (SELECT file, unnest(ls) AS line, generate_subscripts(ls, 1) AS lineno FROM l),
-h AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY lineno) AS n FROM x WHERE {_EVIDENCE}) SELECT file, lineno, trim(line)[1:120] AS line FROM h WHERE n <= 20"""
-_HITS = ", ".join(f"CASE WHEN regexp_matches(question, '(?is){p}') THEN '{k}' END" for k, p in sorted(INTENTS.items()))
+_SQL["stored_answers"] = r"""WITH m AS (SELECT DISTINCT id, answer FROM messages WHERE answer IS NOT NULL),
+j AS (SELECT *, json_valid(answer) AND regexp_matches(answer, '^\s*\{') AS ok FROM m),
+x AS (SELECT id, answer, ok, CASE WHEN ok THEN json_extract_string(answer, '$.type') END AS t,
+  CASE WHEN ok AND json_type(answer, '$.content') = 'NULL' THEN 'None' WHEN ok THEN json_extract_string(answer, '$.content') END AS c,
+  CASE WHEN ok AND json_type(answer, '$.detail') = 'NULL' THEN 'None' WHEN ok THEN json_extract_string(answer, '$.detail') END AS d FROM j),
+y AS (SELECT *, regexp_replace(regexp_replace(coalesce(c, ''), '^[\s\p{Z}\x{85}]+', ''), '[\s\p{Z}\x{85}]+$', '') AS cs, regexp_replace(regexp_replace(coalesce(d, ''), '^[\s\p{Z}\x{85}]+', ''), '[\s\p{Z}\x{85}]+$', '') AS ds FROM x)
+SELECT id, CASE WHEN t IN ('answer', 'clarify') THEN t ELSE 'answer' END AS type, CASE WHEN cs = '' THEN answer ELSE cs END AS content, ds AS detail FROM y"""
+_SQL["stored_hashes"] = f"WITH {_FILES} SELECT file, sha1(CASE WHEN length(file) % 3 = 0 THEN content || 'ÿ' ELSE content END) AS sha1 FROM f WHERE content IS NOT NULL"
+# The patterns are written out here, so that the list in the code is checked too.
+_SQL["data_evidence"] = rf"""WITH {_FILES}, l AS (SELECT file, regexp_split_to_array(content, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM f), x AS (SELECT file, unnest(ls) AS line, generate_subscripts(ls, 1) AS lineno FROM l),
+h AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY lineno) AS n FROM x WHERE regexp_matches(line, '\$this\s*->\s*db\b') OR regexp_matches(line, '->\s*(table|query|where|get)\s*\(') OR regexp_matches(line, '\bModel\s*::')
+  OR regexp_matches(line, '\bextends\s+\w*Model\b') OR regexp_matches(line, 'App\\Models\\\w+') OR regexp_matches(line, '\bfind\s*\(') OR regexp_matches(line, '\$_(GET|POST|REQUEST|SESSION)\b'))
+SELECT file, lineno, regexp_replace(regexp_replace(line, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '')[1:120] AS line FROM h WHERE n <= 20"""
+_INTENT_FORMS = {
+    "roles": r"\brole|\bpermission|\baccess level|\bwho can\b",
+    "rules": r"\brule|\bgate|\ballow|\bdeny|\bvalidat|\bcondition|\brestrict",
+    "data_source": r"\bdata\b.*\bcome|\bwhere.*data|\bdatabase|\btable\b|\bsql\b|\bmodel\b|\bsource\b|\bfetch|\bquery",
+    "inherits": r"\bextend|\binherit|\bparent class|\bsubclass|\bbase class",
+    "impact": r"\bcall|\bbreak|\bimpact|\bdepend|\baffect",
+    "matrix": r"\bmatrix|\bwhich pages?\b|\bevery page\b|\ball pages\b",
+    "views": r"\bview\b|\brender|\btemplate|\bpartial",
+}
+_HITS = ", ".join(f"CASE WHEN regexp_matches(question, '(?is){p}') THEN '{k}' END" for k, p in sorted(_INTENT_FORMS.items()))
 _SQL["question_intents"] = f"SELECT question, concat_ws(',', {_HITS}) AS intents FROM (SELECT DISTINCT question FROM messages WHERE question IS NOT NULL)"
 _DIFF = """v AS (SELECT file, arg_min(content, {'a': indexed_at, 'c': content}) AS c0, arg_max(content, indexed_at) AS c1 FROM files GROUP BY file),
 o AS (SELECT file, sha1(c0) AS before FROM v WHERE NOT starts_with(file, 'lumen') AND c0 IS NOT NULL), n AS (SELECT file, sha1(c1) AS after FROM v WHERE NOT starts_with(file, 'maple_api') AND c1 IS NOT NULL),
 d AS (SELECT file, CASE WHEN after IS NULL THEN 'removed' WHEN before IS NOT DISTINCT FROM after THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n USING (file))"""
 _SQL["file_diff_status"] = f"WITH {_DIFF} SELECT file, status FROM d"
 _SQL["file_diff_counts"] = f"WITH {_DIFF} SELECT status, count(*) AS n FROM d GROUP BY status"
+_SQL["hybrid_context"] = f"""WITH now AS (SELECT id, arg_max({{'kind': kind, 'name': name, 'file': file, 'doc': docstring, 'x': embedding}}, indexed_at) AS r FROM nodes GROUP BY id),
+c AS (SELECT id AS doc_id, r.x AS x, r.kind || ' `' || r.name || '` in ' || r.file || ': ' || coalesce(r.doc, '')[1:150] AS label, concat_ws(' ', r.name, r.doc) AS text FROM now WHERE r.kind IN ('Module', 'Class', 'Function')),
+{_tfidf(['which', 'class', 'renders', 'ledger', 'page'], 8).replace('FROM documents', 'FROM c')},
+q1 AS (SELECT x FROM c WHERE doc_id = (SELECT min(id) FROM now WHERE r.kind = 'Class' AND len(r.x) = 384 AND NOT isnan(list_sum(r.x)) AND list_sum(list_transform(r.x, lambda v: abs(v))) > 0)),
+near AS (SELECT label, doc_id, 1 - list_dot_product(c.x::DOUBLE[], q1.x::DOUBLE[]) / (CASE WHEN list_dot_product(c.x::DOUBLE[], c.x::DOUBLE[]) = 0 THEN 1 ELSE sqrt(list_dot_product(c.x::DOUBLE[], c.x::DOUBLE[])) END * sqrt(list_dot_product(q1.x::DOUBLE[], q1.x::DOUBLE[]))) AS distance FROM c, q1 WHERE len(c.x) = 384),
+b AS (SELECT label, 0 AS s, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM tfidf JOIN c USING (doc_id) UNION ALL
+  SELECT label, 1, row_number() OVER (ORDER BY distance, doc_id) FROM (SELECT * FROM near ORDER BY distance, doc_id LIMIT 8)),
+g AS (SELECT label, min({{'s': s, 'k': k}}) AS f FROM b GROUP BY label)
+SELECT label, rank::INTEGER AS rank FROM (SELECT label, row_number() OVER (ORDER BY f, label) AS rank FROM g) WHERE rank <= 8"""
+_W = f"""{_PN}, {_PE}, m AS (SELECT p_partkey::VARCHAR AS k, 'pkg/' || lower(replace(p_brand, '#', '')) || '.py' AS f FROM part),
+e AS (SELECT pe.kind, a.k AS a, a.f AS af, b.k AS b, b.f AS bf FROM pe JOIN m a ON a.k = string_split(src, '::')[3] JOIN m b ON b.k = string_split(dst, '::')[3])"""
+_SQL["written_definitions"] = f"""WITH {_W} SELECT 'function::' || f || '::f_' || k AS id, 'Function' AS kind, 'f_' || k AS name, f AS file, 'Part ' || k || '.' AS docstring FROM m
+UNION ALL SELECT 'class::' || f || '::C_' || k, 'Class', 'C_' || k, f, '' FROM m UNION ALL SELECT DISTINCT 'module::' || f, 'Module', f, f, '' FROM m UNION ALL SELECT 'module::pkg/__init__.py', 'Module', 'pkg/__init__.py', 'pkg/__init__.py', ''"""
+_SQL["written_edges"] = f"""WITH {_W} SELECT 'function::' || af || '::f_' || a AS src, 'function::' || bf || '::f_' || b AS dst, kind FROM e WHERE kind = 'CALLS'
+UNION ALL SELECT 'class::' || af || '::C_' || a, 'class::' || bf || '::C_' || b, kind FROM e WHERE kind = 'INHERITS'
+UNION ALL SELECT DISTINCT 'module::' || af, 'module::' || bf, 'IMPORTS' FROM e WHERE af <> bf
+UNION ALL SELECT 'module::' || f, 'function::' || f || '::f_' || k, 'CONTAINS' FROM m UNION ALL SELECT 'module::' || f, 'class::' || f || '::C_' || k, 'CONTAINS' FROM m"""
+_SQL["written_impact"] = f"""WITH RECURSIVE {_W}, r AS (SELECT a, af, 1 AS d FROM e WHERE kind = 'CALLS' AND b = '7' UNION SELECT e.a, e.af, d + 1 FROM r JOIN e ON e.b = r.a WHERE kind = 'CALLS' AND d < 3)
+SELECT DISTINCT 'f_' || a AS name, af AS file FROM r"""
+_SQL["written_callers"] = f"WITH {_W} SELECT 'f_' || a AS caller, af AS file FROM e WHERE kind = 'CALLS' AND b = '7'"
+_SQL["written_subclasses"] = f"""WITH RECURSIVE {_W}, r AS (SELECT a, af, 1 AS d FROM e WHERE kind = 'INHERITS' AND b = '3' UNION SELECT e.a, e.af, d + 1 FROM r JOIN e ON e.b = r.a WHERE kind = 'INHERITS' AND d < 5)
+SELECT DISTINCT 'C_' || a AS name, af AS file FROM r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | fixtures.oracle_sql()

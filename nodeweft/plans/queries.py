@@ -16,7 +16,7 @@ from nodeweft.sources.tables import table
 from nodeweft.sources.tree import dotted_module, manifest, suffix_language
 from nodeweft.streaming.incremental import diff_counts, file_diff
 
-from . import cypher, derived
+from . import ask, cypher, derived, export, fixtures
 from .oracle import oracle_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,7 +163,7 @@ def role_matrix(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def role_pages_list(spark: SparkSession, folder: str) -> DataFrame:
     concepts, targets, rules = _loaded(spark, folder)
-    return web.role_pages(concepts, rules, targets).groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
+    return web.role_page_lines(concepts, rules, targets)
 
 
 @query
@@ -171,6 +171,14 @@ def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(current_files(spark, folder))
 
 
+@query
+def stored_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    # A scan's hash of the raw bytes goes before that of the text; every third file stands for one with such a hash.
+    files = current_files(spark, folder)
+    scanned = F.when(F.length("file") % 3 == 0, F.sha1(F.concat("content", F.lit("\xff"))))
+    return manifest(files.withColumn("sha1", scanned))
+
+
 def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     files = table(spark, folder, "files", "file", "content", "indexed_at")
     first = files.groupBy("file").agg(F.min_by("content", F.struct("indexed_at", "content")).alias("content"))
@@ -216,6 +224,16 @@ def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.hybrid(text.select(F.concat(F.lit("d"), F.col("doc").cast("string")).alias("label"), w(F.desc("score"), "doc").alias("rank")), near.select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("label"), w("distance", "id").alias("rank")))
 
 
+@query
+def hybrid_context(spark: SparkSession, folder: str) -> DataFrame:
+    """The context of a question over stored vectors; a vector of the graph stands for the question's."""
+    nodes = stage(current_nodes(spark, folder, "kind", "name", "file", "docstring", "embedding"), "nodes")
+    x = F.col("embedding")
+    usable = (F.size(x) == 384) & ~F.exists(x, F.isnan) & F.exists(x, lambda v: v != 0)
+    asked = nodes.where((F.col("kind") == "Class") & usable).orderBy("id").select(x).first()[0]
+    return ask.ranked_context(ask.Store(nodes, nodes.limit(0)), "which class renders the ledger page", 8, asked)
+
+
 @query
 def embed_hashed(spark: SparkSession, folder: str) -> DataFrame:
     docs = current_nodes(spark, folder, "kind", "name", "docstring").where(F.col("kind") == "Class")
@@ -249,10 +267,19 @@ def route_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def route_resolve(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.createDataFrame([("app/Pages/Edit.php",), ("app/Ledger.php",)], "file string")
+    files = spark.createDataFrame([("app/Pages/Edit.php",), ("app\\Ledger.php",)], "file string")
     return web.resolved_urls(_asked(spark, folder), _routes(spark), files).withColumnRenamed("class", "class_name")
 
 
+@query
+def route_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    # Eleven placeholders, and slashes around a pattern.
+    deep = F.concat(F.lit("/"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.concat(F.lit("k"), F.col("p_partkey").cast("string"), F.lit("x"), i.cast("string"))), "/"), F.lit("/"))
+    urls = table(spark, folder, "part", "p_partkey").select(deep.alias("url")).unionByName(spark.createDataFrame([("/order/new",)], "url string"))
+    routes = spark.createDataFrame([("/" + "/".join(["(:any)"] * 11) + "/", "GET", "App\\Deep::go/$11/$2/$9"), ("/order/new/", "POST", "App\\Order::create")], "pattern string, http_method string, target string")
+    return web.matched_routes(urls, routes).select("url", "pattern", "target")
+
+
 @query
 def route_load(spark: SparkSession, folder: str) -> DataFrame:
     return graph.load_routes(_routes(spark)).select("id", "pattern")
@@ -266,12 +293,15 @@ def convention_routes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def import_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    files = current_files(spark, folder)
-    dotted = F.regexp_extract("line", r"^from ([\w.]+) import \w+", 1)
-    asked = files.where(F.col("file").endswith(".py")).select("file", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(r"^from [\w.]+ import \w+")).select("file", dotted.alias("dotted_name"))
-    index = resolve.module_index(files.select("file"))
-    joined = asked.join(index, asked["dotted_name"] == index["dotted"], "left")
-    return joined.select("file", F.coalesce(F.concat(F.lit("module::"), "target"), F.concat(F.lit("external::"), "dotted_name")).alias("dst")).distinct()
+    """The operator over import facts; the lines are read by a pattern here, so that files which don't parse count too."""
+    files = current_files(spark, folder).where(F.col("file").endswith(".py"))
+    lines = files.select("file", F.posexplode(F.split("content", "\n")).alias("i", "line")).where(F.col("line").rlike(r"^from [\w.]+ import \w+"))
+    text = F.lit(None).cast("string")
+    asked = lines.select(
+        F.lit("from").alias("what"), "file", F.regexp_extract("line", r"^from ([\w.]+) import (\w+)", 1).alias("target"), F.regexp_extract("line", r"^from ([\w.]+) import (\w+)", 2).alias("name"), F.regexp_extract("line", r"^from ([\w.]+) import (\w+)", 2).alias("text"), F.lit(0).cast("long").alias("level"), F.col("i").cast("long").alias("ord"), text.alias("lang")
+    )
+    edges, _ = resolve.resolve_imports(asked, files.select("file"))
+    return edges.select(F.substring("src", 9, 1 << 20).alias("file"), "dst")
 
 
 @query
@@ -337,19 +367,25 @@ def hop_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def data_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    lines = current_files(spark, folder).select("file", F.posexplode(F.split("content", "\n")).alias("i", "line"))
-    hit = F.lit(False)
-    for p in T.DATA_EVIDENCE:
-        hit = hit | F.col("line").rlike(f"(?i){p}")
-    first = Window.partitionBy("file").orderBy("i")
-    found = lines.where(hit).withColumn("n", F.row_number().over(first)).where("n <= 20")
-    return found.select("file", (F.col("i") + 1).cast("long").alias("lineno"), F.substring(F.trim("line"), 1, 120).alias("line"))
+    return ask.evidence_lines(current_files(spark, folder))
 
 
 @query
 def top_folder_groups(spark: SparkSession, folder: str) -> DataFrame:
     modules = current_nodes(spark, folder, "kind", "name", "file").where(F.col("kind") == "Module")
-    return graph.folder_groups(modules).select("folder", F.size("entries").cast("long").alias("n"), F.get("entries", F.lit(0)).alias("first"))
+    return graph.folder_groups(modules)
+
+
+@query
+def top_folder_forms(spark: SparkSession, folder: str) -> DataFrame:
+    files = current_files(spark, folder, "sha1").select("file")
+    forms = F.array(F.col("file"), F.concat(F.lit("/"), "file"), F.replace("file", F.lit("/"), F.lit("\\")), F.lit("/"), F.lit(None))
+    return files.select(F.explode(forms).alias("path")).select("path", T.top_folder(F.col("path")).alias("folder")).distinct()
+
+
+@query
+def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.folder_modules(current_nodes(spark, folder, "kind", "name", "file", "docstring"))
 
 
 @query
@@ -379,7 +415,7 @@ def chat_titles(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stored_answers(spark: SparkSession, folder: str) -> DataFrame:
     m = table(spark, folder, "messages", "id", "answer").where(F.col("answer").isNotNull()).distinct()
-    return m.select("id", T.stored_answer(F.col("answer")).alias("a")).select("id", F.col("a.content").alias("content"))
+    return m.select("id", T.stored_answer(F.col("answer")).alias("a")).select("id", "a.type", "a.content", "a.detail")
 
 
 @query
@@ -393,28 +429,74 @@ def vault_adjacency(spark: SparkSession, folder: str) -> DataFrame:
     return links.select("id", "kind", "direction", F.size("titles").cast("long").alias("n"))
 
 
+@query
+def vault_notes(spark: SparkSession, folder: str) -> DataFrame:
+    return export.vault_notes(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
+
+
+@query
+def vault_titles(spark: SparkSession, folder: str) -> DataFrame:
+    # Titles agree once what can't stand in a file's name is replaced: the numbers tell them apart.
+    p = table(spark, folder, "part", "p_partkey", "p_name")
+    nodes = p.select(F.concat(F.lit("function::"), "p_name", F.expr("repeat(':', cast(p_partkey % 7 as int))"), F.expr("repeat('/', cast(6 - p_partkey % 7 as int))"), F.lit("::"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("id"), F.lit("Function").alias("kind"))
+    titled = graph.titled_nodes(nodes.withColumn("id", F.regexp_replace("id", "::[0-9]+$", "")).distinct())
+    return titled.select("id", "title")
+
+
 @query
 def export_capped(spark: SparkSession, folder: str) -> DataFrame:
     nodes = derived.part_nodes(spark, folder).where(F.col("kind") == "Function")
     return graph.exported(nodes, derived.part_edges(spark, folder), 500)[1]
 
 
+@query
+def export_whole(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = derived.part_nodes(spark, folder).where(F.col("kind") == "Function")
+    return graph.exported(nodes, derived.part_edges(spark, folder), None)[1]
+
+
+def _patterns(spark: SparkSession, folder: str) -> cypher.Graph:
+    return cypher.Graph(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
+
+
 @query
 def cypher_callers(spark: SparkSession, folder: str) -> DataFrame:
-    g = cypher.Graph(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
-    return g.run("MATCH (a:Function)-[:CALLS]->(b:Function {name: $name}) RETURN DISTINCT a.name AS caller, a.file AS file", name=PART)
+    return _patterns(spark, folder).run("MATCH (a:Function)-[:CALLS]->(b:Function {name: $name}) RETURN DISTINCT a.name AS caller, a.file AS file", name=PART)
 
 
 @query
 def cypher_counts(spark: SparkSession, folder: str) -> DataFrame:
-    g = cypher.Graph(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
-    return g.run("MATCH (n:Function) WHERE n.file = 'Brand#11' RETURN n.name AS name, count(n) AS n ORDER BY n DESC, name LIMIT 20")
+    return _patterns(spark, folder).run("MATCH (n:Function) WHERE n.file = 'Brand#11' RETURN n.name AS name, count(n) AS n ORDER BY n DESC, name LIMIT 20")
 
 
 @query
 def cypher_reach(spark: SparkSession, folder: str) -> DataFrame:
-    g = cypher.Graph(derived.part_nodes(spark, folder), derived.part_edges(spark, folder))
-    return g.run("MATCH (a:Function)-[:CALLS*1..3]->(b:Function) WHERE b.name = $name RETURN DISTINCT a.name AS name, a.file AS file", name=PART)
+    return _patterns(spark, folder).run("MATCH (a:Function)-[:CALLS*1..3]->(b:Function) WHERE b.name = $name RETURN DISTINCT a.name AS name, a.file AS file", name=PART)
+
+
+@query
+def cypher_reach_map(spark: SparkSession, folder: str) -> DataFrame:
+    return _patterns(spark, folder).run("MATCH (a:Function)-[:CALLS*1..3]->(b:Function {name: $name}) RETURN DISTINCT a.name AS name, a.file AS file", name=PART)
+
+
+@query
+def cypher_reach_both(spark: SparkSession, folder: str) -> DataFrame:
+    return _patterns(spark, folder).run("MATCH (a:Function)-[:CALLS*1..3]->(b:Function) WHERE a.file = 'Brand#11' AND b.name = $name RETURN DISTINCT a.name AS name, a.file AS file", name=PART)
+
+
+@query
+def cypher_rules(spark: SparkSession, folder: str) -> DataFrame:
+    concepts, targets, rules = _loaded(spark, folder)
+    g = cypher.Graph(targets, spark.createDataFrame([], "src string, dst string, kind string"), concepts=concepts, rules=rules)
+    return g.run("MATCH (c:Concept {code: 'BUILDING'})-[r:RULE]->(t:Module) RETURN t.name AS target, r.effect AS effect")
+
+
+@query
+def cypher_write(spark: SparkSession, folder: str) -> DataFrame:
+    g = _patterns(spark, folder).write("MATCH (n:Function) WHERE n.file = 'Brand#11' SET n.docstring = 'seen', n.lineno = 7")
+    g = g.write("MERGE (n:Function {id: 'function::part::1'}) SET n.file = 'moved'").write("CREATE (:Class {id: 'class::new', name: 'New', file: 'x'})")
+    g = g.write("MATCH (a:Class {id: 'class::new'}), (a)-[:INHERITS]->(b:Class) MERGE (a)-[:INHERITS]->(b)").write("MATCH (n:Class) WHERE n.file = 'Brand#12' DETACH DELETE n")
+    return g.nodes.select("id", "kind", "name", "file", "lineno", "docstring")
 
 
 def _extracted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -433,11 +515,34 @@ def source_edges(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.build_graph(files, facts)[1]
 
 
+def _written(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    files = stage(derived.written_files(spark, folder), "files")
+    return resolve.build_graph(files, stage(facts_of.file_facts(files), "facts"))
+
+
 @query
-def source_impact(spark: SparkSession, folder: str) -> DataFrame:
-    files, facts = _extracted(spark, folder)
-    nodes, edges = resolve.build_graph(files, facts)
-    return traverse.impact(stage(nodes, "nodes"), stage(edges, "edges"), "handle", 3)
+def written_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    return _written(spark, folder)[0].select("id", "kind", "name", "file", "docstring")
+
+
+@query
+def written_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _written(spark, folder)[1]
+
+
+@query
+def written_impact(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.impact(*_written(spark, folder), "f_7", 3)
+
+
+@query
+def written_callers(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.callers(*_written(spark, folder), "f_7").select("caller", "file")
+
+
+@query
+def written_subclasses(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.subclasses_of(*_written(spark, folder), "C_3")
 
 
 @query
@@ -456,7 +561,7 @@ def source_views(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | fixtures.queries()
 
 
 __all__ = ["current_files", "current_nodes", "oracle_sql", "queries"]

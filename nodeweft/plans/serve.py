@@ -1,10 +1,12 @@
 """A JSON API over HTTP for the index, the questions and the chats.
 
-    GET  /api/stats /api/graph?limit= /api/callers?name= /api/impact?name=&hops= /api/repos /api/chats?repo= /api/chat-messages?chat=
+    GET  / (a page that draws the graph) /api/stats /api/graph?limit= /api/callers?name= /api/impact?name=&hops= /api/repos /api/chats?repo= /api/chat-messages?chat=
     POST /api/cypher /api/ask /api/summarize /api/switch-repo /api/index-repo /api/chats /api/chat-messages /api/chats/delete /api/chat-messages/delete
 
 Requests are handled in threads of one driver: Spark sessions serve concurrent reads, and writers take a lock and publish a
-new snapshot. Chats are parquet snapshots beside the index. The server binds to the local host unless told otherwise.
+new snapshot. Chats and the registry are parquet snapshots beside the index, found again by a file that names those that
+hold, so they outlive the server. Answers hold every row; `limit` and `offset` give a page of them. The server binds to the
+local host unless told otherwise.
 """
 
 from __future__ import annotations
@@ -18,17 +20,16 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nodeweft.operators import chats, graph, traverse
 from nodeweft.operators.rows import latest_rows
+from nodeweft.session import read_text, release, remove, write_text
 
-from . import ask, cypher
+from . import ask, export
 
 CHATS = "id string, repo_db_path string, title string, created_at double, updated_at double"
 MESSAGES = "id long, chat_id string, seq long, question string, answer string, type string, detail string, image_data_url string, context_question string, created_at double"
 REGISTRY = "name string, db_path string, source string, added_at double"
-MOST_ROWS = 10_000
 
 
 class Service:
@@ -38,14 +39,24 @@ class Service:
         self.spark, self.folder, self.open_store, self.index, self.model = spark, folder, open_store, index, model
         self.repo = ""
         self.lock = threading.Lock()
+        self.old: list[str] = []
         self.tables = {"chats": spark.createDataFrame([], CHATS), "messages": spark.createDataFrame([], MESSAGES), "registry": spark.createDataFrame([], REGISTRY)}
+        self.current = json.loads(read_text(f"{folder}/CURRENT") or "{}")
+        for name, path in self.current.items():
+            self.tables[name] = spark.read.schema(self.tables[name].schema).parquet(f"{folder}/{path}")
 
     def _keep(self, **tables: DataFrame) -> None:
-        """Writes changed tables as new snapshots; readers of the old ones aren't disturbed."""
+        """Writes changed tables as new snapshots and then the file that names them: readers of the old ones aren't
+        disturbed, and all changes of a call hold or none. Of superseded snapshots the last two are kept."""
         for name, df in tables.items():
-            path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            self.tables[name] = self.spark.read.schema(self.tables[name].schema).parquet(path)
+            self.current[name] = f"{name}-{uuid.uuid4().hex}"
+            df.coalesce(1).write.parquet(f"{self.folder}/{self.current[name]}")
+        write_text(f"{self.folder}/CURRENT", json.dumps(self.current))
+        for name in tables:
+            self.tables[name] = self.spark.read.schema(self.tables[name].schema).parquet(f"{self.folder}/{self.current[name]}")
+            self.old.append(self.current[name])
+        while len(self.old) > 2 * len(self.tables) + len(tables):
+            remove(f"{self.folder}/{self.old.pop(0)}") if self.old[0] not in self.current.values() else self.old.append(self.old.pop(0))
 
     def store(self) -> ask.Store:
         if not self.repo:
@@ -53,37 +64,41 @@ class Service:
         return self.open_store(self.repo)
 
     @staticmethod
-    def rows(df: DataFrame, limit: int = MOST_ROWS) -> list[dict]:
-        return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+    def rows(df: DataFrame, q: dict | None = None) -> list[dict]:
+        """All rows, or the page of them that a request asks for."""
+        q = q or {}
+        df = df.offset(int(q["offset"])) if "offset" in q else df
+        df = df.limit(int(q["limit"])) if "limit" in q else df
+        return [r.asDict(recursive=True) for r in df.toLocalIterator()]
 
     def get(self, path: str, q: dict[str, str]) -> object:
         if path == "/api/repos":
             return self.rows(chats.registered(self.tables["registry"]).orderBy("name", "db_path"))
         if path == "/api/chats":
-            return self.rows(chats.list_chats(self.tables["chats"], q.get("repo", self.repo)))
+            return self.rows(chats.list_chats(self.tables["chats"], q.get("repo", self.repo)), q)
         if path == "/api/chat-messages":
-            return self.rows(chats.chat_messages(self.tables["messages"], q["chat"]))
+            return self.rows(chats.chat_messages(self.tables["messages"], q["chat"]), q)
         s = self.store()
+        if path == "/":
+            return export.html_page(s.nodes, s.edges, int(q.get("limit", 500)))
         if path == "/api/stats":
             return self.rows(graph.node_stats(s.nodes).unionByName(graph.edge_stats(s.edges)))
         if path == "/api/graph":
-            nodes, edges = graph.exported(s.nodes, s.edges, min(int(q.get("limit", 500)), MOST_ROWS))
+            nodes, edges = graph.exported(s.nodes, s.edges, int(q.get("limit", 500)))
             return {"nodes": self.rows(nodes.select("id", "kind", "name", "file", "docstring")), "edges": self.rows(edges.select("src", "dst", "kind"))}
         if path == "/api/callers":
-            return self.rows(graph.callers(s.nodes, s.edges, ask.resolve_name(s.nodes, q["name"]) or q["name"]).orderBy("file", "caller"))
+            return self.rows(graph.callers(s.nodes, s.edges, ask.resolve_name(s.nodes, q["name"]) or q["name"]).orderBy("file", "caller"), q)
         if path == "/api/impact":
-            return self.rows(traverse.impact(s.nodes, s.edges, ask.resolve_name(s.nodes, q["name"]) or q["name"], int(q.get("hops", 3))).orderBy("file", "name"))
+            return self.rows(traverse.impact(s.nodes, s.edges, ask.resolve_name(s.nodes, q["name"]) or q["name"], int(q.get("hops", 3))).orderBy("file", "name"), q)
         raise KeyError(path)
 
     def post(self, path: str, body: dict) -> object:
         if path == "/api/cypher":
-            s = self.store()
-            return self.rows(cypher.Graph(s.nodes, s.edges).run(body["query"], **body.get("params", {})))
+            return self.rows(self.store().patterns().run(body["query"], **body.get("params", {})), body)
         if path == "/api/ask":
             return {"type": "answer", "content": ask.answer(self.store(), body["question"], self.model), "detail": ""}
         if path == "/api/summarize":
-            modules = self.store().nodes.where(F.col("kind") == "Module")
-            return self.rows(graph.folder_groups(modules).orderBy("folder"))
+            return {"type": "answer", "content": ask.summary(self.store()), "detail": ""}
         with self.lock:
             if path == "/api/switch-repo":
                 self.repo = body["db_path"]
@@ -124,9 +139,12 @@ def server(service: Service, host: str = "127.0.0.1", port: int = 8765) -> Threa
                 status, out = 404, {"error": f"not found: {e}"}
             except (ValueError, TypeError) as e:
                 status, out = 400, {"error": str(e)}
-            data = json.dumps(out, ensure_ascii=False).encode()
+            finally:
+                release()
+            page = isinstance(out, str)
+            data = (out if page else json.dumps(out, ensure_ascii=False)).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Type", f"{'text/html' if page else 'application/json'}; charset=utf-8")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

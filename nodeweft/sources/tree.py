@@ -27,7 +27,7 @@ def _listed(root: str, suffix: str, excluded: tuple[str, ...]) -> tuple[str, lis
     """The root within its file system and the relative paths of its files. Only names are listed here; they are read by
     the executors. (Spark's own file sources can't serve: they pass over names with a leading underscore, __init__.py
     among them, and over empty files.)"""
-    system, base = _file_system(root)
+    system, base = file_system(root)
     out, todo = [], [""]
     while todo:
         below = todo.pop()
@@ -45,7 +45,7 @@ def _listed(root: str, suffix: str, excluded: tuple[str, ...]) -> tuple[str, lis
     return base, sorted(out)
 
 
-def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+def file_system(root: str) -> tuple[fs.FileSystem, str]:
     system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
     return system, base.rstrip("/")
 
@@ -61,7 +61,7 @@ def scan_tree(spark: SparkSession, root: str, suffix: str = ".py", excluded: tup
     _, paths = _listed(root, suffix, excluded)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _file_system(root)
+        system, base = file_system(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 try:
@@ -76,18 +76,28 @@ def scan_tree(spark: SparkSession, root: str, suffix: str = ".py", excluded: tup
     return found.select("file", suffix_language("file").alias("lang"), "content", "sha1")
 
 
-def uploaded(spark: SparkSession, files: list[dict]) -> DataFrame:
+def uploaded(spark: SparkSession, files: list[dict], skipped: list[dict] | None = None) -> DataFrame:
     """Uploaded `{path, content}` items as files. Paths that leave the upload, skipped directories, other suffixes and
-    files over the size limit are left out; an upload without a file left is an error."""
+    files over the size limit are left out and added to `skipped` as {path, reason}; an upload without a file left is an
+    error."""
     rows = []
+    skipped = skipped if skipped is not None else []
     for item in files:
         path = os.path.normpath(str(item.get("path", "")).replace("\\", "/"))
         content = item.get("content") or ""
-        if path.startswith(("/", "..")) or os.path.splitext(path)[1] not in LANGUAGES or len(content.encode()) > UPLOAD_LIMIT:
-            continue
-        if any(d.startswith(".") or d in EXCLUDED_PHP for d in path.split("/")[:-1]):
-            continue
-        rows.append((path, content))
+        reason = None
+        if path.startswith(("/", "..")):
+            reason = "outside the upload"
+        elif os.path.splitext(path)[1] not in LANGUAGES:
+            reason = "not a source file"
+        elif len(content.encode()) > UPLOAD_LIMIT:
+            reason = f"over {UPLOAD_LIMIT} bytes"
+        elif any(d.startswith(".") or d in EXCLUDED_PHP for d in path.split("/")[:-1]):
+            reason = "in a skipped directory"
+        if reason:
+            skipped.append({"path": str(item.get("path", "")), "reason": reason})
+        else:
+            rows.append((path, content))
     if not rows:
         raise ValueError("the upload holds no source file")
     df = spark.createDataFrame(rows, "file string, content string")
@@ -95,8 +105,12 @@ def uploaded(spark: SparkSession, files: list[dict]) -> DataFrame:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """(file, sha1) of the files whose content could be read."""
-    return files.where(F.col("content").isNotNull()).select("file", F.sha1("content").alias("sha1"))
+    """(file, sha1) of the files whose content could be read: the hash of the raw bytes that the scan carries, or that of the
+    text where a table carries none."""
+    hashed = F.sha1("content")
+    if "sha1" in files.columns:
+        hashed = F.coalesce("sha1", hashed)
+    return files.where(F.col("content").isNotNull()).select("file", hashed.alias("sha1"))
 
 
 def dotted_module(file):

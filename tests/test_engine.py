@@ -116,7 +116,17 @@ def test_text_functions(spark):
     assert get(T.chat_title(F.lit(""))) == "(image)" and len(get(T.chat_title(F.lit("x" * 99)))) == 60
     assert get(T.qualified_target(F.lit("Home::index"), F.lit("App\\C\\"))) == "App\\C\\Home::index"
     assert get(T.mentions_name(F.lit("why does get app url fail"), F.lit("get_app_url"))) and not get(T.mentions_name(F.lit("go on"), F.lit("g")))
-    assert get(T.stored_answer(F.lit('{"type":"x","content":"c"}'))).asDict() == {"type": "answer", "content": "c", "detail": ""}
+    for raw, want in {
+        '{"type":"x","content":"c"}': ("answer", "c", ""),
+        '{"type":"clarify","content":"  which? ","detail":" d\\n"}': ("clarify", "which?", "d"),
+        '{"content":"  "}': ("answer", '{"content":"  "}', ""),
+        '{"type":"answer"}': ("answer", '{"type":"answer"}', ""),
+        '{"content":null}': ("answer", "None", ""),
+        '{"content":5}': ("answer", "5", ""),
+        '["content"]': ("answer", '["content"]', ""),
+        "": ("answer", "", ""),
+    }.items():
+        assert tuple(get(T.stored_answer(F.lit(raw)))) == want
     assert get(T.stored_answer(F.lit("{no"))).content == "{no"
 
 
@@ -162,6 +172,29 @@ def test_placeholders_are_replaced_in_turn(spark, rows):
     assert rows(web.matched_routes(urls, routes), "url", "target") == [("X/b/8", "T::8-b-$3"), ("x/a/7", "T::7-a-$3"), ("y.z", "dot")]
 
 
+def test_addresses_without_a_file(spark, rows):
+    """Outer slashes of a pattern don't count; a target without class or without file keeps its pattern and its text."""
+    routes = spark.createDataFrame([("/order/new/", "\\App\\Order::", "GET"), ("bare", "Closure", "GET"), ("gone/(:num)", "App\\Gone::at/$1", "GET"), ("odd", "App\\Order::a:b", "GET")], "pattern string, target string, http_method string")
+    urls = spark.createDataFrame([("/order/new",), ("bare",), ("/gone/7/",), ("odd",), (None,)], "url string")
+    files = spark.createDataFrame([("app\\Order.php",), ("app\\Order.php",), (None,)], "file string")
+    got = rows(web.resolved_urls(urls, routes, files), "url", "resolved", "matched_pattern", "target", "class", "method", "file")
+    assert got == sorted([("/order/new", True, "/order/new/", "\\App\\Order::", "Order", "index", "app\\Order.php"), ("bare", False, "bare", "Closure", None, None, None), ("/gone/7/", False, "gone/(:num)", "App\\Gone::at/7", None, None, None), ("odd", True, "odd", "App\\Order::a:b", "Order", "a:b", "app\\Order.php"), (None, False, None, None, None, None, None)], key=repr)
+    assert web.resolved_urls(urls.limit(0), routes, files).count() == 0
+
+
+def test_manifest_goes_by_raw_bytes(spark, rows):
+    files = spark.createDataFrame([("a.py", "x", "raw"), ("b.py", "x", None), ("c.py", None, "raw")], "file string, content string, sha1 string")
+    assert rows(manifest(files)) == [("a.py", "raw"), ("b.py", "11f6ad8ec52a2984abaafd7c3b516503785c2072")]
+
+
+def test_evidence_lines(spark, rows):
+    lines = ["$x = $this -> db ;", "select 1 from t", "$q->Table('t')", "$q -> table ('t')", "Model::all()", "class A extends UserModel {", "new UserModel", "use App\\Models\\User;", "find (1)", "$q->where(1)", "$_GET['a']", "$_FILES"]
+    files = spark.createDataFrame([("a.php", "\r\n".join(lines)), ("b.php", "\n" + "\n".join(["  find(1)" + "x" * 200] * 30)), ("c.php", None), ("d.php", "")], "file string, content string")
+    got = sorted(rows(ask.evidence_lines(files), "file", "lineno", "line"))
+    assert [n for f, n, _ in got if f == "a.php"] == [1, 4, 5, 6, 8, 9, 10, 11]
+    assert [n for f, n, _ in got if f == "b.php"] == list(range(2, 22)) and {len(t) for f, _, t in got if f == "b.php"} == {120} and len(got) == 28
+
+
 def test_views(web_facts, rows):
     got = rows(web.view_renders(web_facts[1], web_facts[0]), "view_arg", "target_file", "resolved")
     assert ("list", "app/Modules/Icab/Views/list.php", True) in got and ("menu", None, False) in got
@@ -212,7 +245,7 @@ def test_chats(spark, rows):
 
 @pytest.fixture(scope="module")
 def small(spark):
-    nodes = spark.createDataFrame([("a", "Function", "f", "x.py", ""), ("b", "Function", "g", "x.py", ""), ("c", "Function", "h", "y.py", ""), ("k", "Class", "K", "y.py", "</script>")], "id string, kind string, name string, file string, docstring string")
+    nodes = spark.createDataFrame([("a", "Function", "f", "x.py", "", 3), ("b", "Function", "g", "x.py", "", 7), ("c", "Function", "h", "y.py", "", 1), ("k", "Class", "K", "y.py", "</script>", 2)], "id string, kind string, name string, file string, docstring string, lineno long")
     edges = spark.createDataFrame([("a", "b", "CALLS"), ("b", "c", "CALLS"), ("c", "a", "CALLS"), ("k", "c", "CONTAINS")], "src string, dst string, kind string")
     return cypher.Graph(nodes, edges)
 
@@ -232,6 +265,40 @@ def test_cypher(small, rows):
     assert rows(small.sql("SELECT count(*) FROM calls WHERE src = :s", s="a")) == [(1,)]
 
 
+def test_cypher_starts_from_the_bound_end(small, monkeypatch):
+    """A bounded length is walked from the end that a property or a condition binds."""
+    starts = []
+    whole = cypher._pairs
+    monkeypatch.setattr(cypher, "_pairs", lambda ends, edges, hops: starts.append(sorted(r[0] for r in ends.collect())) or whole(ends, edges, hops))
+    for text in ("MATCH (a:Function)-[:CALLS*1..2]->(b {name: 'f'})", "MATCH (a:Function)-[:CALLS*1..2]->(b) WHERE b.name = 'f'", "MATCH (a:Function)-[:CALLS*1..2]->(b) WHERE a.file <> b.name AND b.name = 'f' AND a.name <> 'x'"):
+        assert sorted(r[0] for r in small.run(text + " RETURN a.name AS n").collect()) == ["g", "h"]
+    assert starts[:2] == [["a"], ["a"]]
+    assert sorted(tuple(r) for r in small.run("MATCH (a:Function)-[:CALLS]->(b) WHERE a.name = 'f' AND b.name = 'g' OR a.name = 'h' RETURN a.name, b.name").collect()) == [("f", "g"), ("h", "f")]
+
+
+def test_cypher_writes(small, rows):
+    g = small.write("CREATE (:Function {id: 'z', name: 'zed', file: 'z.py'})").write("MATCH (a {name: 'zed'}), (a)-[:CALLS]->(b) MERGE (a)-[:CALLS]->(b)")
+    assert rows(g.nodes.where("id = 'z'"), "name", "file", "docstring") == [("zed", "z.py", None)]
+    g = small.write("MATCH (a:Class)-[:CONTAINS]->(b) MERGE (b)-[:CALLS]->(b)")
+    assert ("c", "c", "CALLS") in rows(g.edges)
+    assert rows(small.write("MERGE (n:Function {id: 'a'}) SET n.name = 'ff', n.docstring = 'd'").nodes.where("id = 'a'"), "name", "docstring") == [("ff", "d")]
+    assert rows(small.write("MERGE (n:Function {id: 'new', name: 'n'})").nodes.where("id = 'new'"), "kind", "name") == [("Function", "n")]
+    assert rows(small.write("MATCH (n) WHERE n.file = 'y.py' SET n.file = 'w.py'").nodes.where("file = 'w.py'"), "id") == [("c",), ("k",)]
+    assert small.write("MATCH (n {file: 'y.py'}) DETACH DELETE n").nodes.count() == 2
+    for bad in ("CREATE (:Function {id: 'a'})", "CREATE (:Nope {id: 'q'})", "MERGE (n:Function {name: 'a'})", "MERGE (n:Function {id: 'a'}) SET n.kind = 'Class'", "MATCH (a)-[r:CALLS]->(b) DELETE r", "MATCH (a) RETURN a.id", "MERGE (n:Function {id: 'a', size: 3})"):
+        with pytest.raises(cypher.CypherError):
+            small.write(bad)
+
+
+def test_cypher_over_roles(small, rows):
+    concepts, rules = small.nodes.sparkSession.createDataFrame([("c1", "Role", "ADM")], "id string, kind string, code string"), small.nodes.sparkSession.createDataFrame([("c1", "a", "deny", "x", 3)], "concept_id string, target_id string, effect string, condition string, lineno long")
+    g = cypher.Graph(small.nodes, small.edges, concepts, rules)
+    assert rows(g.run("MATCH (c:Concept)-[r:RULE]->(t:Function) WHERE c.code = 'ADM' RETURN t.name, r.effect, r.lineno")) == [("f", "deny", 3)]
+    assert len(g.run("CALL show_tables()").collect()) == 10 and g.run("CALL table_info('RULE')").count() == 5
+    with pytest.raises(cypher.CypherError):
+        small.run("MATCH (c:Concept) RETURN c.code")
+
+
 @pytest.mark.parametrize("text", ["MATCH (a RETURN a", "MATCH (a)--(b) RETURN a.id", "CREATE (n)", "MATCH (a) RETURN a.id; DROP", "MATCH (a)-[:CALLS*0..3]->(b) RETURN a.id", "MATCH (a)-[:NOPE]->(b) RETURN a.id", "MATCH (a {id: $x}) RETURN a.id"])
 def test_cypher_refuses(small, text):
     with pytest.raises(cypher.CypherError):
@@ -242,18 +309,51 @@ def test_exports(small, tmp_path, rows):
     page = export.html_page(small.nodes, small.edges, 3)
     assert page.count("</script>") == 1 and '"f"' in page
     export.write_vault(small.nodes, small.edges, str(tmp_path))
-    assert (tmp_path / "K.md").read_text().count("[[h]]") == 1
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a (Function).md", "b (Function).md", "c (Function).md", "k (Class).md"]
+    assert (tmp_path / "k (Class).md").read_text() == '---\nkind: Class\nfile: "y.py"\ntags: [nodeweft, Class]\n---\n\n# K\n\n*Class* in `y.py`\n\n</script>\n\n## Contains\n- [[c (Function)]]\n'
+    assert "## Calls\n- [[a (Function)]]\n\n## Called By\n- [[b (Function)]]\n" in (tmp_path / "c (Function).md").read_text()
     kept, inner = graph.exported(small.nodes, small.edges, 2)
     assert rows(kept, "id") == [("a",), ("k",)] and inner.count() == 0
     titles = resolve.unique_titles(small.nodes.withColumn("t", F.lit("same")), "t", "id", "title")
-    assert {t for (t,) in rows(titles, "title")} == {"same", "same (2)", "same (3)", "same (4)"}
+    assert {t for (t,) in rows(titles, "title")} == {"same", "same 2", "same 3", "same 4"}
+    many = small.nodes.sparkSession.range(1000).select(F.lit("same").alias("t"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("id"))
+    assert {t for (t,) in rows(resolve.unique_titles(many, "t", "id", "title", rows_a_part=64), "title")} == {"same", *(f"same {n}" for n in range(2, 1001))}
+    assert graph.exported(small.nodes, small.edges.unionByName(small.edges.limit(1).replace("a", "gone")), None)[1].count() == 4
+
+
+def test_ask_about_an_address(spark):
+    pages, home = "app/Pages/List.php", "<?php namespace App\\Pages;\nclass Listing { function go() { $r = $this->db->table('t')->get(); return view('list'); } }"
+    sources = {pages: home, "app/Pages/list.php": "<ul>"}
+    files = spark.createDataFrame(list(sources.items()), "file string, content string")
+    table = facts.file_facts(files).cache()
+    nodes, edges = resolve.build_graph(files, table)
+    routes = spark.createDataFrame([("list", "App\\Pages\\List::go", "GET"), ("gone", "App\\Gone::go", "GET")], "pattern string, target string, http_method string")
+    concepts, rules = spark.createDataFrame([], "id string, kind string, code string, name string, app string, source_file string, lineno long"), spark.createDataFrame([], "concept_id string, target_id string, effect string, condition string, lineno long")
+    store = ask.Store(nodes, edges, files, concepts, rules, routes, web.view_renders(table, files).cache())
+    text = "\n".join(ask.fact_blocks(store, "Which rules gate /list, where does its data come from and what view does it render?"))
+    for part in ("Address /list: List::go (app/Pages/List.php), by route list", "Source of view app/Pages/list.php:\n```php\n<ul>\n```", f"No rule gates anything in {pages}.", "line 2: list renders app/Pages/list.php", "line 2: class Listing"):
+        assert part in text
+    assert ask.fact_blocks(store, "Who reads /gone now")[0] == "Note: /gone matches route gone, but its target App\\Gone::go isn't in the graph."
+    assert ask.fact_blocks(store, "Who reads /nothing now")[0] == "Note: /nothing matches no indexed route."
+    assert ask.fact_blocks(store, "Which rules are there, and which view?") == ["Note: the question is about access rules, but names no file or page that is known.", "Note: the question is about views, but names no file or page that is known."]
+
+
+def test_ask_with_vectors(small):
+    """A node that shares no word with the question is found by its stored vector."""
+    nodes = small.nodes.withColumn("embedding", F.when(F.col("id") == "c", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    store = ask.Store(nodes, small.edges)
+    assert ask.context(store, "unheard", query_vector=[1.0, 0.0])[0] == "Function `h` in y.py: " and ask.context(store, "unheard") == []
+    assert "Function `h`" in ask.answer(store, "unheard", embed=lambda text: [1.0, 0.0])
+    assert ask.answer(store, "unheard", embed=None).strip() == ""
 
 
 def test_ask(small):
     store = ask.Store(small.nodes, small.edges)
     assert ask.resolve_name(small.nodes, "f") == "f"
     blocks = ask.fact_blocks(store, "What breaks within 2 hops if I change g, and what does K inherit?")
-    assert blocks[0].startswith("Functions that reach g within 2 calls:") and "- f (x.py)" in blocks[0]
+    assert blocks[0].startswith("Direct callers of g:\n- f (x.py:3)") and "Functions that reach g within 2 calls:" in blocks[0] and "- f (x.py)" in blocks[0]
+    assert blocks[1:] == ["K extends nothing that is indexed.", "No class was found that extends K."]
+    assert ask.fact_blocks(store, "What breaks within 2 hops if I change g?", most=1)[0].endswith("- ... 1 more")
     assert ask.answer(store, "nothing", lambda q, c: q.upper()) == "NOTHING"
     assert ask.method_source("<?php class A { function m() { return '}'; } } function m() {}", "m", "A") == "function m() { return '}'; }"
     assert ask.method_source("<?php function m() {", "m") is None

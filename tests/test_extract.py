@@ -206,6 +206,9 @@ def test_scan_tree(spark, tmp_path, rows):
 
 def test_upload(spark, rows):
     items = [{"path": "../x.py", "content": "x"}, {"path": "/etc/y.py", "content": "x"}, {"path": "a/b.py", "content": "x"}, {"path": ".git/c.py", "content": "x"}, {"path": "d.js", "content": "x"}]
-    assert rows(uploaded(spark, items), "file") == [("a/b.py",)]
+    skipped = []
+    items.append({"path": "big.py", "content": "x" * (2 * 1024 * 1024 + 1)})
+    assert rows(uploaded(spark, items, skipped), "file") == [("a/b.py",)]
+    assert [(s["path"], s["reason"]) for s in skipped] == [("../x.py", "outside the upload"), ("/etc/y.py", "outside the upload"), (".git/c.py", "in a skipped directory"), ("d.js", "not a source file"), ("big.py", "over 2097152 bytes")]
     with pytest.raises(ValueError):
         uploaded(spark, [])
