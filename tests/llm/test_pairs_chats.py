@@ -182,7 +182,9 @@ def written(parsed):
             more = [t for branch in arg[1] for t in written(branch)]
         elif name == "SUBPATTERN":
             more = written(arg[-1])
-        elif name == "MAX_REPEAT":
+        elif name in ("ASSERT_NOT", "NOT_LITERAL"):
+            more = [""]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             more = ([""] if arg[0] == 0 else []) + ([] if arg[0] == 0 and str(arg[2][0][0]) == "IN" else written(arg[2]))
         else:
             assert name == "AT", name
@@ -192,13 +194,50 @@ def written(parsed):
 
 
 def test_every_form_of_refusal_holds_a_key_word():
-    for form in [*pair_defects._UNABLE.values(), pair_defects._SELF]:
-        texts = written(re._parser.parse(form, re.I))
-        assert [t for t in texts if not any(k in t.lower() for k in pair_defects._REFUSAL_KEYS)] == []
+    for keys, form in pair_defects._DECLINES.values():
+        texts = written(re._parser.parse(form.pattern, re.I))
+        assert [t for t in texts if not any(k in t.lower() for k in keys)] == []
     for answer in ("Lo siento, debo negarme a responder.", "Tengo que negarme a contestar."):
         assert pair_defects.is_refusal(answer)
 
 
+@pytest.mark.parametrize("answer", ["Clerks can not open it.", "They cannot.", "The clerk role will not open the page.", "Clerks may not share the invoice.", "I see that clerks cannot open it.", "No, clerks can't.", "It cannot be opened."])
+def test_what_others_cannot_do_is_a_fact(answer):
+    assert defects(Q, answer, None) == []
+
+
+@pytest.mark.parametrize("answer", ["That topic is off limits for me.", "I can't.", "We would rather not say.", "Can't help with that.", "I'm sorry, I cannot.", "Unfortunately I am not able to discuss this.", "I must respectfully decline."])
+def test_what_the_speaker_will_not_do_is_a_refusal(answer):
+    assert defects(Q, answer, None)[0] == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["Ik kan daar helaas geen antwoord op geven.", "Jag kan tyvärr inte svara på den frågan.", "Jeg kan desværre ikke svare på det.", "Nie mogę odpowiedzieć na to pytanie.", "Valitettavasti en voi vastata tähän kysymykseen.", "Я не могу ответить на этот вопрос.", "抱歉，我无法回答这个问题。", "申し訳ありませんが、お答えできません。"])
+def test_refusal_in_further_languages(answer):
+    assert defects(Q, answer, None)[0] == "refusal"
+
+
+@pytest.mark.parametrize(
+    "answer, name",
+    [
+        ("Het geheugen hoort bij de module Ledger en wordt elke ochtend opnieuw geladen.", "Dutch"),
+        ("Cache hos modulen Ledger, som laddar allt vid start och sparar det sedan till disken.", "Swedish"),
+        ("Funkcja jest wywoływana przez moduł, który nie jest w grafie.", "Polish"),
+        ("Funcția este apelată din trei module, dar nu și de pe pagină.", "Romanian"),
+        ("Siden er ikke låst, og den kan åbnes af alle.", "Danish"),
+        ("Bu işlev için bir modül daha var, ama grafikte değil.", "Turkish"),
+    ],
+)
+def test_further_languages(answer, name):
+    assert defects(Q, answer, None) == ["language"] and defects(f"{Q} Answer in {name}, please.", answer, None) == []
+
+
+def test_a_copy_keeps_the_order_of_the_question():
+    asked = "Is the page handled by render?"
+    assert defects(asked, "The page is handled by render.", None) == []
+    assert defects(asked, "Is the page handled by render", None)[0] == "copy" and defects(asked, "is the page handled by", None)[0] == "copy"
+    assert "copy" not in defects(asked, "Is the page?", None)
+
+
 @pytest.mark.parametrize("answer", ["N/A\n" + "-" * 300, "none" + "\n" * 300, "&nbsp;" * 300 + "no answer", "_" * 300 + " none", "n . a" + " ." * 200])
 def test_padding_around_nothing(answer):
     assert pair_defects.is_empty(answer)
