@@ -74,7 +74,7 @@ _DECLINES = {
     "fi": (("en ", "kieltäyd"), r"\ben (?:voi|saa|pysty|halua)\b|\bkieltäydyn\b"),
     "hu": (("nem ", "elutasít"), r"\bnem (?:tudok|válaszolhatok|segíthetek|tehetem|szabad)\b|\belutasítom\b"),
     "ru": (("не ", "нельзя", "отказ", "запрещ"), r"\b(?:я|мы) не (?:могу|можем|буду|хочу|имею права)|\bне (?:могу|можем) (?:ответить|отвечать|помочь|обсуждать|рассказать)|\bотказываюсь\b|\bвынужден\w* отказать|\bмне (?:нельзя|не разрешено|запрещено)"),
-    "zh": (("不能", "无法", "不便", "拒绝", "無法"), r"我(?:們|们)?(?:不能|无法|無法|不可以|不便|拒绝)|(?:无法|無法|不能)(?:回答|提供|协助|透露)"),
+    "zh": (("不能", "无法", "不可以", "不便", "拒绝", "無法"), r"我(?:們|们)?(?:不能|无法|無法|不可以|不便|拒绝)|(?:无法|無法|不能)(?:回答|提供|协助|透露)"),
     "ja": (("ません", "かねます", "断り"), r"(?:答え|回答|手伝い|対応|提供)[^。]{0,8}(?:できません|かねます)|お断り"),
 }
 _DECLINES = {lang: (keys, re.compile(form, re.I)) for lang, (keys, form) in _DECLINES.items()}
