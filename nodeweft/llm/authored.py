@@ -4,9 +4,11 @@ Every file and every directory has one of five labels: handwritten, generated, m
 file's leading comments, name and text, and from a directory's name, is joined by belief propagation: the tree of
 directories is a graphical model in which a parent's label makes some labels of its children likelier than others, so a
 file without a mark of its own is judged by its directory, that by its siblings and by the directories above. A tree needs
-two sweeps for exact marginals: messages go up from the deepest level to the roots, then down again. A sweep is one
-aggregation or join of directories per level; files take part once going up (summed per directory, with partial sums in
-each task, so a directory that holds a third of all files moves one row per task) and once going down.
+two sweeps for exact marginals: messages go up from the deepest level to the roots, then down again. Files take part once
+going up (summed per directory, with partial sums in each task, so a directory that holds a third of all files moves one row
+per task) and once going down. Trees are independent: those of at most `tree_rows` directories are swept whole, each in a
+task's call; in a larger one a sweep is one aggregation or join of directories per level, spread over all tasks. Both ways
+give the same beliefs.
 
 A directory whose own name says what it holds (`generated`, `site-packages`, `lib/name-1.2.3`) doesn't depend on the
 one it lies in, nor tell anything about it.
@@ -24,7 +26,10 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,12 +63,14 @@ ROOT = (0.9984, 0.0005, 0.0003, 0.0005, 0.0003)
 #: From this evidence on, a directory's name settles what it holds.
 APART = 5.0
 
+#: Directories of a tree that is swept in one call (some 200 bytes each).
+TREE_ROWS = 100_000
 #: Directories up to this number are broadcast to the files (a path and five numbers each); beyond it they are shuffled.
 BROADCAST_ROWS = 100_000
 
-_VENDOR_DIR = r"(^|.*[.@-])?_*(vendor|vendors|vendored|third[-_]?party|3rd[-_]?party|site[-_]packages|dist[-_]packages|node_modules|bower_components|externals?|ext|extlib|contrib[-_]?libs?|imported)_*"
+_VENDOR_DIR = r"(^|.*[.@-])?_*(vendor|vendors|vendored|third[-_]?party|3rd[-_]?party|site[-_]packages|dist[-_]packages|node_modules|bower_components|externals?|ext|extlib|contrib[-_]?libs?|imported|deps|dependencies|bundled|bundled[-_](libs?|packages|deps)|upstream|external[-_](libs?|code|src|packages)|(libs?|src)[-_]ext(ernal)?|jspm_packages|pods|carthage|wheelhouse|eggs|pear|composer)_*"
 _VERSIONED_DIR = r"[A-Za-z][\w-]*-v?\d+(\.\d+)+"
-_GENERATED_DIR = r"_*(generated|autogen|auto[-_]generated|autogenerated|gen|gensrc|generated[-_](src|code|sources)|codegen[-_]out(put)?|proxies|__generated__|stubs)_*"
+_GENERATED_DIR = r"_*(generated|autogen|auto[-_]generated|autogenerated|gen|gensrc|gen[-_](py|php|src|code)|(generated|autogenerated|derived)[-_](src|code|sources|files|classes)|codegen([-_]out(put)?)?|compiled|proxies|__generated__|stubs|(openapi|swagger|protobuf|grpc|thrift)[-_](client|gen|out|stubs|generated))_*"
 _COMPILED_DIR = r"(.*/)?cache/(views|templates|twig|blade|smarty)"
 
 _GENERATED_NAME = re.compile(r"(?:_pb2|_pb2_grpc|\.pb|_gen|_generated|\.gen|\.g|\.generated|_stubs?|_autogen|\.designer|[a-z]Generated|[a-z]Gen)\.\w+$|^__CG__|^[0-9a-f]{16,}\.\w+$")
@@ -76,6 +83,9 @@ _GENERATED_SURE = re.compile(
     r"|\b(?:written|produced|created|made|output|emitted|built) by (?:the |an? )?[\w.-]+ (?:compiler|generator|code ?gen(?:erator)?|tool|template engine|transpiler|scaffolder|plugin)\b"
     r"|\b(?:edits?|changes?|modifications?|anything)\b[^.\n]{0,40}\b(?:lost|overwritten|discarded|undone|wiped)\b|\bwill be overwritten\b"
     r"|\brun [`'\"]?[\w./-]+[^.\n]{0,40} to (?:refresh|regenerate|rebuild|update|recreate)\b"
+    r"|\b(?:re-?generate|regenerated|re-?run) (?:it |this |this file |the file )?(?:with|by|using|via|from|whenever|every|on each)\b|\b(?:manual|hand|local)[- ]?(?:made )?(?:edits?|changes?|modifications?) (?:are|get|do not|don['’]t|will not|won['’]t) (?:ignored|lost|dropped|survive|persist|kept|be kept)\b"
+    r"|\b(?:not (?:meant|intended|supposed) (?:to be (?:edited|changed|read)|for (?:editing|humans))|do not hand[- ]?edit|never hand[- ]?edited)\b|^\W*(?:generator|generated[- ](?:on|at|date)|codegen)\s*[:=]|\b(?:scaffolded|transpiled|compiled|rendered|translated|dumped|expanded) (?:automatically )?(?:by|from|with) [\w./-]+"
+    r"|\b(?:is|this is) (?:the )?(?:machine |tool |compiler |generator )output\b|\boutput of (?:the )?[\w.-]+ (?:compiler|generator|codegen|tool|transpiler)\b"
     r"|\bautogenerad[oa]\b|\bgenerad[oa] (?:automáticamente |automaticamente )?(?:por|con|desde|a partir)\b|\bg[ée]n[ée]r[ée]e?s? (?:automatiquement )?(?:par|avec|depuis|à partir)\b|\bg[ée]n[ée]r[ée]e? automatiquement\b"
     r"|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\b(?:erzeugt|generiert) (?:von|durch|mit|aus)\b|\bgerad[oa] (?:automaticamente )?(?:por|com|a partir)\b|\bgenerat[oa] (?:automaticamente )?(?:da|con|dal)\b",
     re.I | re.M,
@@ -85,12 +95,12 @@ _KEEP_OUT = re.compile(
     re.I | re.M,
 )
 _VENDORED = (
-    re.compile(r"\bvendored (?:from|copy|in|version)\b|\b(?:copied|taken|imported|adapted|borrowed|forked|pulled|backported|mirrored|bundled|synced) (?:verbatim |unchanged |over )?from\b(?! (?:our|the (?:old|other) (?:module|screen|job)))|\blocal changes:|\bupstream (?:version|release|tag|commit)\b|\bunmodified (?:copy|version)\b", re.I),
+    re.compile(r"\bvendored (?:from|copy|in|version)\b|\b(?:copied|taken|imported|adapted|borrowed|forked|pulled|backported|mirrored|bundled|synced) (?:verbatim |unchanged |over )?from\b(?! (?:our|the (?:old|other) (?:module|screen|job)))|\blocal (?:changes|patches|modifications):|\bupstream (?:version|release|tag|commit|source|repository|url|project)\b|\bupstream\s*[:=]|\b(?:unmodified|verbatim|patched|pristine|frozen|pinned|local) (?:copy|version|mirror|snapshot) of\b|\bunmodified (?:copy|version)\b|\b(?:mirror|snapshot|fork|backport|port) of (?:the )?[\w.-]+ (?:v?\d|library|package|project|module)|\b(?:downloaded|fetched|obtained|extracted|originally) from\b|\bthird[- ]party (?:code|library|module|package|source|component)\b|\bkept in sync with (?:the )?upstream\b", re.I),
     re.compile(r"\b(?:is|are) (?:a )?part of (?:the )?[\w.-]+ (?:package|library|project|framework|distribution|toolkit|sdk|bundle|suite|module)\b|\blicen[cs]e file\b[^.\n]{0,40}\b(?:shipped|distributed|included|bundled|came|comes|provided) with|\bfor (?:the )?(?:full|complete) (?:copyright and )?licen[cs]e\b|\bcopyright and licen[cs]e information\b", re.I),
-    re.compile(r"@license\b|\bSPDX-License-Identifier\b|\blicensed under\b|\b(?:MIT|BSD(?:-\d-Clause)?|Apache(?:-| License)?|[AL]?GPL(?:v?\d)?|MPL|ISC|Unlicense|zlib|WTFPL|CC0)(?:[- ]?\d(?:\.\d)?)?(?: licen[cs]e)?\s*$|\breleased under\b|\bpermission is hereby granted\b|\bredistribution and use\b", re.I | re.M),
+    re.compile(r"@license\b|\bSPDX-License-Identifier\b|\b(?:licensed|distributed|available|published) under (?:the (?:terms of )?)?|\b(?:MIT|BSD(?:-\d-Clause)?|Apache(?:-| License)?|[AL]?GPL(?:v?\d)?|MPL|ISC|Unlicense|zlib|WTFPL|CC0)(?:[- ]?\d(?:\.\d)?)?(?: licen[cs]e)?\s*$|\breleased under\b|\bpermission is hereby granted\b|\bredistribution and use\b", re.I | re.M),
     re.compile(r"\(c\)\s*(?:\d{4}[-, \d]*)?\s*(?:by )?(?:the )?[\w.-]+ (?:contributors|authors|developers|project|team and contributors|community)\b|\bcopyright\b[^.\n]*\b(?:contributors|authors|developers|foundation|community)\b|@author\b[^\n]*<[^>\n]+@[^>\n]+>", re.I),
     re.compile(r"^\W*[\w.-]+ (?:- |– |: |is )?an? (?:small|tiny|simple|fast|lightweight|minimal|little|pure[- ]\w+|modern|portable)\b[^.\n]{0,40}\b(?:library|package|toolkit|framework|module|parser|client)\b|^\W*[\w.-]+ [-–] (?:small|tiny|simple|fast|lightweight|minimal|little)\b[^.\n]{0,40}\b(?:library|package|toolkit|framework|parser|client)\b", re.I | re.M),
-    re.compile(r"@package\b|@link\s+https?://|@see\s+https?://|\bhttps?://(?:www\.)?(?:github|gitlab|bitbucket|pypi|packagist)\.", re.I),
+    re.compile(r"@package\b|@link\s+https?://|@see\s+https?://|^\W*(?:homepage|project page|website|repository|source|origin)\s*:\s*https?://|\bhttps?://(?:www\.)?(?:github|gitlab|bitbucket|pypi|packagist)\.", re.I),
     re.compile(r"^\W*[a-z][\w.-]+ v?\d+\.\d+(?:\.\d+)*\s*$|@version\s+\d", re.I | re.M),
 )
 #: Marks of a firm's own work; somebody else's project doesn't bear them.
@@ -100,7 +110,7 @@ _PHP_LEAD = re.compile(r"\s*(?:<\?(?:php)?)?(?:declare\s*\([^)]*\)\s*;)?\s*", re
 _PHP_COMMENT = re.compile(r"\s*(/\*.*?(?:\*/|\Z)|(?://|#(?!\[))[^\n]*)", re.S)
 _PY_COMMENT = re.compile(r"[ \t]*(?:\r?\n|#([^\n]*)\n?)")
 _NUMBERS = re.compile(r"(?:(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)\s*,\s*){8,}(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)?")
-_OPAQUE = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){8,}|[0-9a-fA-F]{32,}|[A-Za-z0-9+/_-]{40,}={0,2}")
+_OPAQUE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){7,}|(?<![0-9a-fA-F])[0-9a-fA-F]{32,}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _STRING = re.compile(r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.S)
 _NAME = re.compile(r"[A-Za-z_]\w*")
 _KEYWORDS = set(
@@ -137,9 +147,10 @@ def opaque_share(content: str) -> float:
     if not visible:
         return 0.0
     opaque = 0
-    for m in _NUMBERS.finditer(content):
+    for m in _NUMBERS.finditer(content) if content.count(",") >= 8 else ():
         opaque += len(m[0]) - sum(map(m[0].count, " \t\r\n"))
-    for m in _OPAQUE.finditer(content):
+    # Encoded data is at least 32 characters without white space.
+    for m in _OPAQUE.finditer(content) if any(len(run) >= 32 for run in content.split()) else ():
         run = m[0]
         # A long name or path isn't data: data has digits spread among letters of both cases, or is hexadecimal.
         if run[0] == "\\" or re.fullmatch(r"[0-9a-fA-F]+", run) and re.search(r"\d", run) or len(re.findall(r"\d", run)) >= len(run) // 16 and re.search("[a-z]", run) and re.search("[A-Z]", run):
@@ -255,20 +266,44 @@ def _parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-def file_labels(files: DataFrame) -> DataFrame:
-    """(file, label, p_handwritten) of each current file: its likeliest label and the marginal of `handwritten`."""
-    now = latest_rows(files.where(F.col("file").isNotNull()).select("file", "content", "indexed_at"), ["file"], ["indexed_at"], ["content"])
-    judged = now.select("file", _parent(F.col("file")).alias("dir"), _evidence(F.col("file"), F.col("content")).alias("e"))
-    leaves = stage(judged.withColumn("m", _to_parent(F.col("e"), FILE_IN_DIRECTORY)), "files")
-
-    # Upwards. m holds, for each directory, what its files say; each level adds what its subdirectories say.
-    mine = leaves.groupBy("dir").agg(_total("m").alias("m"))
-    steps = F.split("dir", "/")
-    every = mine.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("dir")).distinct()
-    named = every.join(mine, "dir", "left").select("dir", F.size(steps).alias("depth"), _parent(F.col("dir")).alias("up"), F.coalesce("m", _nothing()).alias("m"), directory_evidence(F.col("dir")).alias("n"))
-    # Nothing passes between a directory named for its contents and the one above.
-    tree = stage(named.select("dir", "depth", "up", _plus(F.col("m"), F.col("n")).alias("m"), (F.array_max("n") >= APART).alias("alone")), "directories")
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
+def _messages(belief: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """log(sum(weight x exp(belief))) for each row of weights, less the first; a row of beliefs per child."""
+    top = belief.max(axis=1, keepdims=True)
+    out = top + np.log(np.exp(belief - top) @ weights.T)
+    return out - out[:, [HAND]]
+
+
+def _swept(tree: pd.DataFrame) -> pd.DataFrame:
+    """Both sweeps over one whole tree of directories."""
+    table = np.asarray(DIRECTORY_IN_DIRECTORY)
+    place = {d: i for i, d in enumerate(tree["dir"])}
+    depth, alone = tree["depth"].to_numpy(), tree["alone"].to_numpy(dtype=bool)
+    above = np.array([place.get(u, -1) if n > 1 else -1 for u, n in zip(tree["up"], depth, strict=True)])
+    a = np.stack(tree["m"].to_list()).astype(np.float64)
+    told = np.zeros_like(a)
+    levels = [np.flatnonzero(depth == n) for n in range(1, depth.max() + 1)]
+    for level in reversed(levels[1:]):
+        told[level] = np.where(alone[level, None], 0.0, _messages(a[level], table))
+        np.add.at(a, above[level], told[level])
+    b = a.copy()
+    b[levels[0]] += np.log(ROOT)
+    for level in levels[1:]:
+        b[level] += np.where(alone[level, None], 0.0, _messages(b[above[level]] - told[level], table.T))
+    return pd.DataFrame({"dir": tree["dir"], "b": list(b)})
+
+
+def beliefs(tree: DataFrame, tree_rows: int) -> DataFrame:
+    """(dir, b): the belief of each directory, with what the rest of its tree tells it."""
+    rooted = tree.withColumn("root", F.substring_index("dir", "/", 1))
+    large = stage(rooted.groupBy("root").count().where(F.col("count") > tree_rows).select("root"), "large-trees")
+    few = broadcast_if_small(large, BROADCAST_ROWS)
+    whole = rooted.join(few, "root", "left_anti").groupBy("root").applyInPandas(_swept, "dir string, b array<double>")
+    return whole if not large.take(1) else whole.unionByName(_by_levels(rooted.join(few, "root", "left_semi")))
+
+
+def _by_levels(tree: DataFrame) -> DataFrame:
+    """The same as `_swept`, a level of all trees at a time."""
+    deepest = tree.agg(F.max("depth")).first()[0]
     levels: dict[int, DataFrame] = {}
     for depth in range(deepest, 0, -1):
         level = tree.where(F.col("depth") == depth)
@@ -280,22 +315,34 @@ def file_labels(files: DataFrame) -> DataFrame:
         levels[depth] = stage(level.select("dir", "up", "alone", F.col("m").alias("a"), told.alias("t")), f"up-{depth}")
 
     # Downwards. b: the belief of a directory, with what the rest of the tree tells it.
-    beliefs: list[DataFrame] = []
+    found: list[DataFrame] = []
     for depth in range(1, deepest + 1):
         level = levels[depth]
-        if not beliefs:
+        if not found:
             down = level.select("dir", _plus(F.col("a"), F.array(*[F.lit(math.log(p)) for p in ROOT])).alias("b"))
         else:
-            above = beliefs[-1].select(F.col("dir").alias("up"), F.col("b").alias("p"))
+            above = found[-1].select(F.col("dir").alias("up"), F.col("b").alias("p"))
             # The parent's belief without what this child itself told it.
             told = F.when(F.col("alone"), _nothing()).otherwise(_to_child(_minus(F.col("p"), F.col("t")), DIRECTORY_IN_DIRECTORY))
             down = level.join(above, "up").select("dir", _plus(F.col("a"), told).alias("b"))
-        beliefs.append(stage(down, f"down-{depth}"))
-    if not beliefs:
-        return leaves.select("file", F.lit(LABELS[HAND]).alias("label"), F.lit(1.0).alias("p_handwritten"))
-    directories = beliefs[0]
-    for b in beliefs[1:]:
-        directories = directories.unionByName(b)
+        found.append(stage(down, f"down-{depth}"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def file_labels(files: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """(file, label, p_handwritten) of each current file: its likeliest label and the marginal of `handwritten`."""
+    now = latest_rows(files.where(F.col("file").isNotNull()).select("file", "content", "indexed_at"), ["file"], ["indexed_at"], ["content"])
+    judged = now.select("file", _parent(F.col("file")).alias("dir"), _evidence(F.col("file"), F.col("content")).alias("e"))
+    leaves = stage(judged.withColumn("m", _to_parent(F.col("e"), FILE_IN_DIRECTORY)), "files")
+
+    # Upwards. m holds, for each directory, what its files say; each level adds what its subdirectories say.
+    mine = leaves.groupBy("dir").agg(_total("m").alias("m"))
+    steps = F.split("dir", "/")
+    every = mine.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("dir")).distinct()
+    named = every.join(mine, "dir", "left").select("dir", F.size(steps).alias("depth"), _parent(F.col("dir")).alias("up"), F.coalesce("m", _nothing()).alias("m"), directory_evidence(F.col("dir")).alias("n"))
+    # Nothing passes between a directory named for its contents and the one above.
+    tree = stage(named.select("dir", "depth", "up", _plus(F.col("m"), F.col("n")).alias("m"), (F.array_max("n") >= APART).alias("alone")), "directories")
+    directories = beliefs(tree, tree_rows)
 
     joined = leaves.join(broadcast_if_small(directories, BROADCAST_ROWS), "dir")
     x = _plus(F.col("e"), _to_child(_minus(F.col("b"), F.col("m")), FILE_IN_DIRECTORY))

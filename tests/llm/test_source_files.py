@@ -106,3 +106,14 @@ def test_documented_functions(spark, rows):
     code = dict(rows(doc_pairs.documented_functions(df), "node_id", "code"))
     assert code["function::x.php::d"] == "function d() {}" and code["function::y.py::b.inner"].startswith("def inner():")
     assert doc_pairs.documented_functions(df.limit(0)).count() == 0
+
+
+def test_large_trees_give_the_same_beliefs(spark):
+    """Trees swept whole and trees swept level by level agree, also where they stand side by side."""
+    rng = random.Random(3)
+    names = ["a", "b", "generated", "vendor", "lib-1.2.0", "src"]
+    paths = {"/".join(rng.choice(names) for _ in range(rng.randrange(1, 7))) + f"/f{i}.py" for i in range(120)} | {"top.py"}
+    heads = ["", "# @generated by x\n", "# Copied from lib 2.1, local changes: none\n"]
+    df = spark.createDataFrame([(p, rng.choice(heads) + ORDINARY, 1, 0) for p in sorted(paths)], FILES)
+    results = [{r["file"]: (r["label"], round(r["p_handwritten"], 9)) for r in authored.file_labels(df, most).collect()} for most in (100_000, 8, 0)]
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(paths)
