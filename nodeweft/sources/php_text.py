@@ -13,16 +13,15 @@ from dataclasses import dataclass, field
 
 _NAME = r"[A-Za-z_\x80-\U0010ffff][A-Za-z0-9_\x80-\U0010ffff]*"
 _CODE = re.compile(
-    rf"""(?P<space>\s+)
+    rf"""\s*+(?:(?P<name>\\?{_NAME}(?:\\{_NAME})*)
+    |(?P<variable>\${_NAME})
     |(?P<close>\?>\n?)
     |(?P<comment>/\*.*?(?:\*/|\Z)|(?://|\#(?!\[))(?:(?!\?>)[^\n])*)
     |(?P<heredoc><<<[ \t]*(?P<q>["']?)(?P<tag>{_NAME})(?P=q)\r?\n(?:.*?\n)??[ \t]*(?P=tag)(?![A-Za-z0-9_]))
     |(?P<single>'(?:[^'\\]|\\.)*(?:'|\Z))
     |(?P<double>"|`)
-    |(?P<variable>\${_NAME})
-    |(?P<name>\\?{_NAME}(?:\\{_NAME})*)
     |(?P<number>\d[\w.]*)
-    |(?P<op>\?->|->|::|=>|===|!==|==|!=|<=|>=|&&|\|\||\#\[|.)""",
+    |(?P<op>\?->|->|::|=>|===|!==|==|!=|<=|>=|&&|\|\||\#\[|.))""",
     re.X | re.S,
 )
 _OPEN = re.compile(r"<\?(?:php\b|=)?", re.I)
@@ -84,15 +83,18 @@ def tokens(src: str) -> list[Token]:
             at, inside = opened.end(), True
             continue
         m = _CODE.match(src, at)
+        if not m:
+            break
         kind, end = m.lastgroup, m.end()
-        if m["heredoc"]:
+        if kind == "tag":
             kind = "heredoc"
+        at = m.start(kind)
         if kind == "double":
             end = _double_end(src, at)
         if kind == "close":
             inside = False
             out.append(Token("op", ";", at, end))
-        elif kind != "space":
+        else:
             out.append(Token("string" if kind in ("single", "double", "heredoc") else kind, src[at:end], at, end))
         at = end
     return out

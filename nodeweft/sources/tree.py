@@ -16,6 +16,8 @@ EXCLUDED = ("__pycache__", "node_modules", "venv", ".venv", "env", "site-package
 EXCLUDED_PHP = (*EXCLUDED, "vendor")
 LANGUAGES = {".py": "python", ".php": "php"}
 UPLOAD_LIMIT = 2 * 1024 * 1024
+#: As soon as so many directories are known and not yet listed, the executors list them.
+LISTED_HERE = 200
 
 
 def suffix_language(file):
@@ -23,14 +25,12 @@ def suffix_language(file):
     return F.when(F.col(file).endswith(".py"), "python").when(F.col(file).endswith(".php"), "php")
 
 
-def _listed(root: str, suffix: str, excluded: tuple[str, ...]) -> tuple[str, list[str]]:
-    """The root within its file system and the relative paths of its files. Only names are listed here; they are read by
-    the executors. (Spark's own file sources can't serve: they pass over names with a leading underscore, __init__.py
-    among them, and over empty files.)"""
-    system, base = file_system(root)
-    out, todo = [], [""]
-    while todo:
-        below = todo.pop()
+def _below(system: fs.FileSystem, base: str, todo: list[str], suffix: str, excluded: tuple[str, ...], enough: int | None = None) -> Iterator[str]:
+    """The relative paths of the files below the directories of `todo`; ends early, with the rest left in `todo`, once that
+    holds `enough` directories. (Spark's own file sources can't serve: they pass over names with a leading underscore,
+    __init__.py among them, and over empty files.)"""
+    while todo and (enough is None or len(todo) < enough):
+        below = todo.pop(0)
         infos = system.get_file_info(fs.FileSelector(f"{base}/{below}".rstrip("/")))
         if below and any(i.base_name == "pyvenv.cfg" for i in infos):
             continue
@@ -41,8 +41,7 @@ def _listed(root: str, suffix: str, excluded: tuple[str, ...]) -> tuple[str, lis
                 if not name.startswith(".") and name not in excluded:
                     todo.append(path)
             elif name.endswith(suffix):
-                out.append(path)
-    return base, sorted(out)
+                yield path
 
 
 def file_system(root: str) -> tuple[fs.FileSystem, str]:
@@ -58,7 +57,16 @@ def scan_tree(spark: SparkSession, root: str, suffix: str = ".py", excluded: tup
     pyvenv.cfg), and files that can't be read. Undecodable bytes are dropped from the text.
     """
     excluded = excluded if excluded is not None else EXCLUDED_PHP if suffix == ".php" else EXCLUDED
-    _, paths = _listed(root, suffix, excluded)
+    todo = [""]
+    # The upper directories are listed here, the many below them by the executors.
+    paths = list(_below(*file_system(root), todo, suffix, excluded, LISTED_HERE))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = list(_below(system, base, [path], suffix, excluded))
+                yield pa.RecordBatch.from_pydict({"file": pa.array(found, type=pa.string())})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(root)
@@ -71,8 +79,11 @@ def scan_tree(spark: SparkSession, root: str, suffix: str = ".py", excluded: tup
                     continue
                 yield pa.RecordBatch.from_pydict({"file": [path], "content": [data.decode("utf-8", "ignore")], "sha1": [hashlib.sha1(data).hexdigest()]})
 
-    names = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4)))
-    found = names.mapInArrow(read, "file string, content string, sha1 string")
+    tasks = spark.sparkContext.defaultParallelism * 4
+    names = spark.createDataFrame([(p,) for p in paths], "file string")
+    if todo:
+        names = names.unionByName(spark.createDataFrame([(p,) for p in todo], "file string").repartition(min(len(todo), tasks)).mapInArrow(listed, "file string"))
+    found = names.repartition(tasks if todo else max(1, min(len(paths), tasks))).mapInArrow(read, "file string, content string, sha1 string")
     return found.select("file", suffix_language("file").alias("lang"), "content", "sha1")
 
 

@@ -3,7 +3,7 @@ import textwrap
 import pytest
 
 from nodeweft.operators import resolve, traverse
-from nodeweft.sources import facts, php_text, python_text
+from nodeweft.sources import facts, php_text, python_text, tree
 from nodeweft.sources.tree import scan_tree, uploaded
 
 P1 = {
@@ -194,7 +194,7 @@ def test_python_lexer_agrees_with_the_parser():
     assert sorted(found, key=repr) == sorted(expected(ast.parse(text), []), key=repr)
 
 
-def test_scan_tree(spark, tmp_path, rows):
+def test_scan_tree(spark, tmp_path, rows, monkeypatch):
     for path, text in {"a.py": "x", "_b/__init__.py": "", ".hidden/c.py": "x", "env1/pyvenv.cfg": "", "env1/d.py": "x", "node_modules/e.py": "x", "f.PY": "x", "vendor/g.php": "<?php", "h.php": "<?php"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
@@ -202,6 +202,11 @@ def test_scan_tree(spark, tmp_path, rows):
     got = rows(scan_tree(spark, str(tmp_path), ".py"), "file", "content")
     assert got == [("_b/__init__.py", ""), ("a.py", "x"), ("bad.py", "x = ''")]
     assert rows(scan_tree(spark, str(tmp_path), ".php"), "file") == [("h.php",)]
+    (tmp_path / "deep/er/x").mkdir(parents=True)
+    (tmp_path / "deep/er/x/k.py").write_text("x")
+    # Listed by the executors from the second directory on.
+    monkeypatch.setattr(tree, "LISTED_HERE", 2)
+    assert rows(scan_tree(spark, str(tmp_path), ".py"), "file", "content") == [*got[:2], got[2], ("deep/er/x/k.py", "x")]
 
 
 def test_upload(spark, rows):
