@@ -110,6 +110,7 @@ _PHP_LEAD = re.compile(r"\s*(?:<\?(?:php)?)?(?:declare\s*\([^)]*\)\s*;)?\s*", re
 _PHP_COMMENT = re.compile(r"\s*(/\*.*?(?:\*/|\Z)|(?://|#(?!\[))[^\n]*)", re.S)
 _PY_COMMENT = re.compile(r"[ \t]*(?:\r?\n|#([^\n]*)\n?)")
 _NUMBERS = re.compile(r"(?:(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)\s*,\s*){8,}(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)?")
+_BEFORE_COMMA = tuple(f"{c}," for c in "0123456789abcdefABCDEF \t\r\n\v\f")
 _OPAQUE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){7,}|(?<![0-9a-fA-F])[0-9a-fA-F]{32,}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _STRING = re.compile(r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.S)
 _NAME = re.compile(r"[A-Za-z_]\w*")
@@ -147,10 +148,12 @@ def opaque_share(content: str) -> float:
     if not visible:
         return 0.0
     opaque = 0
-    for m in _NUMBERS.finditer(content) if content.count(",") >= 8 else ():
-        opaque += len(m[0]) - sum(map(m[0].count, " \t\r\n"))
+    # A row of numbers has eight commas behind digits (or white space).
+    if sum(map(content.count, _BEFORE_COMMA)) >= 8:
+        for m in _NUMBERS.finditer(content):
+            opaque += len(m[0]) - sum(map(m[0].count, " \t\r\n"))
     # Encoded data is at least 32 characters without white space.
-    for m in _OPAQUE.finditer(content) if any(len(run) >= 32 for run in content.split()) else ():
+    for m in (m for part in content.split() if len(part) >= 32 for m in _OPAQUE.finditer(part)):
         run = m[0]
         # A long name or path isn't data: data has digits spread among letters of both cases, or is hexadecimal.
         if run[0] == "\\" or re.fullmatch(r"[0-9a-fA-F]+", run) and re.search(r"\d", run) or len(re.findall(r"\d", run)) >= len(run) // 16 and re.search("[a-z]", run) and re.search("[A-Z]", run):
@@ -159,18 +162,23 @@ def opaque_share(content: str) -> float:
 
 
 def density(content: str) -> float:
-    """How far a file's text looks packed: 0 for ordinary code, 1 for a packed one."""
+    """How far a file's text looks packed: 0 for ordinary code, 1 for a packed one. What can't reach a half whatever its names
+    are is told by its layout alone."""
     # Strings and comments say nothing about how code is laid out.
     code = _STRING.sub('""', re.sub(r"/\*.*?\*/|^\s*(?://|#(?!\[)).*$", "", content, flags=re.S | re.M))
-    names = [n for n in _NAME.findall(code) if n.lower() not in _KEYWORDS]
-    visible = len(code) - sum(map(code.count, " \t\r\n"))
-    if len(names) < 8 or visible < 80:
-        return 0.0
     lines = [line for line in code.split("\n") if line.strip()]
-    short = sum(len(n) <= 2 for n in names) / len(names)
+    if len(code) - sum(map(code.count, " \t\r\n")) < 80:
+        return 0.0
     tight = len(re.findall(r"[\w\])][=<>+*/?:,;{}]+[\w\[($\"']", code)) / max(1, len(re.findall(r"[=<>+*/?:,;{}]+", code)))
     packed = sum(";" in line.rstrip().rstrip(";{}") or re.search(r"\)\s*:\s*\S", line) is not None and "def " in line for line in lines) / len(lines)
-    return max(0.0, min(1.0, 1.2 * short)) * 0.4 + max(0.0, min(1.0, 1.6 * tight)) * 0.3 + min(1.0, 1.5 * packed) * 0.3
+    layout = max(0.0, min(1.0, 1.6 * tight)) * 0.3 + min(1.0, 1.5 * packed) * 0.3
+    if layout < 0.1:
+        return layout
+    names = [n for n in _NAME.findall(code) if n.lower() not in _KEYWORDS]
+    if len(names) < 8:
+        return 0.0
+    short = sum(len(n) <= 2 for n in names) / len(names)
+    return max(0.0, min(1.0, 1.2 * short)) * 0.4 + layout
 
 
 def file_evidence(file: str, content: str | None) -> list[float]:
@@ -198,11 +206,10 @@ def file_evidence(file: str, content: str | None) -> list[float]:
     share, packed = opaque_share(content), density(content)
     e[BLOB] += 9.0 if share >= 0.6 else 3.0 if share >= 0.45 else -3.0
     e[MIN] += 9.0 if packed >= 0.6 else 3.0 if packed >= 0.5 else -4.0
-    functions = len(_FUNCTION.findall(content))
     if _FUNCTION_DOC.search(content):
         e[GEN] -= 1.5
-    elif functions:
-        e[GEN] += min(1.0, 0.3 * functions)
+    else:
+        e[GEN] += min(1.0, 0.3 * len(_FUNCTION.findall(content)))
     return e
 
 
