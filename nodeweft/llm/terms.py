@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeweft.operators.rows import bind, latest_rows
+from nodeweft.operators.rows import counted, latest_rows
 from nodeweft.session import stage
 
 #: Words under this length don't count.
@@ -35,16 +35,6 @@ def words(text: Column, least: int = LEAST_LETTERS) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(broken), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.char_length(w) >= least)
 
 
-def counted(values: Column) -> Column:
-    """An array of strings as an array of (term, tf), by one sort."""
-
-    def runs(w: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
-        return bind(first, lambda at: F.transform(F.sequence(F.lit(1), F.size(at)), lambda k: F.struct(F.get(w, F.get(at, k - 1) - 1).alias("term"), (F.coalesce(F.get(at, k), F.size(w) + 1) - F.get(at, k - 1)).alias("tf"))))
-
-    return F.when(F.size(values) > 0, bind(F.array_sort(values), runs))
-
-
 def term_counts(records: DataFrame, record_id: str, text: Column) -> DataFrame:
     """(record id, term, tf, n): each distinct word of each record, with its count and the record's word count."""
     split = records.select(F.col(f"`{record_id}`").alias(record_id), words(text).alias("_words"))
