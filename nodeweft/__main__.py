@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeweft.operators import graph, resolve, retrieval, traverse, web
+from nodeweft.operators import graph, resolve, retrieval, traverse, vectors, web
 from nodeweft.plans import ask, export, serve
 from nodeweft.session import build_session, read_text, release, share, stage, write_text
 from nodeweft.sources import facts as facts_of
@@ -51,10 +51,14 @@ class Folder:
         for name, df in tables.items():
             writer = df.write.partitionBy("kind") if name in ("nodes", "edges") else df.write
             writer.parquet(f"{self.path}/{snapshot}/{name}")
+        if "embedding" in tables["nodes"].columns:
+            shown = tables["nodes"].where(F.col("kind").isin("Module", "Class", "Function"))
+            vectors.build_index(shown, "id", "embedding", retrieval.DIMENSIONS, f"{self.path}/{snapshot}/vectors")
         write_text(f"{self.path}/CURRENT", snapshot)
 
     def store(self) -> ask.Store:
-        return ask.Store(*(self.read(t) for t in ("nodes", "edges", "files", "concepts", "rules", "routes", "renders")))
+        tables = [self.read(t) for t in ("nodes", "edges", "files", "concepts", "rules", "routes", "renders")]
+        return ask.Store(*tables, vectors=f"{self.path}/{self.current()}/vectors" if "embedding" in tables[0].columns else None)
 
 
 def index(spark: SparkSession, root: str, folder: Folder, full: bool = False, upload: list[dict] | None = None, embed=retrieval.hashed_embedding) -> dict:
@@ -80,7 +84,7 @@ def index(spark: SparkSession, root: str, folder: Folder, full: bool = False, up
     rules = graph.load_rules(concepts, nodes, web.branch_rules(facts, concepts))
     routes = graph.load_routes(web.explicit_routes(facts).unionByName(web.convention_routes(files.select("file"))))
     renders = stage(graph.load_renders(web.view_renders(facts, files)), "renders")
-    seen = renders.agg(F.count("*").alias("renders"), F.count_if("resolved").alias("resolved")).first()
+    seen = web.render_counts(renders).first()
     if seen["renders"]:
         counts |= seen.asDict()
     folder.write({"files": files, "facts": facts, "manifest": manifest(files), "nodes": nodes, "edges": edges, "concepts": concepts, "rules": rules, "routes": routes, "renders": renders})

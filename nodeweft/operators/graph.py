@@ -29,6 +29,11 @@ def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.dropDuplicates(["src", "dst", "kind"]).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def load_concepts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Concepts by id; a new one replaces an old one."""
+    return upsert(old, new, ["id"])
+
+
 def load_rules(concepts: DataFrame, nodes: DataFrame, rules: DataFrame, order: str = "ord") -> DataFrame:
     """One rule per (concept_id, target_id), the last by `order`; rules with an unknown end are dropped."""
     known = rules.join(concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi")

@@ -151,6 +151,11 @@ def role_matrix(pages: DataFrame, roles: list[str]) -> DataFrame:
     return pages.groupBy("file").pivot("role", roles).agg(F.max("effect"))
 
 
+def render_counts(renders: DataFrame) -> DataFrame:
+    """(renders, resolved): how many view calls there are and of how many the file is known."""
+    return renders.agg(F.count("*").alias("renders"), F.count_if("resolved").alias("resolved"))
+
+
 def view_renders(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Renders: a path is looked up exactly; a bare name in the caller's Views folder, else as the only file of that name."""
     known = files.select(F.col("file").alias("known")).where(F.col("known").endswith(".php")).distinct()

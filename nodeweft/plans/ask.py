@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeweft.functions import text as T
-from nodeweft.operators import graph, retrieval, traverse, web
+from nodeweft.operators import graph, retrieval, traverse, vectors, web
 from nodeweft.sources import php_text
 
 from . import cypher
@@ -34,6 +34,8 @@ class Store:
     rules: DataFrame | None = None
     routes: DataFrame | None = None
     renders: DataFrame | None = None
+    #: The folder of an index of the nodes' vectors (see operators.vectors); without one all vectors are read.
+    vectors: str | None = None
 
     def patterns(self) -> cypher.Graph:
         """The tables as a graph for the pattern language and SQL."""
@@ -189,7 +191,8 @@ def ranked_context(store: Store, question: str, k: int = retrieval.TOP, query_ve
     by_text = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc"))).join(label, F.col("doc") == F.col("id")).select("label", "rank")
     if query_vector is None or "embedding" not in docs.columns:
         return by_text
-    near = retrieval.vector_topk(docs, "id", "embedding", query_vector, k).withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
+    near = vectors.search(store.spark, store.vectors, query_vector, k) if store.vectors else retrieval.vector_topk(docs, "id", "embedding", query_vector, k)
+    near = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
     return retrieval.hybrid(by_text, near.join(label, "id").select("label", "rank"), k)
 
 

@@ -307,6 +307,12 @@ def views_loaded(spark: SparkSession) -> DataFrame:
     return graph.load_renders(web.view_renders(facts, files)).select("id", "target_file")
 
 
+@fixture("renders, resolved", (4, 3))
+def views_counted(spark: SparkSession) -> DataFrame:
+    files, facts = _facts(spark, PHP)
+    return web.render_counts(web.view_renders(facts, files))
+
+
 @fixture("doc, score", ("D1", 0.734608), ("D2", 0.146944))
 def tfidf_scores(spark: SparkSession) -> DataFrame:
     docs = spark.createDataFrame([("D1", "load graph nodes"), ("D2", "graph store"), ("D3", "render page")], "id string, text string")

@@ -198,6 +198,9 @@ b AS (SELECT label, 0 AS s, row_number() OVER (ORDER BY score DESC, doc_id) AS k
   SELECT label, 1, row_number() OVER (ORDER BY distance, doc_id) FROM (SELECT * FROM near ORDER BY distance, doc_id LIMIT 8)),
 g AS (SELECT label, min({{'s': s, 'k': k}}) AS f FROM b GROUP BY label)
 SELECT label, rank::INTEGER AS rank FROM (SELECT label, row_number() OVER (ORDER BY f, label) AS rank FROM g) WHERE rank <= 8"""
+_SQL["vector_index_topk"] = _SQL["vector_topk"]
+_SQL["concept_upsert"] = """WITH p AS (SELECT 'concept::app::' || c_mktsegment AS id, c_mktsegment AS code, c_custkey % 2 AS half, count(*) AS n FROM customer GROUP BY ALL),
+k AS (SELECT * FROM p WHERE NOT (half = 0 AND code = 'BUILDING') AND NOT (half = 1 AND code = 'MACHINERY')) SELECT id, code, arg_max(n, half) AS lineno FROM k GROUP BY id, code"""
 _W = f"""{_PN}, {_PE}, m AS (SELECT p_partkey::VARCHAR AS k, 'pkg/' || lower(replace(p_brand, '#', '')) || '.py' AS f FROM part),
 e AS (SELECT pe.kind, a.k AS a, a.f AS af, b.k AS b, b.f AS bf FROM pe JOIN m a ON a.k = string_split(src, '::')[3] JOIN m b ON b.k = string_split(dst, '::')[3])"""
 _SQL["written_definitions"] = f"""WITH {_W} SELECT 'function::' || f || '::f_' || k AS id, 'Function' AS kind, 'f_' || k AS name, f AS file, 'Part ' || k || '.' AS docstring FROM m

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeweft.functions import text as T
-from nodeweft.operators import chats, graph, resolve, retrieval, traverse, web
+from nodeweft.operators import chats, graph, resolve, retrieval, traverse, vectors, web
 from nodeweft.operators.rows import latest_rows
-from nodeweft.session import stage
+from nodeweft.session import shared_folder, stage
 from nodeweft.sources import facts as facts_of
 from nodeweft.sources.tables import table
 from nodeweft.sources.tree import dotted_module, manifest, suffix_language
@@ -131,6 +132,15 @@ def delete_by_file(spark: SparkSession, folder: str) -> DataFrame:
     return graph.delete_files(derived.part_nodes(spark, folder), derived.part_edges(spark, folder), gone)[1]
 
 
+@query
+def concept_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    # Segments of customers below the middle key are stored, those of the others arrive.
+    concepts = table(spark, folder, "customer", "c_custkey", "c_mktsegment").select(F.concat(F.lit("concept::app::"), "c_mktsegment").alias("id"), F.col("c_mktsegment").alias("code"), (F.col("c_custkey") % 2).alias("half"))
+    per = concepts.groupBy("id", "code", "half").agg(F.count("*").alias("lineno"))
+    old, new = (per.where(F.col("half") == h).where(F.col("code") != left).drop("half") for h, left in ((0, "BUILDING"), (1, "MACHINERY")))
+    return graph.load_concepts(old, new)
+
+
 @query
 def rule_lww(spark: SparkSession, folder: str) -> DataFrame:
     concepts, targets, rules = derived.segment_rules(spark, folder)
@@ -216,6 +226,16 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select(F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"))
 
 
+@query
+def vector_index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact search through an index, which reads only the lists that it can't rule out."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vectors.build_index(rows, "vec_id", "embedding", 64, path, lists=16)
+    hits = vectors.search(spark, path, _query_vector(spark, folder), probes=2, exact=True)
+    return hits.select(F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"))
+
+
 @query
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
     w = lambda *c: F.row_number().over(Window.orderBy(*c))

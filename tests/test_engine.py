@@ -1,10 +1,13 @@
 import math
+import os
 import random
 
+import numpy as np
 import pytest
 
+from nodeweft import session
 from nodeweft.functions import text as T
-from nodeweft.operators import chats, graph, resolve, retrieval, traverse, web
+from nodeweft.operators import chats, graph, resolve, retrieval, traverse, vectors, web
 from nodeweft.operators.rows import latest_rows
 from nodeweft.plans import ask, cypher, export
 from nodeweft.sources import facts
@@ -290,6 +293,17 @@ def test_cypher_writes(small, rows):
             small.write(bad)
 
 
+def test_releasing_staged_tables(spark, tmp_path):
+    made = session.stage(spark.range(3), "gone")
+    folder = session.shared_folder(spark)
+    assert made.count() == 3 and any(f.startswith("gone-") for f in os.listdir(folder))
+    session.release()
+    assert not any(f.startswith("gone-") for f in os.listdir(folder))
+    session.write_text(str(tmp_path / "t"), "one")
+    session.write_text(str(tmp_path / "t"), "zwölf")
+    assert session.read_text(str(tmp_path / "t")) == "zwölf" and session.read_text(str(tmp_path / "u")) is None
+
+
 def test_cypher_over_roles(small, rows):
     concepts, rules = small.nodes.sparkSession.createDataFrame([("c1", "Role", "ADM")], "id string, kind string, code string"), small.nodes.sparkSession.createDataFrame([("c1", "a", "deny", "x", 3)], "concept_id string, target_id string, effect string, condition string, lineno long")
     g = cypher.Graph(small.nodes, small.edges, concepts, rules)
@@ -338,6 +352,26 @@ def test_ask_about_an_address(spark):
     assert ask.fact_blocks(store, "Which rules are there, and which view?") == ["Note: the question is about access rules, but names no file or page that is known.", "Note: the question is about views, but names no file or page that is known."]
 
 
+def test_vector_index(spark, tmp_path, rows):
+    """Few lists hold nearly all of the nearest; the exact search holds all and still passes lists by."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32))
+    x = (np.repeat(centres, 60, axis=0) + 0.5 * rng.standard_normal((2400, 32))).astype(np.float32)
+    data = [(f"n{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * 32), ("short", [1.0]), ("none", None), ("nan", [float("nan")] * 32)]
+    df = spark.createDataFrame(data, "id string, v array<float>")
+    vectors.build_index(df, "id", "v", 32, str(tmp_path / "a"), lists=40)
+    hit = kept = 0
+    for i in range(0, 2400, 480):
+        q = (x[i] + 0.3 * rng.standard_normal(32)).tolist()
+        want = [r["id"] for r in retrieval.vector_topk(df, "id", "v", q).collect()]
+        near = {r["id"] for r in vectors.search(spark, str(tmp_path / "a"), q, probes=4).collect()}
+        hit, kept = hit + len(near & set(want)), kept + len(want)
+        assert [r["id"] for r in vectors.search(spark, str(tmp_path / "a"), q, probes=2, exact=True).collect()] == want
+    assert hit >= 0.95 * kept
+    vectors.build_index(df.limit(0), "id", "v", 32, str(tmp_path / "b"))
+    assert vectors.search(spark, str(tmp_path / "b"), [1.0] * 32).count() == 0
+
+
 def test_ask_with_vectors(small):
     """A node that shares no word with the question is found by its stored vector."""
     nodes = small.nodes.withColumn("embedding", F.when(F.col("id") == "c", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
