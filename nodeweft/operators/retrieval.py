@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,13 +86,15 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: int = TOP) -> DataFr
 
 
 def hashed_embedding(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
-    """A deterministic bag-of-words vector of length one. It stands in for a sentence model, which it doesn't equal."""
-    import re
+    """A deterministic bag-of-words vector of length one. It stands in for a sentence model, which it doesn't equal.
 
+    A word adds 1 or -1 in a dimension: the first 15 hexadecimal digits of its MD5 give the dimension by their remainder, and
+    the sign by whether the quotient is even.
+    """
     v = np.zeros(dimensions)
     for word in re.findall(r"[a-z0-9]+", (text or "").lower()) or ["(no", "description)"]:
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-        v[h % dimensions] += 1.0 if h >> 63 else -1.0
+        turns, place = divmod(int(hashlib.md5(word.encode()).hexdigest()[:15], 16), dimensions)
+        v[place] += -1.0 if turns % 2 else 1.0
     return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32).tolist()
 
 
