@@ -202,8 +202,8 @@ _SQL["embed_hashed"] = """WITH now AS (SELECT id, arg_max({'kind': kind, 'doc':
 d AS (SELECT id, CASE WHEN trim(coalesce(r.doc, '')) = '' THEN '(no description)' ELSE r.doc END AS t FROM now WHERE r.kind = 'Class'),
 w AS (SELECT id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM d), h AS (SELECT id, ('0x' || md5(w)[1:15])::BIGINT AS h FROM w),
 v AS (SELECT id, h % 384 AS place, sum(CASE WHEN (h // 384) % 2 = 1 THEN -1 ELSE 1 END)::DOUBLE AS x FROM h GROUP BY ALL),
-n AS (SELECT id, sqrt(sum(x * x)) AS n, map_from_entries(list((place, x))) AS m FROM v GROUP BY id)
-SELECT d.id, list_transform(range(384), lambda i: (coalesce(m[i], 0) / CASE WHEN n > 0 THEN n ELSE 1 END)::FLOAT) AS embedding FROM d JOIN n USING (id)"""
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY id)
+SELECT v.id, v.place, round((x / n)::FLOAT::DOUBLE, 6) AS value FROM v JOIN n USING (id) WHERE x <> 0"""
 # What the lines of the tables' PHP files say, by patterns over lines instead of a tokenizer.
 _LINES = rf"""{_FILES}, l AS (SELECT file, string_split(content, chr(10)) AS ls FROM f WHERE file LIKE '%.php'), x AS (SELECT file, unnest(ls) AS line, generate_subscripts(ls, 1) AS lineno FROM l),
 c AS (SELECT * FROM x WHERE NOT regexp_matches(line, '^\s*(//|\*|/\*|#)')),
@@ -213,6 +213,13 @@ SELECT file AS source_file, 'Function' AS source_kind, lineno, view_arg, NULL::V
 _SQL["source_rules"] = rf"""WITH {_LINES}, g AS (SELECT *, regexp_extract(line, 'if (\(.*[Rr]ole.*\)) \{{', 1) AS condition, lead(line) OVER (PARTITION BY file ORDER BY lineno) AS next FROM m)
 SELECT 'concept::app::' || upper(regexp_extract(condition, '''(\w+)''', 1)) AS concept_id, 'function::' || file || '::' || concat_ws('.', CASE WHEN inside THEN cls END, fn) AS target_id, 'Function' AS target_kind,
   CASE WHEN regexp_matches(next, '(?i)\$\w*(flag|redirect|deny|block)\w*\s*=\s*(true|1);') THEN 'deny' WHEN regexp_matches(next, '(?i)\$\w*(flag|redirect|deny|block)\w*\s*=\s*(false|0);') THEN 'allow' ELSE 'checked' END AS effect, condition FROM g WHERE condition <> ''"""
+_SQL["source_php_definitions"] = rf"""WITH {_LINES}, d AS (SELECT DISTINCT file, cls, fn, inside FROM m)
+SELECT DISTINCT 'class::' || file || '::' || cls AS id, 'Class' AS kind, cls AS name, file FROM d WHERE cls IS NOT NULL
+UNION ALL SELECT DISTINCT 'function::' || file || '::' || concat_ws('.', CASE WHEN inside THEN cls END, fn), 'Function', fn, file FROM d WHERE fn IS NOT NULL"""
+_SQL["source_php_edges"] = rf"""WITH {_LINES}, d AS (SELECT DISTINCT file, cls, fn, inside FROM m)
+SELECT DISTINCT 'module::' || file AS src, 'class::' || file || '::' || cls AS dst, 'CONTAINS' AS kind FROM d WHERE cls IS NOT NULL
+UNION ALL SELECT DISTINCT CASE WHEN inside AND cls IS NOT NULL THEN 'class::' || file || '::' || cls ELSE 'module::' || file END, 'function::' || file || '::' || concat_ws('.', CASE WHEN inside THEN cls END, fn), 'CONTAINS' FROM d WHERE fn IS NOT NULL
+UNION ALL SELECT DISTINCT 'module::' || file, 'external::' || regexp_extract(line, '^use ([^;]+);', 1), 'IMPORTS' FROM m WHERE regexp_matches(line, '^use [^;]+;')"""
 _SQL["vector_index_topk"] = _SQL["vector_topk"]
 _SQL["concept_upsert"] = """WITH p AS (SELECT 'concept::app::' || c_mktsegment AS id, c_mktsegment AS code, c_custkey % 2 AS half, count(*) AS n FROM customer GROUP BY ALL),
 k AS (SELECT * FROM p WHERE NOT (half = 0 AND code = 'BUILDING') AND NOT (half = 1 AND code = 'MACHINERY')) SELECT id, code, arg_max(n, half) AS lineno FROM k GROUP BY id, code"""

@@ -257,7 +257,8 @@ def hybrid_context(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def embed_hashed(spark: SparkSession, folder: str) -> DataFrame:
     docs = current_nodes(spark, folder, "kind", "name", "docstring").where(F.col("kind") == "Class")
-    return docs.select("id", retrieval.embed(F.coalesce("docstring", F.lit(""))).alias("embedding"))
+    made = docs.select("id", F.posexplode(retrieval.embed(F.coalesce("docstring", F.lit("")))).alias("place", "value")).where("value <> 0")
+    return made.select("id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -529,6 +530,19 @@ def source_definitions(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.graph_nodes(facts_of.file_facts(current_files(spark, folder))).select("id", "kind", "name", "file", "lineno", "docstring")
 
 
+@query
+def source_php_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    files = current_files(spark, folder).where(F.col("file").endswith(".php"))
+    nodes = resolve.graph_nodes(facts_of.file_facts(files))
+    return nodes.where(F.col("kind").isin("Class", "Function")).select("id", "kind", "name", "file")
+
+
+@query
+def source_php_edges(spark: SparkSession, folder: str) -> DataFrame:
+    files = stage(current_files(spark, folder).where(F.col("file").endswith(".php")), "files")
+    return resolve.build_graph(files, stage(facts_of.file_facts(files), "facts"))[1]
+
+
 @query
 def source_edges(spark: SparkSession, folder: str) -> DataFrame:
     files, facts = _extracted(spark, folder)
