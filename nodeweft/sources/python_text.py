@@ -13,6 +13,7 @@ import warnings
 from dataclasses import dataclass
 
 _NEXT = re.compile(r"""(?P<comment>\#[^\n]*)|(?P<string>(?<![A-Za-z0-9_\x80-\U0010ffff])(?P<prefix>[A-Za-z]{0,3})(?P<quote>\"\"\"|'''|"|'))|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<joined>\\\r?\n)|(?P<line>\r\n|\n|\r)""")
+_SPECIAL = re.compile(r"[\"'#\\\r]")
 #: What ends a string, or hides what follows it.
 _STOPS = {q: re.compile(rf"\\.|{q}" + ("" if len(q) == 3 else r"|\n"), re.S) for q in ('"""', "'''", '"', "'")}
 _SIMPLE = re.compile(r"""([rR]?)(\"\"\"|'''|"|')(.*)\2\s*""", re.S)
@@ -97,7 +98,20 @@ def logical_lines(src: str) -> list[Line]:
             out.append(Line(start + len(text) - len(body), end, len(text[: len(text) - len(body)].expandtabs(8)), body))
         parts.clear()
 
-    while m := _NEXT.search(src, at):
+    while True:
+        if not depth and not parts:
+            # Most lines are whole by themselves: no string, comment or continuation, and brackets that close.
+            end = src.find("\n", at)
+            text = src[at:end] if end >= 0 else ""
+            if end >= 0 and not _SPECIAL.search(text) and text.count("(") == text.count(")") and text.count("[") == text.count("]") and text.count("{") == text.count("}"):
+                if not text.isspace() and text:
+                    parts.append(text)
+                    close(end)
+                start = at = end + 1
+                continue
+        m = _NEXT.search(src, at)
+        if not m:
+            break
         parts.append(src[at : m.start()])
         at = m.end()
         if m["line"]:
