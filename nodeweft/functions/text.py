@@ -134,7 +134,7 @@ def class_file(name: Column) -> Column:
 
 def file_title(text: Column) -> Column:
     """A text that can name a file: reserved characters as _, at most 180 characters, `untitled` if nothing is left."""
-    clean = F.substring(F.trim(F.regexp_replace(text, r'[\\/:*?"<>|]', "_")), 1, 180)
+    clean = F.substring(stripped(F.regexp_replace(text, r'[\\/:*?"<>|]', "_")), 1, 180)
     return F.when(clean == "", "untitled").otherwise(clean)
 
 
@@ -145,8 +145,9 @@ def note_title(node: Column, kind: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
+    """A text as a short name of letters, digits, _ and -; `repo` if nothing is left."""
     clean = F.substring(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9_-]+", "_"), "^_+|_+$", ""), 1, 60)
-    return F.when(clean == "", "repo").otherwise(clean)
+    return F.when(F.coalesce(clean, F.lit("")) == "", "repo").otherwise(clean)
 
 
 def chat_title(question: Column, limit: int = 60) -> Column:

@@ -12,7 +12,7 @@ from nodeweft.operators import graph, resolve, retrieval, traverse, web
 from nodeweft.sources import facts as facts_of
 from nodeweft.streaming.incremental import file_diff
 
-from . import cypher
+from . import ask, cypher
 
 PYTHON = {
     "pkg/__init__.py": "",
@@ -307,6 +307,64 @@ def views_loaded(spark: SparkSession) -> DataFrame:
     return graph.load_renders(web.view_renders(facts, files)).select("id", "target_file")
 
 
+RELATIVE = {
+    "a/b/c/d.py": "from . import x\nfrom .x import y\nfrom .. import z as w\nfrom ..z.q import r\nfrom ... import top\nfrom .... import above\nfrom ..... import beyond\nimport a.b.z\nimport a.b.z as m, os.path\n",
+    "a/b/c/__init__.py": "",
+    "a/b/c/x.py": "",
+    "a/b/__init__.py": "",
+    "a/b/z/q.py": "",
+    "a/b/z/__init__.py": "",
+    "a/__init__.py": "",
+}
+
+
+@fixture(
+    "dst",
+    ("module::a/b/c/__init__.py",),
+    ("module::a/b/c/x.py",),
+    ("module::a/b/__init__.py",),
+    ("module::a/b/z/q.py",),
+    ("module::a/__init__.py",),
+    ("module::a/b/z/__init__.py",),
+    ("external::os.path",),
+)
+def relative_imports(spark: SparkSession) -> DataFrame:
+    """Levels go up from the file's folder; what no file provides is external, unless it is relative."""
+    files, facts = _facts(spark, RELATIVE)
+    return resolve.resolve_imports(facts, files)[0].select("dst")
+
+
+@fixture("local_name, kind, target_module, orig_name", ("x", "symbol", "a/b/c/__init__.py", "x"), ("y", "symbol", "a/b/c/x.py", "y"), ("w", "symbol", "a/b/__init__.py", "z"), ("r", "symbol", "a/b/z/q.py", "r"), ("top", "symbol", "a/__init__.py", "top"), ("m", "module", "a/b/z/__init__.py", None))
+def relative_bindings(spark: SparkSession) -> DataFrame:
+    files, facts = _facts(spark, RELATIVE)
+    return resolve.resolve_imports(facts, files)[1].drop("file")
+
+
+DOCUMENTED = {
+    "d.php": "<?php\n/**\n * First line.\n *\n *   Second line.\n * @return int\n */\n#[Pure]\nfunction one() {}\n/* plain */ function two() {}\n/** kept */\n\nfunction three() {}\n// between\nfunction four() {}\n/** far */\n$x = 1;\nfunction five() {}\n"
+    "define('X_ADMIN_CODE', 'A'); define('ROLE_KEY', 'B'); define('x_role_key_usr', 'C'); define('ADMIN', 'D'); define('SERVICE_TARIF_ROLE_CD', 'E'); define('READER_CODE_2', F);\n"
+    "class K { function m($a) { if ($a) { return '}'; } } }\nfunction m() { return 2; }\n",
+}
+
+
+@fixture("name, docstring", ("one", "First line.\nSecond line.\n@return int"), ("two", ""), ("three", "kept"), ("four", ""), ("five", ""), ("m", ""), ("m", ""))
+def documentation(spark: SparkSession) -> DataFrame:
+    """Only the `/**` comment directly before a declaration counts, without stars and blank lines."""
+    return _graph(spark, DOCUMENTED)[0].where("kind = 'Function'").select("name", "docstring")
+
+
+@fixture("name, code", ("X_ADMIN_CODE", "A"), ("x_role_key_usr", "C"), ("SERVICE_TARIF_ROLE_CD", "E"), ("READER_CODE_2", "READER_CODE_2"))
+def role_constants(spark: SparkSession) -> DataFrame:
+    """A noun and a suffix in either order, whatever the case; a value that isn't a literal gives way to the name."""
+    return web.role_catalog(_facts(spark, DOCUMENTED)[1]).select("name", "code")
+
+
+@fixture("cls, method, source", ("K", "m", "function m($a) { if ($a) { return '}'; } }"), ("", "two", "function two() {}"), ("K", "two", None))
+def method_sources(spark: SparkSession) -> DataFrame:
+    rows = [(cls, method, ask.method_source(DOCUMENTED["d.php"], method, cls or None)) for cls, method in (("K", "m"), ("", "two"), ("K", "two"))]
+    return spark.createDataFrame(rows, "cls string, method string, source string")
+
+
 @fixture("renders, resolved", (4, 3))
 def views_counted(spark: SparkSession) -> DataFrame:
     files, facts = _facts(spark, PHP)

@@ -220,6 +220,13 @@ _SQL["source_php_edges"] = rf"""WITH {_LINES}, d AS (SELECT DISTINCT file, cls,
 SELECT DISTINCT 'module::' || file AS src, 'class::' || file || '::' || cls AS dst, 'CONTAINS' AS kind FROM d WHERE cls IS NOT NULL
 UNION ALL SELECT DISTINCT CASE WHEN inside AND cls IS NOT NULL THEN 'class::' || file || '::' || cls ELSE 'module::' || file END, 'function::' || file || '::' || concat_ws('.', CASE WHEN inside THEN cls END, fn), 'CONTAINS' FROM d WHERE fn IS NOT NULL
 UNION ALL SELECT DISTINCT 'module::' || file, 'external::' || regexp_extract(line, '^use ([^;]+);', 1), 'IMPORTS' FROM m WHERE regexp_matches(line, '^use [^;]+;')"""
+_SQL["app_names"] = r"""WITH f AS (SELECT DISTINCT file FROM files WHERE file IS NOT NULL), p AS (SELECT file AS path FROM f UNION SELECT replace(file, '/', '\') FROM f UNION SELECT 'Modules/' || file FROM f),
+s AS (SELECT path, string_split(replace(path, '\', '/'), '/') AS s FROM p) SELECT path, CASE WHEN coalesce(list_position(s, 'Modules'), 0) > 0 THEN coalesce(s[list_position(s, 'Modules') + 1], s[1]) ELSE s[1] END AS app FROM s"""
+_SQL["qualified_targets"] = r"""WITH n AS (SELECT *, replace(p_brand, '#', '') AS n FROM part)
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '\Core\' WHEN p_size % 3 = 1 THEN 'Sub\' WHEN p_partkey % 3 < 2 THEN 'App\Pages\' ELSE '' END || n || '::go' AS target, 'app/' || n || '.php' AS file, lower(n[1]) || n[2:] AS first FROM n"""
+_SQL["file_titles"] = r"""WITH q AS (SELECT DISTINCT question FROM messages WHERE question IS NOT NULL),
+t AS (SELECT question, regexp_replace(regexp_replace(regexp_replace(question, '[\\/:*?"<>|]', '_', 'g'), '^[\s\p{Z}\x{85}]+', ''), '[\s\p{Z}\x{85}]+$', '')[1:180] AS t, regexp_replace(regexp_replace(regexp_replace(question, '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+', ''), '_+$', '')[1:60] AS s FROM q)
+SELECT question, CASE WHEN t = '' THEN 'untitled' ELSE t END AS title, CASE WHEN s = '' THEN 'repo' ELSE s END AS slug FROM t"""
 _SQL["vector_index_topk"] = _SQL["vector_topk"]
 _SQL["concept_upsert"] = """WITH p AS (SELECT 'concept::app::' || c_mktsegment AS id, c_mktsegment AS code, c_custkey % 2 AS half, count(*) AS n FROM customer GROUP BY ALL),
 k AS (SELECT * FROM p WHERE NOT (half = 0 AND code = 'BUILDING') AND NOT (half = 1 AND code = 'MACHINERY')) SELECT id, code, arg_max(n, half) AS lineno FROM k GROUP BY id, code"""

@@ -404,6 +404,28 @@ def top_folder_forms(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.explode(forms).alias("path")).select("path", T.top_folder(F.col("path")).alias("folder")).distinct()
 
 
+@query
+def app_names(spark: SparkSession, folder: str) -> DataFrame:
+    files = current_files(spark, folder, "sha1").select("file").where(F.col("file").isNotNull())
+    forms = files.select(F.explode(F.array("file", F.replace("file", F.lit("/"), F.lit("\\")), F.concat(F.lit("Modules/"), "file"))).alias("path"))
+    return forms.select("path", T.app_of(F.col("path")).alias("app")).distinct()
+
+
+@query
+def qualified_targets(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "part", "p_partkey", "p_brand", "p_size")
+    name = F.replace("p_brand", F.lit("#"), F.lit(""))
+    target = F.concat(F.when(F.col("p_size") % 3 == 0, "\\Core\\").when(F.col("p_size") % 3 == 1, "Sub\\").otherwise(""), name, F.lit("::go"))
+    namespace = F.when(F.col("p_partkey") % 3 == 0, "App\\Pages").when(F.col("p_partkey") % 3 == 1, "App\\Pages\\")
+    return p.select("p_partkey", T.qualified_target(target, namespace).alias("target"), T.class_file(F.concat(F.lit("App\\"), name)).alias("file"), T.lower_first(name).alias("first"))
+
+
+@query
+def file_titles(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "messages", "question").where(F.col("question").isNotNull()).distinct()
+    return q.select("question", T.file_title(F.col("question")).alias("title"), T.slug(F.col("question")).alias("slug"))
+
+
 @query
 def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
     return graph.folder_modules(current_nodes(spark, folder, "kind", "name", "file", "docstring"))

@@ -20,7 +20,9 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from nodeweft.functions.text import slug
 from nodeweft.operators import chats, graph, traverse
 from nodeweft.operators.rows import latest_rows
 from nodeweft.session import read_text, release, remove, write_text
@@ -106,11 +108,13 @@ class Service:
             if path == "/api/index-repo":
                 if self.index is None:
                     raise ValueError("indexing is switched off")
-                counts = self.index(body["db_path"], body.get("root", ""), body.get("files"))
-                row = self.spark.createDataFrame([(body.get("name") or body["db_path"], body["db_path"], body.get("root") or "upload", time.time())], REGISTRY)
+                # An upload that names no place gets one beside the chats, by its name.
+                place = body.get("db_path") or f"{self.folder}/uploads/{self.spark.range(1).select(slug(F.lit(body.get('name') or ''))).first()[0]}"
+                counts = self.index(place, body.get("root", ""), body.get("files"))
+                row = self.spark.createDataFrame([(body.get("name") or place, place, body.get("root") or "upload", time.time())], REGISTRY)
                 self._keep(registry=latest_rows(self.tables["registry"].unionByName(row), ["db_path"], ["added_at"]).select(*self.tables["registry"].columns))
-                self.repo = body["db_path"]
-                return counts
+                self.repo = place
+                return counts | {"db_path": place}
             c, m = self.tables["chats"], self.tables["messages"]
             if path == "/api/chats":
                 key = uuid.uuid4().hex

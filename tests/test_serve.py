@@ -32,10 +32,12 @@ def test_index_and_questions(api):
     call, folder = api
     assert call("/api/stats") == 400
     files = [{"path": "a.py", "content": "def g():\n    f()\ndef f():\n    pass\n"}, {"path": "../evil.py", "content": "x"}]
-    assert call("/api/index-repo", {"db_path": f"{folder}/one", "name": "one", "files": files}) == {"changed": 1, "skipped": [{"path": "../evil.py", "reason": "outside the upload"}]}
-    assert call("/api/index-repo", {"db_path": f"{folder}/one", "name": "one", "files": files[:1]}) == {"unchanged": 1}
+    assert call("/api/index-repo", {"db_path": f"{folder}/one", "name": "one", "files": files}) == {"changed": 1, "skipped": [{"path": "../evil.py", "reason": "outside the upload"}], "db_path": f"{folder}/one"}
+    assert call("/api/index-repo", {"db_path": f"{folder}/one", "name": "one", "files": files[:1]}) == {"unchanged": 1, "db_path": f"{folder}/one"}
+    assert call("/api/index-repo", {"name": "my: repo", "files": files[:1]})["db_path"] == f"{folder}/chats/uploads/my_repo"
+    assert call("/api/switch-repo", {"db_path": f"{folder}/one"}) == {"db_path": f"{folder}/one"}
     assert {r["kind"]: r["n"] for r in call("/api/stats")}["Function"] == 2
-    assert [r["name"] for r in call("/api/repos")] == ["one"]
+    assert [r["name"] for r in call("/api/repos")] == ["my: repo", "one"]
     assert call("/api/callers?name=f") == [{"caller": "g", "file": "a.py", "line": 1}]
     assert call("/api/impact?name=f&hops=2") == [{"name": "g", "file": "a.py"}]
     assert len(call("/api/graph?limit=2")["nodes"]) == 2
