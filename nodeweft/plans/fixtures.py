@@ -3,14 +3,18 @@ that the rules give by hand. The folder of a query is not read."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeweft.operators import graph, resolve, retrieval, traverse, web
+from nodeweft.operators import chats, graph, resolve, retrieval, traverse, web
+from nodeweft.session import shared_folder, stage
 from nodeweft.sources import facts as facts_of
-from nodeweft.streaming.incremental import file_diff
+from nodeweft.sources import tree
+from nodeweft.streaming.incremental import file_diff, merged_facts
 
 from . import ask, cypher
 
@@ -52,7 +56,9 @@ def _rows(columns: str, *rows: tuple) -> str:
             return str(v)
         if isinstance(v, float):
             return f"{v}::DOUBLE"
-        return f"{v}::BIGINT" if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+        if isinstance(v, int):
+            return f"{v}::BIGINT"
+        return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in str(v).split("\n"))
 
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({columns})"
 
@@ -365,6 +371,103 @@ def method_sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "cls string, method string, source string")
 
 
+#: A tree as bytes: what is scanned of it, and what isn't.
+TREE = {
+    "a.py": b"x = 1\n",
+    "pkg/__init__.py": b"",
+    "pkg/deep/er/b.py": b"s = '\xff'\n",
+    "pkg/c.php": b"<?php\n",
+    "pkg/d.PY": b"x",
+    ".hidden/e.py": b"x",
+    "node_modules/f.py": b"x",
+    "own_env/pyvenv.cfg": b"",
+    "own_env/lib/g.py": b"x",
+    "vendor/h.php": b"<?php",
+    "vendor/i.py": b"y = 2\n",
+}
+
+
+@fixture(
+    "file, lang, content, sha1",
+    *((f, "python", TREE[f].decode(errors="ignore"), hashlib.sha1(TREE[f]).hexdigest()) for f in ("a.py", "pkg/__init__.py", "pkg/deep/er/b.py", "vendor/i.py")),
+    ("pkg/c.php", "php", "<?php\n", hashlib.sha1(b"<?php\n").hexdigest()),
+)
+def scanned_tree(spark: SparkSession) -> DataFrame:
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    system, base = tree.file_system(root)
+    for file, data in TREE.items():
+        system.create_dir(f"{base}/{file}".rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(f"{base}/{file}") as f:
+            f.write(data)
+    return tree.scan_tree(spark, root, ".py").unionByName(tree.scan_tree(spark, root, ".php"))
+
+
+@fixture("path, reason", ("../x.py", "outside the upload"), ("/etc/y.py", "outside the upload"), ("d.js", "not a source file"), (".git/c.py", "in a skipped directory"), ("big.py", "over 2097152 bytes"), ("a/b.py", None), ("a/c.php", None))
+def upload_rules(spark: SparkSession) -> DataFrame:
+    items = [{"path": p, "content": "x"} for p in ("../x.py", "/etc/y.py", "a/b.py", ".git/c.py", "d.js", "a/./c.php")] + [{"path": "big.py", "content": "x" * (tree.UPLOAD_LIMIT + 1)}]
+    skipped: list[dict] = []
+    kept = tree.uploaded(spark, items, skipped).select(F.col("file").alias("path"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(spark.createDataFrame([(s["path"], s["reason"]) for s in skipped], "path string, reason string"))
+
+
+@fixture(
+    "src, dst, kind",
+    ("function::a.py::g", "function::b.py::h", "CALLS"),
+    ("module::a.py", "function::a.py::g", "CONTAINS"),
+    ("module::b.py", "function::b.py::h", "CONTAINS"),
+    ("module::d.py", "function::d.py::k", "CONTAINS"),
+    ("module::a.py", "module::b.py", "IMPORTS"),
+)
+def incremental_edges(spark: SparkSession) -> DataFrame:
+    """b.py changes, c.py goes, d.py comes; a.py isn't parsed again, and its call is resolved anew."""
+    before = _files(spark, {"a.py": "from b import f, h\ndef g(): h()\n", "b.py": "def f(): pass\n", "c.py": "def g(): pass\n"})
+    after = _files(spark, {"a.py": "from b import f, h\ndef g(): h()\n", "b.py": "def h(): pass\n", "d.py": "def k(): pass\n"})
+    old = facts_of.file_facts(before)
+    return resolve.build_graph(after, stage(merged_facts(old, tree.manifest(before), after, facts_of.file_facts), "facts"))[1]
+
+
+def _chats(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    c = spark.createDataFrame([], "id string, repo_db_path string, title string, created_at double, updated_at double")
+    m = spark.createDataFrame([], "id long, chat_id string, seq long, question string, answer string, type string, detail string, image_data_url string, context_question string, created_at double")
+    for key, title in (("x", ""), ("y", "named"), ("z", "")):
+        c = chats.create_chat(c, "/db", title, now=1.0, chat_id=key)
+    for k, (key, question, context) in enumerate((("x", "Who calls\nf?", None), ("x", "And g?", "And g of the page?"), ("y", "Why?", None), ("x", "Thanks", None), ("z", " ", None))):
+        c, m = chats.add_message(c, m, key, question, f"answer {k}", now=2.0 + k, context_question=context)
+    m = chats.delete_message(m, "x", 1)
+    c, m = chats.add_message(c, m, "x", "Again", "answer", now=9.0)
+    return chats.delete_chat(c, m, "y")
+
+
+@fixture("id, title, created_at, updated_at", ("x", "Who calls f?", 1.0, 9.0), ("z", "(image)", 1.0, 6.0))
+def chats_kept(spark: SparkSession) -> DataFrame:
+    return chats.list_chats(_chats(spark)[0], "/db").select("id", "title", "created_at", "updated_at")
+
+
+@fixture("id, chat_id, seq, question, answer, context_question", (1, "x", 0, "Who calls\nf?", "answer 0", "Who calls\nf?"), (4, "x", 2, "Thanks", "answer 3", "Thanks"), (5, "z", 0, " ", "answer 4", " "), (6, "x", 3, "Again", "answer", "Again"))
+def chat_turns(spark: SparkSession) -> DataFrame:
+    """A deleted turn leaves a gap; the next one is numbered behind the last."""
+    return _chats(spark)[1].select("id", "chat_id", "seq", "question", "answer", "context_question")
+
+
+@fixture("name, type", *((k, "NODE") for k in ("Module", "Class", "Function", "External", "Concept")), *((k, "REL") for k in ("CONTAINS", "IMPORTS", "CALLS", "INHERITS", "RULE")))
+def catalog_tables(spark: SparkSession) -> DataFrame:
+    nodes, edges = _graph(spark, PHP)
+    facts = _facts(spark, PHP)[1]
+    concepts = web.role_catalog(facts)
+    return cypher.Graph(nodes, edges, concepts, web.branch_rules(facts, concepts)).run("CALL show_tables()")
+
+
+@fixture("property_id, name, type", (0, "src", "string"), (1, "dst", "string"), (2, "kind", "string"))
+def catalog_columns(spark: SparkSession) -> DataFrame:
+    return cypher.Graph(*_graph(spark, PHP)).run("CALL table_info('CALLS')").withColumn("property_id", F.col("property_id").cast("long"))
+
+
+@fixture("block", ("Direct callers of later:\n- go (pkg/app.py:9)\nFunctions that reach later within 2 calls:\n- go (pkg/app.py)\n- step (pkg/app.py)",), ("App extends:\n- Base (pkg/base.py)".replace("App extends", "Classes above App"),), ("No class was found that extends App.",))
+def fact_blocks(spark: SparkSession) -> DataFrame:
+    blocks = ask.fact_blocks(ask.Store(*_graph(spark, PYTHON)), "What breaks within 2 hops if I change later, and what does App inherit?")
+    return spark.createDataFrame([(b,) for b in blocks], "block string")
+
+
 @fixture("renders, resolved", (4, 3))
 def views_counted(spark: SparkSession) -> DataFrame:
     files, facts = _facts(spark, PHP)
