@@ -19,6 +19,7 @@ any length are read whole; equal rows give one result.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import unicodedata
@@ -122,8 +123,6 @@ _LANGUAGES = tuple(_LISTS)
 _OF = {w: tuple(i for i, ws in enumerate(_LISTS.values()) if w in ws) for ws in _LISTS.values() for w in ws}
 _SPEAKS = {w: (of, 1.0 / len(of)) for w, of in _OF.items()}
 _MARKS = ".,;:!?()[]{}\"'«»“”„¿¡…*_-–—>"
-#: Words between white space, without the marks around them.
-_TOKEN = re.compile(rf"(?<!\S)[{re.escape(_MARKS)}']*([^\W\d_]+(?:'[^\W\d_]+)*)[{re.escape(_MARKS)}']*(?!\S)")
 #: Letters that only some of the languages use.
 _LETTERS = tuple((letter, tuple(_LANGUAGES.index(lang) for lang in of.split())) for letter, of in (("ß", "de"), ("ñ", "es"), ("¿", "es"), ("¡", "es"), ("ã", "pt"), ("õ", "pt"), ("œ", "fr"), ("ê", "fr pt"), ("ç", "fr pt"), ("ä", "de"), ("ö", "de"), ("ü", "de es"), ("è", "fr it"), ("ì", "it"), ("ò", "it"), ("ù", "fr it"), ("î", "fr"), ("ô", "fr pt"), ("û", "fr")))
 _NAMES = {
@@ -202,6 +201,7 @@ def is_empty(text: str) -> bool:
 
 
 _WORDS = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_]")
 
 
 def plain_words(text: str) -> list[str]:
@@ -228,15 +228,20 @@ def is_copy(text: str, question: str) -> bool:
     return said > 0 and max(most, at) >= 0.75 * len(asked)
 
 
-def sentences(text: str) -> list[str]:
-    cut = re.sub(r"([.!?…])[\"'”»)]*\s+", r"\1\n", text)
-    out: list[str] = []
-    for s in cut.split("\n"):
-        s = s.strip()
+_SENTENCE_END = re.compile(r"([.!?…。！？])[\"'”»)]*\s+|(?<=[。！？])|\n")
+
+
+def sentences(text: str) -> Iterator[str]:
+    """The sentences of a text that hold a letter or digit, one by one."""
+    at = 0
+    for end in itertools.chain(_SENTENCE_END.finditer(text), (None,)):
+        s = (text[at : end.start()] + (end[1] or "") if end else text[at:]).strip()
+        at = end.end() if end else at
         head, colon, tail = s.partition(": ")
         # "Sorry for that: ..." and "I can't see X, but from the graph: ..." lead in to an answer.
-        out += [head, tail] if colon and tail.strip() and (_FILLER.match(head) or declines(head, head.lower())) else [s]
-    return [s for s in out if re.search(r"[^\W_]", s)]
+        for part in (head, tail) if colon and tail.strip() and (_FILLER.match(head) or declines(head, head.lower())) else (s,):
+            if _WORD.search(part):
+                yield part
 
 
 def is_refusal(text: str) -> bool:
@@ -314,12 +319,21 @@ def language(text: str) -> tuple[str, float, dict[str, float]]:
     scores = [0.0] * len(_LANGUAGES)
     lower = prose.lower()
     # Paths and identifiers hold other characters than letters, or aren't in the lists.
-    for run in _TOKEN.findall(lower.replace("’", "'")):
-        for w in run.split("'") if "'" in run else (run,):
-            found = _SPEAKS.get(w)
-            if found:
-                for lang in found[0]:
-                    scores[lang] += found[1]
+    if "’" in lower:
+        lower = lower.replace("’", "'")
+    for run in lower.split():
+        found = _SPEAKS.get(run)
+        if found is None and not run.isalpha():
+            run = run.strip(_MARKS)
+            if "'" in run:
+                for found in filter(None, map(_SPEAKS.get, run.split("'"))):
+                    for lang in found[0]:
+                        scores[lang] += found[1]
+                continue
+            found = _SPEAKS.get(run)
+        if found is not None:
+            for lang in found[0]:
+                scores[lang] += found[1]
     if not plain:
         for letter, of in _LETTERS:
             if letter in lower:
