@@ -57,9 +57,16 @@ _WORD = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
-def words(text: str) -> list[str]:
-    """Words in lower case; a name in camel or snake case is its parts."""
-    return [w.lower() for part in _WORD.findall(text) for w in _CAMEL.split(part)]
+def words(text: str) -> Iterator[str]:
+    """Words in lower case, one by one; a name in camel or snake case is its parts."""
+    for m in _WORD.finditer(text):
+        part = m[0]
+        if part.islower() and part.isascii():
+            # Digits don't break a word before a small letter.
+            yield part
+        else:
+            for w in _CAMEL.split(part):
+                yield w.lower()
 
 
 @lru_cache(maxsize=65536)
@@ -162,7 +169,9 @@ def prose(doc: str) -> str:
 
 def says_something(doc: str, name: str) -> bool:
     """Whether a documentation tells more than the function's name does."""
-    text = re.sub(r"\bn\s*/\s*a\b\.?", " ", prose(doc), flags=re.I)
+    text = prose(doc)
+    if "/" in text:
+        text = re.sub(r"\bn\s*/\s*a\b\.?", " ", text, flags=re.I)
     own = {stem(w) for w in words(name)} | {name.lower().strip("_")}
     return any(w not in GENERIC and w not in PLACEHOLDER and stem(w) not in own and w not in own for w in words(text))
 
