@@ -172,17 +172,21 @@ def longest_first(names: DataFrame, column: str, limit: int) -> DataFrame:
     return names.orderBy(F.desc(F.char_length(column)), column).limit(limit)
 
 
-def unique_titles(df: DataFrame, title: str, key: str, out: str, rows_a_part: int = 10_000) -> DataFrame:
+def unique_titles(df: DataFrame, title: str, key: str, out: str, rows_a_part: int = 1_000_000) -> DataFrame:
     """`df` with titles made unique: one of equal titles stays, the others get " 2", " 3" and so on. The numbers depend on
     the keys alone.
 
-    Equal titles are numbered in parts by a hash of the key, each behind the ones before it, so a title that a third of all
-    rows bear is spread over as many tasks as its count asks for.
+    Of many rows, equal titles are numbered in parts by a hash of the key, each behind the ones before it: as many parts as
+    keep each at `rows_a_part` even if all rows bear one title.
     """
-    counts = df.groupBy(F.col(title).alias("_l")).agg(F.ceil(F.count("*") / rows_a_part).cast("int").alias("_n")).where("_n > 1")
-    split = df.withColumn("_l", F.col(title)).join(counts, "_l", "left").withColumn("_p", F.pmod(F.xxhash64(key), F.coalesce("_n", F.lit(1)))).drop("_n")
+    n = F.row_number().over(Window.partitionBy(title).orderBy(key))
+    numbered = lambda df, n: df.withColumn(out, F.when(n == 1, F.col(title)).otherwise(F.concat_ws(" ", title, n.cast("string"))))
+    parts = -(-df.count() // rows_a_part)
+    if parts <= 1:
+        return numbered(df, n)
+    split = df.withColumns({"_l": F.col(title), "_p": F.pmod(F.xxhash64(key), F.lit(parts))})
     sizes = split.groupBy("_l", "_p").agg(F.count("*").alias("_c"))
     before = F.sum("_c").over(Window.partitionBy("_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     placed = split.join(sizes.select("_l", "_p", F.coalesce(before, F.lit(0)).alias("_before")), ["_l", "_p"])
     n = F.col("_before") + F.row_number().over(Window.partitionBy("_l", "_p").orderBy(key))
-    return placed.withColumn(out, F.when(n == 1, F.col(title)).otherwise(F.concat_ws(" ", title, n.cast("string")))).drop("_l", "_p", "_before")
+    return numbered(placed, n).drop("_l", "_p", "_before")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from nodeweft.functions.text import tokens
-from nodeweft.operators.rows import broadcast_if_small, counted
+from nodeweft.operators.rows import broadcast_if_small
 from nodeweft.session import stage
 
 TOP = 15
@@ -24,9 +24,8 @@ DIMENSIONS = 384
 
 
 def term_frequencies(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
-    """(doc, t, tf), counted within each row: `doc_id` must be unique."""
-    runs = docs.select(F.col(doc_id).alias("doc"), F.explode(counted(tokens(text))).alias("r"))
-    return runs.select("doc", F.col("r.term").alias("t"), F.col("r.tf").cast("long").alias("tf"))
+    """(doc, t, tf)"""
+    return docs.select(F.col(doc_id).alias("doc"), F.explode(tokens(text)).alias("t")).groupBy("doc", "t").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -38,8 +37,8 @@ def tfidf_rank(docs: DataFrame, doc_id: str, text: Column, question: str, k: int
     """(doc, score): the k documents most similar to the question by the cosine of tf x ln((n + 1) / (df + 1)), scores over
     0 only, ties (in twelve decimals) in the order of `order` (default: the id). A question without tokens gives no rows.
 
-    Texts are split once, into a table of term counts. The vocabulary is broadcast if it is small, so postings don't move;
-    norms and dot products are then summed within each task, one row per document leaves it.
+    Texts are split once, into a table of term counts. The vocabulary is broadcast if it is small, so postings don't move
+    again; norms and dot products are then summed within each task, and few rows per document leave it.
     """
     spark = docs.sparkSession
     tf = stage(term_frequencies(docs, doc_id, text), "postings")
