@@ -32,6 +32,18 @@ def first_ranked(candidates: DataFrame, key: list[str], rank: list[Column]) -> D
     return best.select(*key, *[F.col("_b").getField(c).alias(c) for c in candidates.columns if c not in key])
 
 
+def least_other(rows: DataFrame, group: list[str], key: str, out: str) -> DataFrame:
+    """(key, out): for each row the least other `key` among the rows of equal `group`; rows without one are left out, as are
+    null groups and keys.
+
+    The two least keys of a group answer for all its rows, so the cost is that of the rows, not of the pairs in a group.
+    """
+    known = rows.where(F.col(key).isNotNull()).select(*group, key)
+    first = known.groupBy(*group).agg(F.min(key).alias("_first"))
+    second = known.join(first, group).where(F.col(key) > F.col("_first")).groupBy(*group).agg(F.min("_first").alias("_first"), F.min(key).alias("_second"))
+    return known.join(second, group).select(key, F.when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias(out))
+
+
 def graph_nodes(facts: DataFrame) -> DataFrame:
     """Modules, classes, functions and externals. Of several definitions of an id the last gives the attributes; `ord` is
     the place of the first."""

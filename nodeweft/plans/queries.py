@@ -343,11 +343,10 @@ def unambiguous_resolve(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ranked_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type")
-    one = part.select(F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type")
-    same_file = one.join(part.select("p_name", "p_brand", F.col("p_partkey").alias("hit")), ["p_name", "p_brand"]).withColumn("rank", F.lit(1))
-    same_type = one.join(part.select("p_name", "p_type", F.col("p_partkey").alias("hit")), ["p_name", "p_type"]).withColumn("rank", F.lit(2))
-    found = same_file.select("k", "hit", "rank").unionByName(same_type.select("k", "hit", "rank")).where("k <> hit")
+    part = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type").withColumnRenamed("p_partkey", "k")
+    same_file = resolve.least_other(part, ["p_name", "p_brand"], "k", "hit").withColumn("rank", F.lit(1))
+    same_type = resolve.least_other(part, ["p_name", "p_type"], "k", "hit").withColumn("rank", F.lit(2))
+    found = same_file.unionByName(same_type)
     return resolve.first_ranked(found, ["k"], [F.col("rank"), F.col("hit")])
 
 

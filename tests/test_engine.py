@@ -9,12 +9,14 @@ from nodeweft import session
 from nodeweft.functions import text as T
 from nodeweft.operators import chats, graph, resolve, retrieval, traverse, vectors, web
 from nodeweft.operators.rows import latest_rows
-from nodeweft.plans import ask, cypher, export
+from nodeweft.plans import ask, cypher, export, queries
 from nodeweft.sources import facts
 from nodeweft.sources.tree import manifest
 from nodeweft.streaming.incremental import diff_counts, file_diff, merged_facts, watch
 from pyspark.sql import functions as F
 
+from tests.oracle import same
+
 
 def scalar(spark, column):
     return spark.range(1).select(column).first()[0]
@@ -402,3 +404,19 @@ def test_ancestors_have_no_last_level(spark, monkeypatch):
     assert got == {(f"class::f::{i}", i) for i in range(1, 24)}
     methods = spark.createDataFrame([("function::f::23.run",)], "id string")
     assert ("class::f::0", "run") in {(r["class"], r["method"]) for r in resolve.inherited_methods(above, methods).collect()}
+
+
+def test_ranked_resolution_of_large_groups(spark, tmp_path, monkeypatch):
+    """Odd and large groups give the rows of the SQL, by at most two candidates a row: not by the pairs of a group."""
+    odd = [(1, "a", "x", "t"), (1, "a", "x", "t"), (2, "a", "x", "t"), (2, "b", "y", "t"), (3, "b", "z", "t"), (4, "c", "x", "t"), (5, "d", None, "t"), (6, "d", "x", "t"), (7, None, "x", "t"), (8, None, "x", "t"), (None, "a", "x", "t"), (9, "e", "x", None), (10, "e", "y", None), (11, "f", "x", "t"), (11, "f", "x", "t"), (-3, "g", "x", "u"), (0, "g", "x", "t"), (12, "g", "y", "u")]
+    data = [*odd, *((k, "one", "x", "t") for k in range(100, 400))]
+    spark.createDataFrame(data, "p_partkey long, p_name string, p_brand string, p_type string").toPandas().astype({"p_partkey": "Int64"}).to_parquet(tmp_path / "part.parquet")
+    counts, plain = [], resolve.first_ranked
+
+    def counted(candidates, key, rank):
+        counts.append(candidates.count())
+        return plain(candidates, key, rank)
+
+    monkeypatch.setattr(resolve, "first_ranked", counted)
+    same(spark, queries.queries()["ranked_resolution"], queries.oracle_sql()["ranked_resolution"], str(tmp_path))
+    assert len(counts) == 1 and 600 <= counts[0] <= 2 * len(data)
